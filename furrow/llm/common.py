@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -10,10 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Word separators of the contracts: space and \t \n \v \f \r.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Word separators: space and \t \n \v \f \r.
 WORD_BREAK_JAVA = r"[\x20\x09-\x0D]+"
-ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,3 +65,19 @@ def row_numbers(df: DataFrame, order: list, name: str, into: str = "row_number",
         .withColumn(into, (F.col("_base") + F.col("_within")).cast("long"))
         .drop("_part", "_at", "_base", "_within")
     )
+
+
+class Remembered(dict):
+    """``of(word)`` by word; forgets all of it beyond ``most`` words, which changes no result."""
+
+    def __init__(self, of, most: int = 400_000):
+        super().__init__()
+        self.of, self.most = of, most
+
+    def __missing__(self, word):
+        value = self[word] = self.of(word)
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.clear()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, minhash_dedup, packing, quality_rules, secret_scan, sharding, token_counts, url_filter
+from . import bpe, license_scan, media, minhash_dedup, packing, quality_rules, secret_scan, sharding, token_counts, url_filter
 from .common import documents
 
 
@@ -25,6 +25,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), "byte_bpe_50k.json", limit=1024)
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(documents(spark, sf_dir), "word_bpe_49k.json", length=4096, end_id=2)
 
@@ -51,5 +55,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), "byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_sharding, op3_token_counts, op5_packing, op6_quality_rules, op7_media_columns, op8_secret_scans, op9_url_filters, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_sharding, op3_token_counts, op4_license_scans, op5_packing, op6_quality_rules, op7_media_columns, op8_secret_scans, op9_url_filters, op10_bpe)}
 ORACLES: dict[str, str] = {}

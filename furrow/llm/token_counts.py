@@ -87,8 +87,9 @@ def inverted_frequencies(docs: DataFrame, file: str) -> DataFrame:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
                 found = tokens.pre_tokens(path, text)
-                for w in set(found) - words.keys():
-                    words[w] = len(words)
+                for w in set(found):
+                    if w not in words:
+                        words[w] = len(words)
                 codes.append(np.fromiter(map(words.__getitem__, found), dtype=np.int32, count=len(found)))
                 ids.append(doc_id.as_py())
                 sizes.append(len(text.encode()))
