@@ -31,11 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import ASCII_LOWER, WORD, stored
+from .common import Remembered, stored
 from .components import components
 
 K, T = 48, 24
-REMEMBERED = 400_000
 #: Members compared with one centre in one group.
 GROUP = 256
 
@@ -50,18 +49,14 @@ class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
 
     def __init__(self, words: int):
-        self.words, self.known = words, {}
+        self.words, self.known = words, Remembered(xxhash.xxh3_64_intdigest)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        found = WORD.findall((text or "").translate(ASCII_LOWER))
+        found = (text or "").encode().lower().split()  # of bytes: ASCII letters, ASCII white space
         if not found:
             return np.zeros(0, dtype=np.uint64)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(found) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
+        self.known.trim()
+        h = np.fromiter(map(self.known.__getitem__, found), dtype=np.uint64, count=len(found))
         n = min(self.words, len(h))
         rolled = np.full(len(h) - n + 1, n, dtype=np.uint64)
         with np.errstate(over="ignore"):
