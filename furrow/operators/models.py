@@ -1,0 +1,88 @@
+"""MLlib models behind one pair of functions, ``fit`` and ``predict``.
+
+The reference's gradient boosting, extra trees, linear SVM, perceptron and regression have these
+counterparts; an RBF support vector regression becomes ridge regression on random Fourier
+features, and boosting over three classes one booster a class.
+"""
+
+from __future__ import annotations
+
+import math
+import random
+
+from pyspark.ml import Model, Pipeline
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from furrow.operators.preprocess import imputed, vector_stages
+
+#: Search spaces: model -> parameter -> values.
+REGRESSORS = {
+    "GBT": (GBTRegressor, {"stepSize": [0.02, 0.05, 0.1], "maxDepth": [2, 3, 4], "minInstancesPerNode": [5, 10, 20], "maxIter": [20, 40]}),
+    "Forest": (RandomForestRegressor, {"numTrees": [60, 120], "maxDepth": [6, 8], "minInstancesPerNode": [2, 5, 10], "featureSubsetStrategy": ["sqrt", "0.6", "0.8"]}),
+    "Ridge": (LinearRegression, {"regParam": [0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]}),
+    "RBF": (LinearRegression, {"regParam": [0.01, 0.1, 1.0], "_gamma": [0.05, 0.2]}),
+}
+CLASSIFIERS = {
+    "GBT": (GBTClassifier, {"stepSize": [0.05, 0.1], "maxDepth": [2, 3], "maxIter": [10, 20]}),
+    "Forest": (RandomForestClassifier, {"numTrees": [60, 120], "maxDepth": [6, 8], "minInstancesPerNode": [2, 5]}),
+    "LinearSVC": (LinearSVC, {"regParam": [0.01, 0.1, 1.0]}),
+    "Logistic": (LogisticRegression, {"regParam": [0.001, 0.01, 0.1]}),
+    "Perceptron": (MultilayerPerceptronClassifier, {"_hidden": [(16,), (32, 16)], "maxIter": [60]}),
+}
+
+
+class Fitted:
+    """A fitted model with the preparation of its inputs."""
+
+    def __init__(self, model: Model, numeric: list[str], rename: str, gamma: float | None, seed: int):
+        self.model, self.numeric, self.rename, self.gamma, self.seed = model, numeric, rename, gamma, seed
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the prediction; rows keep their own columns."""
+        inner = rows.withColumn("_own", F.struct(*(F.col(f"`{c}`") for c in rows.columns)))
+        out = self.model.transform(_prepared(inner, self.numeric, self.gamma, self.seed)[0])
+        pred = F.col("prediction").cast("int") if self.rename == "pred_class" else F.col("prediction")
+        return out.select("_own.*", pred.alias(self.rename))
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+
+def _prepared(rows: DataFrame, numeric: list[str], gamma: float | None, seed: int, width: int = 64) -> tuple[DataFrame, list[str]]:
+    safe = {n: f"x{i}" for i, n in enumerate(numeric)}
+    out = imputed(rows.withColumns({s: F.col(f"`{n}`").cast("double") for n, s in safe.items()}), list(safe.values()))
+    names = [*safe.values(), *(f"{s}_missing" for s in safe.values())]
+    if gamma is None:
+        return out, names
+    rng = random.Random(seed)
+    waves = {}
+    for k in range(width):
+        dot = sum((F.col(s) * rng.gauss(0, math.sqrt(2 * gamma)) for s in safe.values()), F.lit(rng.uniform(0, 2 * math.pi)))
+        waves[f"wave{k}"] = F.cos(dot) * math.sqrt(2 / width)
+    return out.withColumns(waves), [*waves, *names]
+
+
+def fit(train: DataFrame, kind: str, task: str, features: list[str], params: dict | None = None, categorical: list[str] = ["region", "crop"], weight: str | None = None, seed: int = 42) -> Fitted:
+    """Fit a model of the catalogue to ``train``. Task: regression (yield) or classification (yield_class)."""
+    make, _ = (REGRESSORS if task == "regression" else CLASSIFIERS)[kind]
+    params = dict(params or {})
+    gamma, hidden = params.pop("_gamma", 0.1 if kind == "RBF" else None), params.pop("_hidden", (16,))
+    rows, names = _prepared(train, features, gamma, seed)
+    label = "yield" if task == "regression" else "yield_class"
+    rows = rows.where(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double"))
+    before = vector_stages(names, categorical).fit(rows)
+    if kind == "Perceptron":
+        size = before.transform(rows.limit(1)).first()["features"].size
+        params["layers"] = [size, *hidden, 3]
+    model = make(featuresCol="features", labelCol="label", **params)
+    if hasattr(model, "setSeed"):
+        model.setSeed(seed)
+    if weight and hasattr(model, "setWeightCol"):
+        model.setWeightCol(weight)
+    if kind in ("GBT", "LinearSVC") and task == "classification":
+        model = OneVsRest(classifier=model, labelCol="label", featuresCol="features", **({"weightCol": weight} if weight else {}))
+    whole = Pipeline(stages=[*before.stages, model]).fit(rows)
+    return Fitted(whole, features, "yield_pred" if task == "regression" else "pred_class", gamma, seed)
