@@ -1,72 +1,22 @@
-"""Shared helpers: the shared folder, written intermediate tables, dense row numbers, word splitting."""
+"""What the operators share: the documents table, words, and helpers of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
-#: Word separators: space and \t \n \v \f \r.
-WORD_BREAK_JAVA = r"[\x20\x09-\x0D]+"
-
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where the
-    session leaves it unset (tests on one machine) a fresh temporary folder takes its place."""
-    path = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="furrow-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+from furrow.operators.numbering import row_numbers
+from furrow.session import shared_dir, stored
 
+__all__ = ["Remembered", "WORD_BREAK_JAVA", "documents", "row_numbers", "shared_dir", "stored"]
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a compressed table in the shared folder and read it back: this cuts the
-    lineage, and losing an executor costs no recomputation of what lies before."""
-    path = f"{shared_dir(df.sparkSession)}/furrow/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Word separators: space and \t \n \v \f \r.
+WORD_BREAK_JAVA = r"[\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def row_numbers(df: DataFrame, order: list, name: str, into: str = "row_number", weight: str | None = None) -> DataFrame:
-    """Dense global numbers 0, 1, ... in the order of ``order`` (all rows, no single task).
-
-    With ``weight`` the number is the running sum of that column before the row instead. The
-    rows are range-partitioned and sorted once, written, and shifted by the totals of the
-    partitions before theirs; only one total a partition is broadcast.
-    """
-    step = F.lit(1).cast("long") if weight is None else F.col(weight)
-    placed = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_at", 33))
-    )
-    placed = stored(placed, name)
-    totals = placed.groupBy("_part").agg(F.sum(step).alias("_n"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_base"))
-    if weight is None:
-        within = F.col("_at").bitwiseAND((1 << 33) - 1)
-    else:
-        own = W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
-        within = F.coalesce(F.sum(step).over(own), F.lit(0))
-    return (
-        placed.withColumn("_within", within)
-        .join(F.broadcast(totals), "_part")  # one row a partition
-        .withColumn(into, (F.col("_base") + F.col("_within")).cast("long"))
-        .drop("_part", "_at", "_base", "_within")
-    )
-
-
 class Remembered(dict):
     """``of(word)`` by word; forgets all of it beyond ``most`` words, which changes no result."""
 
