@@ -24,7 +24,9 @@ ORACLES: dict[str, str] = {}
 
 PANEL = """panel AS (
   SELECT r_name AS region, c_mktsegment AS crop, CAST(year(o_orderdate) AS INT) AS year,
-         avg(l_quantity) AS yield, avg(l_discount) AS aod, avg(l_tax) AS pm
+         sum(CAST(round(l_quantity * 100) AS BIGINT))::DOUBLE / 100.0::DOUBLE / count(*) AS yield,
+         sum(CAST(round(l_discount * 100) AS BIGINT))::DOUBLE / 100.0::DOUBLE / count(*) AS aod,
+         sum(CAST(round(l_tax * 100) AS BIGINT))::DOUBLE / 100.0::DOUBLE / count(*) AS pm
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   GROUP BY r_name, c_mktsegment, year(o_orderdate))"""
@@ -84,7 +86,9 @@ def yield_class(spark, sf_dir):
 
 def _stats(w: int, *names: str) -> str:
     forms = {"mean": "avg(y)", "std": "stddev_pop(y)", "min": "min(y)", "max": "max(y)", "slope": "regr_slope(y, t)"}
-    return ", ".join(f"round({forms[n]} FILTER (WHERE t <= {w}), 6) AS yield_lag_{n}_{w}" for n in names)
+    two = f"count(y) FILTER (WHERE t <= {w}) >= 2"  # a slope needs two points
+    form = {n: f"{forms[n]} FILTER (WHERE t <= {w})" for n in names}
+    return ", ".join(f"round({f'CASE WHEN {two} THEN {form[n]} END' if n == 'slope' else form[n]}, 6) AS yield_lag_{n}_{w}" for n in names)
 
 
 @query(f"""WITH {PANEL}, five AS (SELECT region, crop, year, unnest([1, 2, 3, 4, 5]) AS t,

@@ -18,9 +18,10 @@ def panel_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """region, crop, year, yield, aod, pm from order lines.
 
     Lines shrink to one row an order before the join, so what is shuffled follows the orders.
+    Sums are of whole hundredths, so the order of rows can't change them.
     The region and nation tables hold a fixed handful of rows and are broadcast."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.sum("l_quantity").alias("q"), F.sum("l_discount").alias("d"), F.sum("l_tax").alias("t"), F.count("*").alias("n")
+        *(F.sum(F.round(F.col(c) * 100).cast("long")).alias(s) for c, s in (("l_quantity", "q"), ("l_discount", "d"), ("l_tax", "t"))), F.count("*").alias("n")
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
     places = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("region"))
@@ -29,7 +30,7 @@ def panel_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
         .groupBy(*KEY)
-        .agg(*((F.sum(s) / F.sum("n")).alias(c) for s, c in (("q", "yield"), ("d", "aod"), ("t", "pm"))))
+        .agg(*((F.sum(s) / 100.0 / F.sum("n")).alias(c) for s, c in (("q", "yield"), ("d", "aod"), ("t", "pm"))))
     )
 
 
