@@ -28,6 +28,8 @@ class Settings:
     tertiles: str = "fixed"  # or refit: thresholds from each fold's training rows
     feature_set: str = "auto"
     tune_mode: str = "metrics"
+    regressors: tuple[str, ...] = ("Ridge", "RBF", "GBT", "Forest")
+    classifiers: tuple[str, ...] = ("Logistic", "LinearSVC", "Forest", "GBT", "Perceptron")
     use_cache: bool = True
     importance_repeats: int = 10
     extra: Mapping[str, str] = field(default_factory=dict)

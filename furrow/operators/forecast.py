@@ -96,8 +96,9 @@ def recursive_model(panel: DataFrame, features: list[str], lags: int, predict: C
     shared_dir(panel.sparkSession)  # sets a checkpoint folder where there is none
     last = panel.agg(F.max("year")).first()[0]
     state, out = last_yields(panel, lags), None
-    known = carried(panel, features) if carry else trends(panel, features)
-    base = state.join(known, GROUP, "left")
+    base = state
+    if features:
+        base = state.join(carried(panel, features) if carry else trends(panel, features), GROUP, "left")
     for year in range(last + 1, last + years + 1):
         values = [F.col(f"`{f}`") if carry else trend_at(f, F.lit(year)).alias(f) for f in features]
         rows = base.select(*GROUP, F.lit(year).alias("year"), *values, *(F.try_element_at("last_yields", F.lit(-k)).alias(f"yield_lag{k}") for k in range(1, lags + 1)))

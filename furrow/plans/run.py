@@ -49,8 +49,8 @@ def run(spark: SparkSession, panel: DataFrame, out: str, options: Settings = Set
         full = full.cache()
         plain = [f for f in features if not f.startswith("yield_lag")]
     with timed("tuning"):
-        reg, reg_info, _ = search.search(full, features, "regression", mode=options.tune_mode, n_splits=options.folds, seed=options.seed)
-        clf, clf_info, _ = search.search(full, features, "classification", mode=options.tune_mode, n_splits=options.folds, seed=options.seed)
+        reg, reg_info, _ = search.search(full, features, "regression", list(options.regressors), mode=options.tune_mode, n_splits=options.folds, seed=options.seed)
+        clf, clf_info, _ = search.search(full, features, "classification", list(options.classifiers), mode=options.tune_mode, n_splits=options.folds, seed=options.seed)
         own = [f for f in reg_info["features"]]
     with timed("backtest"):
         kind = reg_info["best"].split(" ", 1)[0]

@@ -27,12 +27,12 @@ def model_row(summary: DataFrame, name: str) -> DataFrame:
 def f1_comparison(summary: DataFrame) -> DataFrame:
     """Baseline against the best classifier: out of fold, else cross-validated."""
     base = summary.where("model = 'Baseline'").select(F.lit("baseline").alias("label"), F.col("baseline_clf_macro_f1").alias("f1_macro"))
-    best = summary.where("model = 'BestClassifier'").select(F.lit("best").alias("label"), F.coalesce("oof_f1_macro", "cv_f1_macro").alias("f1_macro"))
+    best = summary.where("model = 'BestClassifier'").select(F.lit("best").alias("label"), F.coalesce(*(c for c in ("oof_f1_macro", "cv_f1_macro") if c in summary.columns)).alias("f1_macro"))
     return base.union(best)
 
 
 def rmse_comparison(summary: DataFrame) -> DataFrame:
-    parts = (("Baseline", "baseline", F.col("baseline_reg_rmse")), ("BestRegressor", "out of fold", F.coalesce("oof_rmse", "train_rmse")), ("Backtest", "backtest", F.col("rmse")))
+    parts = (("Baseline", "baseline", F.col("baseline_reg_rmse")), ("BestRegressor", "out of fold", F.coalesce(*(c for c in ("oof_rmse", "train_rmse") if c in summary.columns))), ("Backtest", "backtest", F.col("rmse")))
     return reduce(DataFrame.union, (summary.where(F.col("model") == m).select(F.lit(label).alias("label"), c.alias("rmse")) for m, label, c in parts))
 
 

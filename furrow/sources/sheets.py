@@ -25,18 +25,16 @@ REMARKS = ("for wheat", "for rice", "for maize", "for corn")
 YEAR_NAMES = ("year", "years", "time", "date")
 
 
-def read_grid(spark: SparkSession, folder: str) -> DataFrame:
+def read_grid(spark: SparkSession, folder: str, most_columns: int = 256) -> DataFrame:
     """Cells of every headerless CSV in a folder; the file name without its ending is the sheet.
 
-    Row numbers follow the file's lines, so a sheet of several splits is read as one: sheets are small."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-    lines = files.select(
-        F.regexp_extract("path", r"([^/]+)\.csv$", 1).alias("sheet"),
-        F.posexplode(F.split(F.decode("content", F.lit("UTF-8")), "\r?\n")).alias("row", "line"),
-    ).where("line != ''")
-    cells = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(512))))
-    grid = lines.select("sheet", "row", F.posexplode(F.array(*(cells[f"c{i}"] for i in range(512)))).alias("col", "value"))
-    return grid.where("value is not null")
+    A sheet is read whole by one task, which keeps its lines in order: sheets are small."""
+    schema = ", ".join(f"c{i} string" for i in range(most_columns))
+    lines = spark.read.csv(folder, schema=schema, header=False, multiLine=True, pathGlobFilter="*.csv")
+    lines = lines.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1).alias("sheet"), F.monotonically_increasing_id().alias("_at"))
+    lines = lines.withColumn("row", F.row_number().over(W.partitionBy("sheet").orderBy("_at")) - 1)
+    cells = F.array(*(F.col(f"c{i}") for i in range(most_columns)))
+    return lines.select("sheet", "row", F.posexplode(cells).alias("col", "value")).where("value is not null")
 
 
 def header_scores(grid: DataFrame, scan: int = 30) -> DataFrame:
