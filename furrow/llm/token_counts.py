@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import tokens
 
 #: A block ends at so many characters or documents.
-BLOCK_CHARS, BLOCK_DOCS = 12_000_000, 1 << 16
+BLOCK_CHARS, BLOCK_DOCS = 30_000_000, 1 << 16
 #: Distinct pre-tokens that a task holds before it hands them to Spark's distinct().
 HELD = 300_000
 #: Sums that a task holds before it hands them on.
@@ -62,12 +62,17 @@ def inverted_frequencies(docs: DataFrame, file: str) -> DataFrame:
 
     def emit(block: int, words: dict, codes: list, ids: list, sizes: list):
         order = sorted(words, key=words.__getitem__)  # by code
-        rank = np.argsort(np.array(order, dtype=object)) if order else np.zeros(0, dtype=np.int64)
+        rank = np.array(sorted(range(len(order)), key=order.__getitem__), dtype=np.int64)
         new = np.empty(len(order), dtype=np.int64)
         new[rank] = np.arange(len(order))
-        ordinal = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-        key = (new[np.concatenate(codes)] if codes else np.zeros(0, np.int64)) * BLOCK_DOCS + ordinal
-        key, freq = np.unique(key, return_counts=True)
+        key = new[np.concatenate(codes)] if codes else np.zeros(0, np.int64)
+        key *= BLOCK_DOCS
+        key += np.repeat(np.arange(len(codes), dtype=np.uint16), [len(c) for c in codes])
+        codes.clear()
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        freq = np.diff(np.append(first, len(key)))
+        key = key[first]
         while (big := freq > 65535).any():  # a frequency beyond 16 bits becomes several
             key, freq = np.concatenate([key, key[big]]), np.concatenate([np.where(big, 65535, freq), freq[big] - 65535])
             at = np.argsort(key, kind="stable")
