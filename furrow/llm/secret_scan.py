@@ -283,7 +283,9 @@ SPANS = "array<struct<start: int, end: int, rule: int>>"
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, batch_bytes: int = 8_000_000) -> DataFrame:
-    """All columns of ``docs`` and ``spans``: array of (start, end, rule number), by start."""
+    """All columns of ``docs`` and ``spans``: array of (start, end, rule number), by start. A
+    column of that name gives way."""
+    docs = docs.drop("spans")
     column = docs.columns.index("text")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("rule", pa.int32())]))
 
@@ -314,29 +316,30 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in range(len(BASE))), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    out, at = [], 0
+    for start, end, _ in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]", batch_bytes: int = 8_000_000) -> DataFrame:
     """``docs`` with every span, overlapping ones as one, replaced by a mark; n_chars follows."""
-    columns = docs.columns
-    found = find(docs, rules)
-
-    @F.pandas_udf("string")
-    def cleaned(text, spans):
-        import pandas as pd
-
-        def one(t, found):
-            if t is None or len(found) == 0:
-                return t
-            out, at = [], 0
-            for s in found:
-                if s["start"] >= at:
-                    out += [t[at : s["start"]], "[secret]"]
-                at = max(at, s["end"])
-            return "".join([*out, t[at:]])
-
-        return pd.Series([one(t, s) for t, s in zip(text, spans)])
-
-    hit = F.size("spans") > 0
-    out = found.withColumn("text", F.when(hit, cleaned("text", "spans")).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(columns)
+    text, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches):
+        scan = scanner(rules).scan
+        for batch in batches:
+            for part in slices(batch, batch_bytes, text):
+                texts = part.column(text).to_pylist()
+                raw = [(t or "").encode() for t in texts]
+                clean = [redacted(t, in_code_points(r, found), mark) if found else t for t, r, found in zip(texts, raw, scan(raw))]
+                columns = list(part.columns)
+                columns[text] = pa.array(clean, pa.string())
+                if chars is not None:
+                    columns[chars] = pa.array([n if new is old else len(new) for n, new, old in zip(columns[chars].to_pylist(), clean, texts)], columns[chars].type)
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
