@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 
 import regex
 
 #: Fixed value: the public byte-level pre-token pattern.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Letters and numbers that the regex library knows and the tokenizers library doesn't.
+NEWER = "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
+
 
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file on the machine that asks."""
@@ -37,7 +41,13 @@ def special_tokens(path: str) -> dict[str, int]:
 @functools.cache
 def _splitter(path: str):
     special = special_tokens(path)
-    pieces = regex.compile(PRE_TOKEN).findall
+    usual, newer = regex.compile(PRE_TOKEN).findall, re.compile(f"[{NEWER}]").search
+    older = PRE_TOKEN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s[\p{{L}}\p{{N}}--[{NEWER}]]]").replace(r" ?\p{L}+", rf" ?[\p{{L}}--[{NEWER}]]+").replace(r" ?\p{N}+", rf" ?[\p{{N}}--[{NEWER}]]+")
+    rare = regex.compile(older, regex.V1).findall
+
+    def pieces(text: str) -> list[str]:
+        return usual(text) if newer(text) is None else rare(text)
+
     if not special:
         return pieces
     inside = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
