@@ -4,13 +4,17 @@
    set. Documents with equal sets form a class, which from here on is one node (its smallest id).
 2. Nodes are posted under each (coordinate, value) pair. Pairs posted once can't collide and go.
    A node left with fewer than ``T`` posts can't reach ``T`` collisions and goes as well.
-3. Skip merge: each post names the smallest node of its list. Collisions with that node are
-   counted; at ``T`` the two are compared on their full sets. This needs one row a post, however
-   long a list is, and joins large groups of near copies into components.
+3. Skip merge: each list names its pivot, the node whose lists are the longest. Collisions with that
+   node are counted; at ``T`` the two are compared on their full sets. This needs one row a post,
+   however long a list is, and joins large groups of near copies, whose pivot is the text they
+   were copied from, into components.
 4. Prefix merge: of its posts, rarest first, a node with ``m`` of them needs only the first
-   m - T + 1: two nodes with ``T`` collisions meet there. Lists whose nodes all are in one component are
-   skipped; in the others nodes of different components and of sizes that allow the threshold
-   meet, their collisions are counted, and pairs at ``T`` are compared on full sets.
+   m - T + 1: two nodes with ``T`` collisions meet there. Lists whose nodes all are in one
+   component are skipped. The nodes of the others are posted once more, now under their shingles:
+   sets of sizes n and k at the threshold share o shingles at least, and so meet among the n - o + 1
+   and k - o + 1 rarest. Copies that were changed too much to be linked have rare shingles
+   enough to fill that, and don't meet each other under the common ones. Collisions are counted for
+   nodes of different components that meet, and pairs at ``T`` are compared on full sets.
 5. Components of all confirmed links.
 
 Two sets at the threshold (0.8) reach T = 24 of K = 48 collisions but for about 4 in a million;
@@ -101,7 +105,7 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, posts array<long>")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b: nodes) those whose full sets are similar enough.
 
     The members b of a centre a come to it in groups of about ``GROUP``, each with a copy of the
@@ -110,10 +114,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
     spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     member = pairs.join(spread, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"), F.lit(1).alias("order"))
     centre = spread.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("order"))
-    roles = member.union(centre)
-    wanted = roles.select("node").distinct().join(nodes.select("node", "digest"), "node")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted.select("node"), "node", "left_semi")
-    placed = roles.join(texts, "node").repartition("a", "part").sortWithinPartitions("a", "part", "order")
+    placed = member.union(centre).join(texts, "node").repartition("a", "part").sortWithinPartitions("a", "part", "order")
 
     def run(batches):
         shingles, at, own = Shingler(words), None, None
@@ -134,43 +135,76 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
     return placed.select("a", "part", "node", "order", "text").mapInArrow(run, "a long, b long")
 
 
+def rare_shingles(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, component, n, shingle, place: the rarest shingles of each node, places from 1, as many
+    as a set that meets the threshold with the smallest possible partner may need; only those that
+    nodes of several components have, and only of nodes with enough of these.
+    ``nodes``: node, component, n."""
+
+    def run(batches):
+        shingles = Shingler(words)
+        for batch in batches:
+            for cut in slices(batch, 1_000_000, 1):
+                sets = [shingles(t) for t in cut.column(1).to_pylist()]
+                row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                flat = np.concatenate(sets).view(np.int64)
+                yield from pa.Table.from_arrays([cut.column(0).take(pa.array(row)), cut.column(2).take(pa.array(row)), pa.array(flat)], ["node", "component", "shingle"]).to_batches(50_000)
+
+    rows = nodes.join(texts, "node").select("node", "text", "component").mapInArrow(run, "node long, component long, shingle long")
+    lists = rows.groupBy("shingle").agg(F.count("*").alias("length"), (F.min("component") < F.max("component")).alias("apart"))
+    own = rows.join(lists, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("length", "shingle", "apart"))).alias("own"), F.count_if("apart").alias("n_apart"))
+    own = nodes.join(own, "node").where(F.col("n_apart") * 100 >= F.col("n") * percent)
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    placed = own.select("node", "component", "n", F.posexplode(F.slice("own", F.lit(1), most.cast("int"))).alias("place", "s"))
+    return placed.where("s.apart").select("node", "component", "n", F.col("s.shingle").alias("shingle"), (F.col("place") + 1).alias("place"))
+
+
 def classes(docs: DataFrame, words: int, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(sketches of all rows; node, component for every class that has links)."""
+    """(sketches of all rows; digest, component_id for every class)."""
     table = stored(sketch(docs, words), "sketch")
     own = table.where("n_shingles > 0 and doc_id is not null")
     nodes = own.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("posts").alias("posts"))
     nodes = stored(nodes, "nodes")
     posts = nodes.select("node", F.explode("posts").alias("post"))
-    lists = posts.groupBy("post").agg(F.count("*").alias("length"), F.min("node").alias("first")).where("length > 1")
+    lists = posts.groupBy("post").agg(F.count("*").alias("length")).where("length > 1")
     # few posts stay: those of documents that share shingles
-    shared = posts.join(lists, "post").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("length", "post", "first"))).alias("lists"))  # K at most
+    shared = posts.join(lists, "post").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("length", "post"))).alias("lists"))  # K at most
     shared = stored(shared.where(F.size("lists") >= T).join(nodes.select("node", "n"), "node"), "lists")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(shared.select("node"), "node", "left_semi")
+    texts = stored(texts.dropDuplicates(["node"]), "texts")
 
-    # skip merge: collisions with the first node of each list
-    star = shared.select("node", F.explode("lists.first").alias("first")).where("first < node")
-    star = star.groupBy("node", "first").count().where(F.col("count") >= T).select(F.col("first").alias("a"), F.col("node").alias("b"))
-    near = stored(components(confirmed(star, nodes, docs, words, percent)), "near")
+    # skip merge: collisions with the pivot of each list
+    reach = F.aggregate("lists", F.lit(0).cast("long"), lambda n, x: n + x.length)
+    posted = shared.select("node", F.struct(reach, -F.col("node")).alias("rank"), F.explode("lists.post").alias("post"))
+    pivots = posted.groupBy("post").agg(F.max_by("node", "rank").alias("pivot"))
+    star = posted.join(pivots, "post").where("pivot != node").groupBy("pivot", "node").count()
+    star = star.where(F.col("count") >= T).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    near = stored(components(confirmed(star, texts, words, percent)), "near")
 
     # prefix merge: what is still apart
     prefix = shared.join(near, "node", "left").select(
         "node", "n", F.coalesce("component", "node").alias("component"), F.explode(F.expr(f"transform(slice(lists, 1, size(lists) - {T - 1}), x -> x.post)")).alias("post")
     )
     apart = prefix.groupBy("post").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).where("_l < _h").select("post")
-    prefix = stored(prefix.join(apart, "post", "left_semi"), "prefix")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    small = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    meet = x.join(y, (F.col("x.post") == F.col("y.post")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & small)
+    left = prefix.join(apart, "post", "left_semi").select("node", "component", "n").distinct()
+    rare = stored(rare_shingles(stored(left, "apart"), texts, words, percent), "rare")
+    x, y = rare.alias("x"), rare.alias("y")
+    both = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")  # shingles that they share at least
+    early = (F.col("x.place") <= F.col("x.n") - both + 1) & (F.col("y.place") <= F.col("y.n") - both + 1)
+    enough = F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= both
+    meet = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & early & enough)
     meet = meet.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     every = nodes.select("node", "posts")
-    collide = meet.join(every.withColumnsRenamed({"node": "a", "posts": "p"}), "a").join(every.withColumnsRenamed({"node": "b", "posts": "q"}), "b")
+    collide = meet.join(every.select(F.col("node").alias("a"), F.col("posts").alias("p")), "a").join(every.select(F.col("node").alias("b"), F.col("posts").alias("q")), "b")
     collide = collide.where(F.size(F.array_intersect("p", "q")) >= T).select("a", "b")
-    links = confirmed(collide, nodes, docs, words, percent)
+    links = confirmed(collide, texts, words, percent)
     label = lambda c, name: near.select(F.col("node").alias(c), F.col("component").alias(name))
     joined = links.join(label("a", "ca"), "a", "left").join(label("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     far = components(joined).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    both = near.join(far, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    whole = near.join(far, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     alone = far.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(near, "node", "left_anti")
-    return table, nodes.select("digest", "node").join(stored(both.union(alone), "components"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    found = stored(whole.union(alone), "components")
+    return table, nodes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
