@@ -46,6 +46,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of ``labels`` stands for the page of its id: bad if toxic or of low quality."""
     labels = _table(spark, sf_dir, "labels").where("doc_id is not null").groupBy(F.col("doc_id").alias("id"))
     bad = F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0))
     return url_filter.judge(_table(spark, sf_dir, "pages"), labels.agg(bad.alias("bad")))
@@ -56,4 +57,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_sharding, op3_token_counts, op4_license_scans, op5_packing, op6_quality_rules, op7_media_columns, op8_secret_scans, op9_url_filters, op10_bpe)}
-ORACLES: dict[str, str] = {}
+
+#: All pairs that share a shingle, counted, and the transitive closure of the links.
+DEDUP_SQL = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 80 * (na + nb - k)),
+both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT r.a, l.b FROM reach r JOIN both_ l ON r.b = l.a),
+least_ AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CAST(coalesce(least(doc_id, b), doc_id) AS BIGINT) AS component_id, doc_id = coalesce(least(doc_id, b), doc_id) AS kept
+FROM sets LEFT JOIN least_ ON doc_id = a"""
+
+ORACLES: dict[str, str] = {"op1_minhash_dedup": DEDUP_SQL}
