@@ -10,13 +10,14 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.ml import Model, Pipeline
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.operators.preprocess import imputed, vector_stages
+from furrow.sources.files import tolerant_json, write_json
 
 #: Search spaces: model -> parameter -> values.
 REGRESSORS = {
@@ -47,8 +48,19 @@ class Fitted:
         pred = F.col("prediction").cast("int") if self.rename == "pred_class" else F.col("prediction")
         return out.select("_own.*", pred.alias(self.rename))
 
-    def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+    def save(self, path: str, signature: str = "") -> None:
+        """The model, and beside it what prediction needs and the signature of its rows."""
+        self.model.write().overwrite().save(f"{path}/model")
+        meta = {"numeric": self.numeric, "rename": self.rename, "gamma": self.gamma, "seed": self.seed, "signature": signature}
+        write_json(SparkSession.active(), meta, f"{path}/meta")
+
+
+def load(path: str, signature: str = "") -> Fitted | None:
+    """A saved model, if there is one and it is of rows of this signature."""
+    meta = tolerant_json(SparkSession.active(), f"{path}/meta")
+    if not meta or meta["signature"] != signature:
+        return None
+    return Fitted(PipelineModel.load(f"{path}/model"), meta["numeric"], meta["rename"], meta["gamma"], meta["seed"])
 
 
 def _prepared(rows: DataFrame, numeric: list[str], gamma: float | None, seed: int, width: int = 64) -> tuple[DataFrame, list[str]]:

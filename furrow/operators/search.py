@@ -18,6 +18,7 @@ from furrow.operators.lags import add_interactions, add_lag_statistics
 from furrow.operators.metrics import regression_metrics
 from furrow.operators.numbering import row_numbers
 from furrow.session import stored
+from furrow.sources.files import tolerant_json, write_json
 
 MODES = {"fast": 2, "metrics": 4, "full": 8}
 MISSING = {"core": 0.35, "mid": 0.60, "full": 0.85}
@@ -160,3 +161,19 @@ def permutation_importance(rows: DataFrame, features: list[str], predict, task:
         lost += [(f, float(whole - score(shuffled(rows, f, seed + 1000 * i + r)))) for r in range(repeats)]
     table = spark.createDataFrame(lost, "feature string, lost double")  # a row a feature and repeat
     return table.groupBy("feature").agg(F.avg("lost").alias("importance_mean"), F.stddev_pop("lost").alias("importance_std")).orderBy(F.desc("importance_mean"), "feature")
+
+
+def cached_search(path: str, panel: DataFrame, features: list[str], task: str = "regression", force: bool = False, **options) -> tuple[models.Fitted, dict]:
+    """``search``, or the model and info saved under ``path`` if they are of the same rows and options."""
+    spark = panel.sparkSession
+    key = signature(panel, [*features, "region", "crop", "year", "yield"]) + json.dumps([task, options], sort_keys=True, default=str)
+    info = tolerant_json(spark, f"{path}/info")
+    if not force and info and (model := models.load(path, key)) is not None:
+        return model, info
+    model, info, _ = search(panel, features, task, **options)
+    model.save(path, key)
+    write_json(spark, info, f"{path}/info")
+    return model, info
+
+
+feature_importance = permutation_importance  # its older name

@@ -49,8 +49,9 @@ def run(spark: SparkSession, panel: DataFrame, out: str, options: Settings = Set
         full = full.cache()
         plain = [f for f in features if not f.startswith("yield_lag")]
     with timed("tuning"):
-        reg, reg_info, _ = search.search(full, features, "regression", list(options.regressors), mode=options.tune_mode, n_splits=options.folds, seed=options.seed)
-        clf, clf_info, _ = search.search(full, features, "classification", list(options.classifiers), mode=options.tune_mode, n_splits=options.folds, seed=options.seed)
+        tune = {"mode": options.tune_mode, "n_splits": options.folds, "seed": options.seed}
+        reg, reg_info = search.cached_search(f"{out}/models/best_regressor", full, features, "regression", not options.use_cache, kinds=list(options.regressors), **tune)
+        clf, clf_info = search.cached_search(f"{out}/models/best_classifier", full, features, "classification", not options.use_cache, kinds=list(options.classifiers), **tune)
         own = [f for f in reg_info["features"]]
     with timed("backtest"):
         kind = reg_info["best"].split(" ", 1)[0]
@@ -79,10 +80,6 @@ def run(spark: SparkSession, panel: DataFrame, out: str, options: Settings = Set
     with timed("write"):
         for name, df in tables.items():
             files.write_csv(df, f"{out}/{name}", single=name != "panel")
-        for name, info in (("best_regressor_info", reg_info), ("best_classifier_info", clf_info)):
-            files.write_json(spark, info, f"{out}/models/{name}")
-        reg.save(f"{out}/models/best_regressor")
-        clf.save(f"{out}/models/best_classifier")
     tables["timing_summary"] = views.timings(spark, seconds)
     files.write_csv(tables["timing_summary"], f"{out}/timing_summary")
     text = report.summary(full, tables["metrics_summary"], tables["backtest_by_year"], tables["timing_summary"], sorted(tables))

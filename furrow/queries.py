@@ -16,8 +16,8 @@ from furrow.operators.lags import add_interactions, add_lag_statistics, add_lags
 from furrow.operators.metrics import regression_metrics
 from furrow.operators.trend import carried, trend_features
 from furrow.plans import views
-from furrow.sources.panel import panel_view, stack, table, with_gaps
-from furrow.sources.sheets import header_rows, header_scores
+from furrow.sources.panel import panel_view, sheet_identity, stack, table, with_gaps
+from furrow.sources.sheets import header_rows, header_scores, merged_headers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -353,6 +353,67 @@ def metrics_summary(spark, sf_dir):
     return views.metrics_summary({"Baseline": base, "Backtest": regression_metrics(forecast.backtest_linear(panel))})
 
 
+@query("""WITH n AS (SELECT unnest([r_name || '_' || upper(n_name) || '_x', ' ' || r_name || ' ', r_name || '_']) AS sheet FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT sheet, trim(string_split(trim(sheet), '_')[1]) AS region, lower(trim(coalesce(string_split(trim(sheet), '_')[2], 'unknown'))) AS crop FROM n""")
+def sheet_names(spark, sf_dir):
+    pairs = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five rows
+    forms = F.array(F.concat("r_name", F.lit("_"), F.upper("n_name"), F.lit("_x")), F.concat(F.lit(" "), "r_name", F.lit(" ")), F.concat("r_name", F.lit("_")))
+    region, crop = sheet_identity(F.col("sheet"))
+    return pairs.select(F.explode(forms).alias("sheet")).select("sheet", region.alias("region"), crop.alias("crop"))
+
+
+@query("""SELECT r_name AS sheet, c AS col, l AS label FROM region, (VALUES (0, 'Time (Year)'), (1, 'Yield (t/ha)'), (2, 'AOD mean'), (3, 'AOD day')) AS t(c, l)""")
+def merged_header_labels(spark, sf_dir):
+    cells = grid(spark, sf_dir).where("row < 3")
+    names = cells.select("sheet").distinct()
+    more = F.array(F.struct(F.lit(2).alias("row"), F.lit(3).alias("col"), F.lit("day").alias("value")), F.struct(F.lit(0).alias("row"), F.lit(2).alias("col"), F.lit("AOD").alias("value")))
+    cells = cells.where("value != 'nan'").unionByName(names.select("sheet", F.explode(more).alias("x")).select("sheet", "x.*"))
+    return merged_headers(cells, header_rows(cells))
+
+
+@query(f"WITH {PANEL}, {GAPS}, p AS ({_profile('aod')} UNION ALL {_profile('pm')} UNION ALL SELECT 'zero', 0, count(*), 1 FROM gaps) SELECT feature FROM p WHERE known > 0 AND \"distinct\" > 1")
+def varying_features(spark, sf_dir):
+    panel = with_gaps(panel_view(spark, sf_dir)).withColumn("zero", F.lit(0.0))
+    return columns.varying(columns.missing_profile(panel, ["aod", "pm", "zero"]))
+
+
+@query(f"WITH {PANEL}, g AS (SELECT *, CASE WHEN year % 3 <> 0 THEN crop END AS c FROM panel) SELECT region, crop, year, coalesce(c, (SELECT c FROM g WHERE c IS NOT NULL GROUP BY c ORDER BY count(*) DESC, c LIMIT 1)) AS c FROM g")
+def mode_fill(spark, sf_dir):
+    panel = panel_view(spark, sf_dir).select("region", "crop", "year", F.when(F.col("year") % 3 != 0, F.col("crop")).alias("c"))
+    return preprocess.mode_filled(panel, ["c"])
+
+
+@query(f"""WITH RECURSIVE {PAST}, s(scenario, f) AS (VALUES ('baseline', 1.0), ('polluted', 1.2))
+SELECT scenario, year, round(yield_lag1 - 10 * aod * f - 5 * pm * f, 6) AS yield_pred FROM fc JOIN cf USING (region, crop), s WHERE region = 'ASIA' AND crop = 'BUILDING'""")
+def scenario_lines(spark, sf_dir):
+    base = forecast.recursive_forecast(with_gaps(panel_view(spark, sf_dir)), 10, ["aod", "pm"], carry=True)
+    done = forecast.scenarios(base, ["aod"], ["pm"], F.col("yield_lag1") - 10 * F.col("aod") - 5 * F.col("pm"))
+    return views.scenario_lines(done, "ASIA", "BUILDING", ["baseline", "polluted"])
+
+
+@query(f"WITH {PANEL} SELECT region, crop, year, round(yield, 6) AS yield FROM panel WHERE region = 'ASIA' AND crop = 'BUILDING' ORDER BY year LIMIT 25")
+def sample_rows(spark, sf_dir):
+    return views.sample_rows(panel_view(spark, sf_dir).select("region", "crop", "year", "yield"), "ASIA", "BUILDING")
+
+
+@query(f"WITH {BACKTEST} SELECT year, {ERRORS} FROM bt GROUP BY year ORDER BY year DESC LIMIT 2")
+def last_metrics(spark, sf_dir):
+    return views.last_metrics(regression_metrics(forecast.backtest_linear(panel_view(spark, sf_dir)), ["year"]), 2)
+
+
+@query(f"WITH {PANEL}, {LAGS} SELECT year, round(sqrt(avg((yield - lag1) ** 2)), 6) AS rmse, count(*) AS n FROM lagged WHERE lag1 IS NOT NULL GROUP BY year")
+def persistence_by_year(spark, sf_dir):
+    """The yield of the year before as the forecast."""
+    lagged = add_lags(panel_view(spark, sf_dir), (1,))
+    return regression_metrics(lagged, ["year"], "yield", "yield_lag1").select("year", "rmse", "n")
+
+
+@query(f"WITH {PANEL} SELECT region, crop, count(*) AS n_known FROM panel WHERE yield > 25.5 AND year BETWEEN 1996 AND 2000 GROUP BY region, crop")
+def known_history(spark, sf_dir):
+    rows = panel_view(spark, sf_dir).where(F.col("year").between(1996, 2000)).withColumn("yield", F.when(F.col("yield") > 25.5, F.col("yield")))
+    return rows.dropna(subset=["yield"]).groupBy("region", "crop").agg(F.count("yield").alias("n_known"))
+
+
 # no SQL form: models and hashes
 
 
