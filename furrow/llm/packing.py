@@ -12,7 +12,10 @@ place on the curve, are told apart by id and row, so no place gathers in one tas
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,39 +23,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .bpe import slices
+from .bpe import byte_letters, slices
 from .common import row_numbers, stored
 
 DIMENSIONS, BITS, BUCKETS = 3, 10, 1024
 REMEMBERED = 400_000
-#: Separators in Python's split that Unicode does not call white space.
-UNLIKE = re.compile("[\x1c-\x1f]")
+#: Separators in Python's split that Unicode does not call white space, and the one letter that
+#: Python lower-cases by its place in the word.
+UNLIKE = re.compile("[\x1c-\x1f\u03a3]")
+#: Marks that stand around words; an apostrophe may begin a piece with letters, and isn't one.
+MARKS = ".,;:!?#*$%&|<>()[]{}-_/=+\""
 
 
 class ChunkEncoder:
-    """Ids of whole texts for vocabularies that drop white space, as the library gives them.
+    """Ids of whole texts for vocabularies that drop white space and case, as the library gives them.
 
-    No piece reaches across white space there, so texts are encoded chunk by chunk and frequent
-    chunks are remembered; texts with special strings or odd separators go to it whole."""
+    No piece reaches across white space there, nor from letters to the marks around them, so texts
+    are lower-cased and encoded chunk by chunk: a chunk of letters between marks is put together
+    from its parts, others go to the library, and what was encoded is remembered. Texts with special strings,
+    odd separators, or letters that aren't composed go to the library whole."""
 
     def __init__(self, file: str):
         path = tokens.vocabulary(file)
         self.library, self.special = tokens.tokenizer(path), tuple(tokens.special_tokens(path))
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.merge, self.letters = self.library.model.tokenize, byte_letters()
+        top = self.library.get_vocab_size()
+        self.kind = "<u2" if top < 1 << 16 else "<u4"
+        self.raw = [np.array(i, dtype=self.kind).tobytes() for i in range(top)]
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _word(self, word: str) -> bytes:
+        """One run of lower-case letters, which is one piece: straight to the library's merging."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.raw[t.id] for t in self.merge(shown)])
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        known, parts, new, word = self.known, [], set(), self._word
+        for c in chunks:
+            left = c.lstrip(MARKS)
+            core = left.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or max(core) < "\u3000"):
+                if core not in known:
+                    known[core] = word(core)
+                if core is not c:
+                    parts.append((c, before := c[: len(c) - len(left)], core, after := left[len(core) :]))
+                    new.update((before, after))
+            else:
+                new.add(c)
+        new = [c for c in new if c not in known]
+        known.update(zip(new, self._encoded(new)))
+        for c, before, core, after in parts:
+            known[c] = known[before] + known[core] + known[after]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        odd = [UNLIKE.search(t) is not None or any(s in t for s in self.special) for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd)]
+        """Ids of each text as unsigned numbers of ``kind``."""
+        low = [t.lower() for t in texts]
+        odd = [
+            UNLIKE.search(t) is not None or any(s in x for s in self.special) or not unicodedata.is_normalized("NFC", t) or not unicodedata.is_normalized("NFC", x)
+            for t, x in zip(texts, low)
+        ]
+        split = [[] if o else x.split() for x, o in zip(low, odd)]
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = list({c for cs in split for c in cs if c not in known})
-        known.update(zip(new, self._whole(new)))
-        whole = iter(self._whole([t for t, o in zip(texts, odd) if o]))
-        return [next(whole) if o else b"".join(map(known.__getitem__, cs)) for cs, o in zip(split, odd)]
+            self.known = {"": b""}
+        met = list(set(chain.from_iterable(split)))
+        own = dict(zip(met, map(self.known.get, met)))
+        new = [c for c, ids in own.items() if ids is None]
+        self._learn(new)
+        own.update(zip(new, map(self.known.__getitem__, new)))
+        whole = iter(self._encoded([t for t, o in zip(texts, odd) if o]))
+        return [next(whole) if o else b"".join(map(own.__getitem__, cs)) for cs, o in zip(split, odd)]
+
+
+@functools.cache
+def _encoder(file: str) -> ChunkEncoder:
+    """One a worker, whose memory of chunks outlasts a task."""
+    return ChunkEncoder(file)
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -89,7 +137,7 @@ def _projector(seed: int = 0):
     sign = rng.choice([-1.0, 1.0], (BUCKETS, DIMENSIONS))
 
     def place(ids: list[np.ndarray]) -> np.ndarray:
-        vectors = np.stack([np.bincount(bucket[i & 0x1FFFF], minlength=BUCKETS) for i in ids])
+        vectors = np.stack([np.bincount(bucket[i.astype(np.int64) & 0x1FFFF], minlength=BUCKETS) for i in ids])
         vectors = np.sqrt(vectors)
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
         spread = 1 / (1 + np.exp(-1.7 * (vectors @ sign)))
@@ -98,18 +146,18 @@ def _projector(seed: int = 0):
     return place
 
 
-def tokenise(docs: DataFrame, file: str, end_id: int, batch_chars: int = 2_000_000) -> DataFrame:
+def tokenise(docs: DataFrame, file: str, end_id: int, batch_chars: int = 3_000_000) -> DataFrame:
     """doc_id, ids (binary, 16-bit where the vocabulary allows), doc_tokens and curve key."""
 
     def run(batches):
-        encoder, place = ChunkEncoder(file), _projector()
-        kind = "<u2" if encoder.library.get_vocab_size() + end_id < 1 << 16 else "<u4"
+        encoder, place = _encoder(file), _projector()
+        end = np.array(end_id, dtype=encoder.kind).tobytes()
         for batch in batches:
             for part in slices(batch, batch_chars):
-                raw = encoder.ids([t or "" for t in part.column(1).to_pylist()])
-                ids = [np.append(np.frombuffer(x, dtype="<u4"), np.uint32(end_id)) for x in raw]
+                raw = [x + end for x in encoder.ids([t or "" for t in part.column(1).to_pylist()])]
+                ids = [np.frombuffer(x, dtype=encoder.kind) for x in raw]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([i.astype(kind).tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64()), pa.array(np.concatenate([place(ids[k : k + 512]) for k in range(0, len(ids), 512)]))],
+                    [part.column(0), pa.array(raw, pa.binary()), pa.array([len(i) for i in ids], pa.int64()), pa.array(np.concatenate([place(ids[k : k + 512]) for k in range(0, len(ids), 512)]))],
                     ["doc_id", "ids", "doc_tokens", "curve"],
                 )
 
