@@ -23,7 +23,7 @@ from . import tokens
 #: A block ends at so many characters or documents.
 BLOCK_CHARS, BLOCK_DOCS = 30_000_000, 1 << 16
 #: Distinct pre-tokens that a task holds before it hands them to Spark's distinct().
-HELD = 300_000
+HELD = 600_000
 #: Sums that a task holds before it hands them on.
 HELD_SUMS = 2_000_000
 HEADER = ""  # no pre-token is empty, so the row that lists a block's documents goes under it
@@ -32,16 +32,18 @@ HEADER = ""  # no pre-token is empty, so the row that lists a block's documents
 def pieces_per_pre_token(docs: DataFrame, file: str) -> DataFrame:
     """pre, n: every distinct pre-token with the number of its tokens."""
 
+    def in_order(held: set):  # neighbours share letters, which shuffle files compress
+        yield from pa.Table.from_arrays([pa.array(sorted(held), pa.string())], ["pre"]).to_batches(20_000)
+
     def distinct(batches):
         path, held = tokens.vocabulary(file), {HEADER}
         for batch in batches:
             for text in batch.column(0):
                 held.update(tokens.pre_tokens(path, text.as_py() or ""))
                 if len(held) >= HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], ["pre"])
+                    yield from in_order(held)
                     held = set()
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], ["pre"])
+        yield from in_order(held)
 
     def count(batches):
         t = tokens.tokenizer(tokens.vocabulary(file))
