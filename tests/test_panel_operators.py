@@ -151,6 +151,7 @@ def test_recursion_feeds_predictions_back(spark):
     assert all(near(same[k], v) for k, v in got.items())
 
 
+#: Published predictions of one year (region, crop, year, truth, prediction).
 GOLDEN = """GKP maize 2018 0.4570963806 1.31628221;GKP rice 2018 2.55 2.3546666;GKP wheat 2018 4.23599819 3.206282051;PYG maize 2018 2.19 1.402840129;PYG rice 2018 2.74 2.441335489;PYG wheat 2018 3.761437644 2.747434941;SNB maize 2018 0.93 1.206117391;SNB rice 2018 2.72 2.072221748;SNB wheat 2018 2.356966503 2.516254194;VNS maize 2018 1.774060021 1.76164622;VNS rice 2018 2.549005201 2.392193824;VNS wheat 2018 3.381168635 3.069894298"""
 
 
