@@ -40,7 +40,7 @@ from .components import components
 
 K, T = 48, 24
 #: Members compared with one centre in one group.
-GROUP = 256
+GROUP = 128
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
