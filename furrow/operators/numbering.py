@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from furrow.session import stored
 
 
-def row_numbers(df: DataFrame, order: list, name: str, into: str = "row_number", weight: str | None = None) -> DataFrame:
+def row_numbers(df: DataFrame, order: list, name: str, into: str = "row_number", weight: str | None = None, rows: int | None = None) -> DataFrame:
     """Dense global numbers 0, 1, ... in the order of ``order`` (all rows, no single task).
 
     With ``weight`` the number is the running sum of that column before the row instead. The
@@ -23,7 +23,7 @@ def row_numbers(df: DataFrame, order: list, name: str, into: str = "row_number",
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_at", 33))
     )
-    placed = stored(placed, name)
+    placed = stored(placed, name, rows)
     totals = placed.groupBy("_part").agg(F.sum(step).alias("_n"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_base"))

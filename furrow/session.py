@@ -22,11 +22,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Rows that a file of a written table holds at least, where their number is known.
+ROWS_A_FILE = 10_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of ``rows`` rows at most in partitions that aren't too small: many tiny files cost
+    more than they hold. The number of partitions follows the rows, and is never raised."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back: this cuts the
-    lineage, and losing an executor costs no recomputation of what lies before."""
+    lineage, and losing an executor costs no recomputation of what lies before. ``rows``: how
+    many there are at most, if known."""
     path = f"{shared_dir(df.sparkSession)}/furrow/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df if rows is None else sized(df, rows)).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
