@@ -13,28 +13,47 @@ place on the curve, are told apart by id and row, so no place gathers in one tas
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from . import tokens
-from .bpe import byte_letters, slices
-from .common import row_numbers, stored
+from .bpe import slices
+from .common import row_numbers, sized, stored
 
 DIMENSIONS, BITS, BUCKETS = 3, 10, 1024
-REMEMBERED = 400_000
-#: Separators in Python's split that Unicode does not call white space, and the one letter that
-#: Python lower-cases by its place in the word.
-UNLIKE = re.compile("[\x1c-\x1f\u03a3]")
+REMEMBERED = 300_000
+#: Texts with these are encoded whole: separators that Unicode does not call white space, a letter that
+#: is lower-cased by its place in the word, and scripts without spaces.
+UNLIKE = re.compile("[\x1c-\x1f\u03a3\u3000-\U0010ffff]")
+#: White space beyond ASCII.
+SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f"
+FAR_SPACE, TO_SPACE = re.compile(f"[{SPACES}]"), str.maketrans(SPACES, " " * len(SPACES))
 #: Marks that stand around words; an apostrophe may begin a piece with letters, and isn't one.
 MARKS = ".,;:!?#*$%&|<>()[]{}-_/=+\""
 
 
+@functools.cache
+def _without_cleaning(path: str):
+    """The same vocabulary and merges behind a split at spaces alone, and which ids end a word."""
+    with open(path, encoding="utf-8") as f:
+        form = json.load(f)
+    letters = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    form |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, letters]}}
+    ends = np.zeros(1 + max(form["model"]["vocab"].values()), dtype=bool)
+    suffix = form["model"]["end_of_word_suffix"]
+    ends[[i for t, i in form["model"]["vocab"].items() if t.endswith(suffix)]] = True
+    return Tokenizer.from_str(json.dumps(form)), ends
+
+
 class ChunkEncoder:
     """Ids of whole texts for vocabularies that drop white space and case, as the library gives them.
 
@@ -46,35 +65,38 @@ class ChunkEncoder:
     def __init__(self, file: str):
         path = tokens.vocabulary(file)
         self.library, self.special = tokens.tokenizer(path), tuple(tokens.special_tokens(path))
-        self.merge, self.letters = self.library.model.tokenize, byte_letters()
+        self.plain, self.ends = _without_cleaning(path)
         top = self.library.get_vocab_size()
         self.kind = "<u2" if top < 1 << 16 else "<u4"
-        self.raw = [np.array(i, dtype=self.kind).tobytes() for i in range(top)]
         self.known: dict[str, bytes] = {"": b""}
 
-    def _word(self, word: str) -> bytes:
-        """One run of lower-case letters, which is one piece: straight to the library's merging."""
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return b"".join([self.raw[t.id] for t in self.merge(shown)])
+    def _words(self, words: list[str], together: int = 100) -> list[bytes]:
+        """Runs of lower-case letters, each one piece, many in a call; a word's last id ends it."""
+        lines = [" ".join(words[i : i + together]) for i in range(0, len(words), together)]
+        ids = np.array(list(chain.from_iterable(e.ids for e in self.plain.encode_batch_fast(lines, add_special_tokens=False))), dtype=self.kind)
+        at = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *at.tolist()], at.tolist())]
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        known, parts, new, word = self.known, [], set(), self._word
-        for c in chunks:
+        known = self.known
+        words, rest, parts, whole = [c for c in chunks if c.isalpha()], [c for c in chunks if not c.isalpha()], [], set()
+        for c in rest:
             left = c.lstrip(MARKS)
             core = left.rstrip(MARKS)
-            if core.isalpha() and (core.isascii() or max(core) < "\u3000"):
-                if core not in known:
-                    known[core] = word(core)
-                if core is not c:
-                    parts.append((c, before := c[: len(c) - len(left)], core, after := left[len(core) :]))
-                    new.update((before, after))
+            if core.isalpha():
+                parts.append((c, before := c[: len(c) - len(left)], core, after := left[len(core) :]))
+                whole.update((before, after))
             else:
-                new.add(c)
-        new = [c for c in new if c not in known]
-        known.update(zip(new, self._encoded(new)))
+                whole.add(c)
+        cores = {core for _, _, core, _ in parts if core not in known}.difference(words)
+        words += cores
+        known.update(zip(words, self._words(words)))
+        whole = [c for c in whole if c not in known]
+        known.update(zip(whole, self._encoded(whole)))
         for c, before, core, after in parts:
             known[c] = known[before] + known[core] + known[after]
 
@@ -85,22 +107,28 @@ class ChunkEncoder:
             UNLIKE.search(t) is not None or any(s in x for s in self.special) or not unicodedata.is_normalized("NFC", t) or not unicodedata.is_normalized("NFC", x)
             for t, x in zip(texts, low)
         ]
-        split = [[] if o else x.split() for x, o in zip(low, odd)]
+        plain = pa.array(["" if o else x if FAR_SPACE.search(x) is None else x.translate(TO_SPACE) for x, o in zip(low, odd)], pa.string())
+        split = pc.ascii_split_whitespace(plain)
+        coded = split.flatten().dictionary_encode()
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-        met = list(set(chain.from_iterable(split)))
-        own = dict(zip(met, map(self.known.get, met)))
-        new = [c for c, ids in own.items() if ids is None]
+        chunks = coded.dictionary.to_pylist()
+        found = list(map(self.known.get, chunks))
+        new = [c for c, ids in zip(chunks, found) if ids is None]
         self._learn(new)
-        own.update(zip(new, map(self.known.__getitem__, new)))
+        found = list(map(self.known.__getitem__, chunks))
+        # every chunk's ids, by its number, laid end to end
+        pool = np.frombuffer(b"".join(found), dtype=self.kind)
+        size = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // pool.itemsize
+        number = coded.indices.to_numpy()
+        each = size[number]
+        end = np.concatenate([np.zeros(1, np.int32), np.cumsum(each, dtype=np.int32)])
+        at = np.repeat((np.cumsum(size, dtype=np.int32) - size)[number] - end[:-1], each)
+        at += np.arange(end[-1], dtype=np.int32)
+        laid = pool[at].tobytes()
+        edge = (end[split.offsets.to_numpy()].astype(np.int64) * pool.itemsize).tolist()
         whole = iter(self._encoded([t for t, o in zip(texts, odd) if o]))
-        return [next(whole) if o else b"".join(map(own.__getitem__, cs)) for cs, o in zip(split, odd)]
-
-
-@functools.cache
-def _encoder(file: str) -> ChunkEncoder:
-    """One a worker, whose memory of chunks outlasts a task."""
-    return ChunkEncoder(file)
+        return [next(whole) if o else laid[a:b] for o, a, b in zip(odd, edge, edge[1:])]
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -146,11 +174,11 @@ def _projector(seed: int = 0):
     return place
 
 
-def tokenise(docs: DataFrame, file: str, end_id: int, batch_chars: int = 3_000_000) -> DataFrame:
+def tokenise(docs: DataFrame, file: str, end_id: int, batch_chars: int = 4_000_000) -> DataFrame:
     """doc_id, ids (binary, 16-bit where the vocabulary allows), doc_tokens and curve key."""
 
     def run(batches):
-        encoder, place = _encoder(file), _projector()
+        encoder, place = ChunkEncoder(file), _projector()
         end = np.array(end_id, dtype=encoder.kind).tobytes()
         for batch in batches:
             for part in slices(batch, batch_chars):
@@ -168,7 +196,7 @@ def pack(docs: DataFrame, file: str = "word_bpe_49k.json", length: int = 4096, e
     """doc_id, start, ids (binary, unsigned 32-bit), doc_tokens, sequence_id, offset per piece."""
     table = stored(tokenise(docs, file, end_id).withColumn("_row", F.monotonically_increasing_id()), "tokens")
     narrow = table.select("_row", "doc_id", "doc_tokens", "curve")
-    placed = row_numbers(narrow, ["curve", "doc_id", "_row"], "curve", "_begin", "doc_tokens").select("_row", "_begin")
+    placed = row_numbers(narrow, ["curve", "doc_id", "_row"], "curve", "_begin", "doc_tokens", table.count()).select("_row", "_begin")
 
     def cut(batches):
         for batch in batches:
@@ -186,7 +214,8 @@ def pack(docs: DataFrame, file: str = "word_bpe_49k.json", length: int = 4096, e
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             yield from pa.Table.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"]).to_batches(4096)
 
-    return table.select("_row", "doc_id", "ids", "doc_tokens").join(placed, "_row").select("doc_id", "ids", "doc_tokens", "_begin").mapInArrow(cut, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+    whole = sized(table.select("_row", "doc_id", "ids", "doc_tokens").join(placed, "_row").select("doc_id", "ids", "doc_tokens", "_begin"), table.count())
+    return whole.mapInArrow(cut, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def pieces(docs: DataFrame, file: str = "word_bpe_49k.json", length: int = 4096, end_id: int = 2) -> DataFrame:
