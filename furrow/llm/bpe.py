@@ -23,6 +23,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,9 +227,8 @@ def encode(docs: DataFrame, vocabulary_file: str = "byte_bpe_50k.json", batch_ch
 
 
 def slices(batch: pa.RecordBatch, most: int, column: int = 1):
-    """Parts of a batch of about ``most`` bytes of text each; one row at least."""
-    import pyarrow.compute as pc
-
+    """Parts of a batch of about ``most`` bytes of text each; one row at least. Behind the last
+    one, memory that the parts took and Arrow still holds goes back to the system."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     if not len(sizes):
         return
@@ -236,6 +236,7 @@ def slices(batch: pa.RecordBatch, most: int, column: int = 1):
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1), len(sizes)]
     for a, b in zip(edges, edges[1:]):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def digests(docs: DataFrame, vocabulary_file: str = "byte_bpe_50k.json") -> DataFrame:

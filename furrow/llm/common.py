@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from furrow.operators.numbering import row_numbers
-from furrow.session import shared_dir, stored
+from furrow.session import shared_dir, sized, stored
 
-__all__ = ["Remembered", "WORD_BREAK_JAVA", "documents", "row_numbers", "shared_dir", "stored"]
+__all__ = ["Remembered", "WORD_BREAK_JAVA", "documents", "row_numbers", "shared_dir", "sized", "stored"]
 
 #: Word separators: space and \t \n \v \f \r.
 WORD_BREAK_JAVA = r"[\x20\x09-\x0D]+"
@@ -20,7 +20,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Remembered(dict):
     """``of(word)`` by word; forgets all of it beyond ``most`` words, which changes no result."""
 
-    def __init__(self, of, most: int = 400_000):
+    def __init__(self, of, most: int = 100_000):
         super().__init__()
         self.of, self.most = of, most
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import Remembered, stored
+from .common import Remembered, sized, stored
 from .components import components
 
 K, T = 48, 24
@@ -105,12 +105,12 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, posts array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, rows: int) -> DataFrame:
     """Of ``pairs`` (a, b: nodes) those whose full sets are similar enough.
 
     The members b of a centre a come to it in groups of about ``GROUP``, each with a copy of the
     centre's text, so a centre of any number of members spreads over tasks."""
-    pairs = stored(pairs, "candidates")
+    pairs = stored(pairs, "candidates", rows)
     spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     member = pairs.join(spread, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"), F.lit(1).alias("order"))
     centre = spread.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("order"))
@@ -164,14 +164,16 @@ def classes(docs: DataFrame, words: int, percent: int = 80) -> tuple[DataFrame,
     table = stored(sketch(docs, words), "sketch")
     own = table.where("n_shingles > 0 and doc_id is not null")
     nodes = own.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("posts").alias("posts"))
-    nodes = stored(nodes, "nodes")
+    every = own.count()
+    nodes = stored(nodes, "nodes", every)
     posts = nodes.select("node", F.explode("posts").alias("post"))
     lists = posts.groupBy("post").agg(F.count("*").alias("length")).where("length > 1")
     # few posts stay: those of documents that share shingles
     shared = posts.join(lists, "post").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("length", "post"))).alias("lists"))  # K at most
-    shared = stored(shared.where(F.size("lists") >= T).join(nodes.select("node", "n"), "node"), "lists")
+    shared = stored(shared.where(F.size("lists") >= T).join(nodes.select("node", "n"), "node"), "lists", every)
+    most = shared.count()
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(shared.select("node"), "node", "left_semi")
-    texts = stored(texts.dropDuplicates(["node"]), "texts")
+    texts = stored(texts.dropDuplicates(["node"]), "texts", every)
 
     # skip merge: collisions with the pivot of each list
     reach = F.aggregate("lists", F.lit(0).cast("long"), lambda n, x: n + x.length)
@@ -179,7 +181,7 @@ def classes(docs: DataFrame, words: int, percent: int = 80) -> tuple[DataFrame,
     pivots = posted.groupBy("post").agg(F.max_by("node", "rank").alias("pivot"))
     star = posted.join(pivots, "post").where("pivot != node").groupBy("pivot", "node").count()
     star = star.where(F.col("count") >= T).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    near = stored(components(confirmed(star, texts, words, percent)), "near")
+    near = stored(components(confirmed(star, texts, words, percent, most), rows=most), "near", most)
 
     # prefix merge: what is still apart
     prefix = shared.join(near, "node", "left").select(
@@ -187,23 +189,23 @@ def classes(docs: DataFrame, words: int, percent: int = 80) -> tuple[DataFrame,
     )
     apart = prefix.groupBy("post").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).where("_l < _h").select("post")
     left = prefix.join(apart, "post", "left_semi").select("node", "component", "n").distinct()
-    rare = stored(rare_shingles(stored(left, "apart"), texts, words, percent), "rare")
+    rare = stored(rare_shingles(stored(left, "apart", most), texts, words, percent), "rare", 10 * most)
     x, y = rare.alias("x"), rare.alias("y")
     both = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")  # shingles that they share at least
     early = (F.col("x.place") <= F.col("x.n") - both + 1) & (F.col("y.place") <= F.col("y.n") - both + 1)
     enough = F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= both
     meet = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & early & enough)
     meet = meet.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    every = nodes.select("node", "posts")
-    collide = meet.join(every.select(F.col("node").alias("a"), F.col("posts").alias("p")), "a").join(every.select(F.col("node").alias("b"), F.col("posts").alias("q")), "b")
+    coded = nodes.select("node", "posts")
+    collide = meet.join(coded.select(F.col("node").alias("a"), F.col("posts").alias("p")), "a").join(coded.select(F.col("node").alias("b"), F.col("posts").alias("q")), "b")
     collide = collide.where(F.size(F.array_intersect("p", "q")) >= T).select("a", "b")
-    links = confirmed(collide, texts, words, percent)
+    links = confirmed(collide, texts, words, percent, 10 * most)
     label = lambda c, name: near.select(F.col("node").alias(c), F.col("component").alias(name))
     joined = links.join(label("a", "ca"), "a", "left").join(label("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    far = components(joined).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    far = components(joined, rows=most).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     whole = near.join(far, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     alone = far.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(near, "node", "left_anti")
-    found = stored(whole.union(alone), "components")
+    found = stored(whole.union(alone), "components", most)
     return table, nodes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
 
 
@@ -211,7 +213,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     table, found = classes(docs, words, percent)
     out = table.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(found, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return sized(out, table.count())
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
