@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .bpe import slices
+from .common import shared_dir, sized, stored
 
 WIDTH = 64
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 16_000_000
 #: The PNG signature and the length of signature and header chunk.
 SIGNATURE, HEADER_BYTES = b"\x89PNG\r\n\x1a\n", 33
 
@@ -43,7 +44,7 @@ def to_png(payload: bytes) -> bytes:
     rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH)
     lines = np.zeros((len(rows), WIDTH + 1), dtype=np.uint8)  # byte 0 of a line: no filter
     lines[:, 1:] = rows
-    data = zlib.compress(lines.tobytes(), 3)
+    data = zlib.compress(lines.tobytes(), 6)
     most = (1 << 31) - 1
     parts = [(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0))]
     parts += [(b"IDAT", data[i : i + most]) for i in range(0, len(data), most)] + [(b"IEND", b"")]
@@ -90,7 +91,7 @@ def _files(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def _put(folder: str, content: bytes) -> str:
+def _put(folder: str, content: memoryview) -> str:
     files, path = _files(folder)
     name, part = f"{hashlib.sha256(content).hexdigest()}.tar", f".part-{uuid.uuid4().hex}"
     with files.open_output_stream(f"{path}/{part}") as out:
@@ -124,12 +125,12 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataF
 
         def close():
             shard.tar.close()
-            where = _put(folder, shard.buffer.getvalue())
+            where = _put(folder, shard.buffer.getbuffer())
             placed = [(i, n, d, where, *shard.place(d)) for i, n, d in rows]
             seen.update({d: (where, *shard.place(d)) for d in shard.entries})
             return pa.RecordBatch.from_arrays([pa.array(list(c), k.type) for c, k in zip(zip(*placed), schema)], schema=schema)
 
-        for batch in batches:
+        for batch in (part for batch in batches for part in slices(batch, 8_000_000)):
             old = []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py()
@@ -159,20 +160,24 @@ def entries(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("_at")).select("digest", "_at.*")
 
 
-def _read(places: DataFrame, what, names: dict[str, str], whole: bool) -> DataFrame:
-    """Range-read each entry's head, or all of it, and add the columns that ``what`` returns."""
+HEADER_COLUMNS = {"width": "int", "height": "int", "bit_depth": "int", "colour": "int"}
+SAMPLE_COLUMNS = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "average_hash": "string"}
+
+
+def _read(places: DataFrame, header: bool, samples: bool) -> DataFrame:
+    """Range-read each entry's head, its whole, or both, and add the columns that follow."""
+    names = (HEADER_COLUMNS if header else {}) | (SAMPLE_COLUMNS if samples else {})
 
     def run(batches):
-        kept = {}
+        shard, file = None, None
         for batch in batches:
             out = []
-            for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
-                if shard not in kept:
-                    for f in kept.values():
-                        f.close()
-                    files, path = _files(shard)
-                    kept = {shard: files.open_input_file(path)}
-                out.append(what(kept[shard].read_at(length if whole else min(length, HEADER_BYTES), offset)))
+            for name, offset, length in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
+                if name != shard:
+                    files, path = _files(name)
+                    shard, file = name, files.open_input_file(path)
+                found = read_header(file.read_at(min(length, HEADER_BYTES), offset)) if header else {}
+                out.append(found | (sample_features(file.read_at(length, offset)) if samples else {}))
             kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
             added = [pa.array([o[c] for o in out], kinds[t]) for c, t in names.items()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
@@ -181,29 +186,30 @@ def _read(places: DataFrame, what, names: dict[str, str], whole: bool) -> DataFr
     return places.mapInArrow(run, schema)
 
 
+def sample_features(png: bytes) -> dict:
+    """Digests of payload and stored form, and a feature of the samples, read back."""
+    samples = read_samples(png)
+    payload = samples.tobytes()
+    return {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-WIDTH:]), "media_bytes": len(png), "media_sha256": hashlib.sha256(png).hexdigest(), "average_hash": average_hash(samples)}
+
+
 def with_metadata(places: DataFrame) -> DataFrame:
     """Metadata columns from header-only range reads."""
-    return _read(places, read_header, {"width": "int", "height": "int", "bit_depth": "int", "colour": "int"}, False)
+    return _read(places, header=True, samples=False)
 
 
 def with_features(places: DataFrame) -> DataFrame:
-    """Features of the samples, read back, and digests of payload and stored form."""
-
-    def what(png: bytes) -> dict:
-        samples = read_samples(png)
-        payload = samples.tobytes()
-        return {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-WIDTH:]), "media_bytes": len(png), "media_sha256": hashlib.sha256(png).hexdigest(), "average_hash": average_hash(samples)}
-
-    names = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "average_hash": "string"}
-    return _read(places, what, names, True)
+    """Metadata from header-only reads, then features from reads of whole entries."""
+    return _read(places, header=True, samples=True)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """The contract's columns, with the row's digest, shard, offset and length."""
     rows = store(docs, f"{shared_dir(docs.sparkSession)}/furrow/media-{uuid.uuid4().hex}")
     places = entries(rows).repartition("shard", F.pmod(F.expr("offset div 4000000"), F.lit(8))).sortWithinPartitions("shard", "offset")
-    known = with_features(with_metadata(places))
+    known = with_features(places)
     feature = F.concat_ws(":", F.concat_ws("x", "width", "height", "bit_depth"), "average_hash")
-    return rows.select("doc_id", "n_bytes", "digest").join(known, "digest").select(
+    out = rows.select("doc_id", "n_bytes", "digest").join(known, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "shard", "offset", "length"
     )
+    return sized(out, rows.count())
