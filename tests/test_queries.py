@@ -36,4 +36,4 @@ def test_the_rest_stands_without_the_text_operators():
     root = os.path.dirname(queries.__file__)
     for path in glob.glob(f"{root}/**/*.py", recursive=True):
         if f"{os.sep}llm{os.sep}" not in path:
-            assert "llm" not in open(path, encoding="utf-8").read(), path
+            assert "furrow.llm" not in open(path, encoding="utf-8").read(), path
