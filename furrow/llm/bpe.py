@@ -17,7 +17,6 @@ Null text counts as empty; empty texts have 0 tokens; repeated rows are encoded
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import json
 
