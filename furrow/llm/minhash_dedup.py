@@ -171,7 +171,7 @@ def classes(docs: DataFrame, words: int, percent: int = 80) -> tuple[DataFrame,
     # few posts stay: those of documents that share shingles
     shared = posts.join(lists, "post").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("length", "post"))).alias("lists"))  # K at most
     shared = stored(shared.where(F.size("lists") >= T).join(nodes.select("node", "n"), "node"), "lists", every)
-    most = shared.count()
+    most = shared.count()  # nodes; tables of their posts are K times that at most
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(shared.select("node"), "node", "left_semi")
     texts = stored(texts.dropDuplicates(["node"]), "texts", every)
 
@@ -181,7 +181,7 @@ def classes(docs: DataFrame, words: int, percent: int = 80) -> tuple[DataFrame,
     pivots = posted.groupBy("post").agg(F.max_by("node", "rank").alias("pivot"))
     star = posted.join(pivots, "post").where("pivot != node").groupBy("pivot", "node").count()
     star = star.where(F.col("count") >= T).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    near = stored(components(confirmed(star, texts, words, percent, most), rows=most), "near", most)
+    near = stored(components(confirmed(star, texts, words, percent, K * most), rows=most), "near", most)
 
     # prefix merge: what is still apart
     prefix = shared.join(near, "node", "left").select(
@@ -189,7 +189,7 @@ def classes(docs: DataFrame, words: int, percent: int = 80) -> tuple[DataFrame,
     )
     apart = prefix.groupBy("post").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).where("_l < _h").select("post")
     left = prefix.join(apart, "post", "left_semi").select("node", "component", "n").distinct()
-    rare = stored(rare_shingles(stored(left, "apart", most), texts, words, percent), "rare", 10 * most)
+    rare = stored(rare_shingles(stored(left, "apart", K * most), texts, words, percent), "rare", K * most)
     x, y = rare.alias("x"), rare.alias("y")
     both = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")  # shingles that they share at least
     early = (F.col("x.place") <= F.col("x.n") - both + 1) & (F.col("y.place") <= F.col("y.n") - both + 1)
@@ -199,7 +199,7 @@ def classes(docs: DataFrame, words: int, percent: int = 80) -> tuple[DataFrame,
     coded = nodes.select("node", "posts")
     collide = meet.join(coded.select(F.col("node").alias("a"), F.col("posts").alias("p")), "a").join(coded.select(F.col("node").alias("b"), F.col("posts").alias("q")), "b")
     collide = collide.where(F.size(F.array_intersect("p", "q")) >= T).select("a", "b")
-    links = confirmed(collide, texts, words, percent, 10 * most)
+    links = confirmed(collide, texts, words, percent, K * most)
     label = lambda c, name: near.select(F.col("node").alias(c), F.col("component").alias(name))
     joined = links.join(label("a", "ca"), "a", "left").join(label("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     far = components(joined, rows=most).select(F.col("node").alias("component"), F.col("component").alias("whole"))
