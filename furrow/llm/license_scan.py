@@ -4,6 +4,11 @@ Words are lower-cased runs of ASCII letters and digits. Templates fall into clas
 number of word shingles, rounded up to a power of two, c. A class reads texts in windows of 2c
 shingles that start every c, so whatever passage is as long as a template lies whole in a window.
 
+``KNOWN`` holds notices of the usual public licenses, lines of copyright and the whole texts in
+``licenses``; ``TEMPLATES``, the default, are its notices of a shingle or more. A text that holds several (a notice in a body, BSD-2-Clause in BSD-3-Clause) is
+reported with each; of notices that differ by a version alone, the right one has the most of its
+shingles found.
+
 A window that holds the demanded share of a template's shingles has at least a known Jaccard
 similarity to it. One-row MinHash bands, as many as that bound asks for, make a true window
 collide with its template but for one case in ``1 / MISS``. Windows without any shingle of a
@@ -20,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +40,7 @@ SHINGLE, CONTAINED, MISS = 5, 0.8, 1e-6
 #: Templates travel with the tasks; more are refused.
 MOST_TEMPLATES = 10_000
 
-#: Short notices and the leading sentences of public licenses.
+#: Notices and sentences by which public licenses are named or begin.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -44,7 +50,52 @@ TEMPLATES = (
     ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("MIT", "This project is licensed under the MIT License."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("BSD", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    *((f"CC-{k}-4.0", f"Licensed under CC {k} 4.0.") for k in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")),
+    *((f"CC-{k}-{v}", f"licensed under a Creative Commons {name} {v} {port} License") for v, port in (("4.0", "International"), ("3.0", "Unported")) for k, name in (
+        ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"),
+        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+)
+#: Notices of fewer words than a shingle. The mark © is no word, so its lines are known by their year.
+SHORT = (
+    ("All-Rights-Reserved", "All rights reserved."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("Copyright", "Copyright (c)"),
+    *(("Copyright", f"Copyright {year}") for year in range(1970, 2036)),
 )
+#: Whole licenses: the files beside this module, without lines of their holders.
+BODIES = tuple((f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in sorted(files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt"))
+#: All of them: what the query looks for.
+KNOWN = TEMPLATES + SHORT + BODIES
 
 
 def bands_for(jaccard: float, miss: float = MISS) -> int:
@@ -76,25 +127,30 @@ class Matcher:
         self.sizes = sorted({min(size, len(w)) for w in self.words if w})
         self.shingles = [frozenset(self._tuples(w, min(size, len(w)))) for w in self.words]
         self.bands: dict[tuple[int, int], dict] = {}  # (shingle size, class) -> band, value -> templates
-        every = defaultdict(list)
+        every, of_class = defaultdict(list), defaultdict(list)
         for i, w in enumerate(self.words):
             if w:
                 n = min(size, len(w))
                 c = 1 << max(0, (len(self.shingles[i]) - 1).bit_length())
-                hashes = self.hashes(w, n)
+                hashes = self.hashes(self.ids(w), n)
                 every[n].append(hashes)
                 index = self.bands.setdefault((n, c), defaultdict(list))
                 for band, value in enumerate(self.signature(np.unique(hashes))):
                     index[band, int(value)].append(i)
+                of_class[n, c].append(hashes)
         self.every = {n: np.unique(np.concatenate(h)) for n, h in every.items()}
+        self.of_class = {k: np.unique(np.concatenate(h)) for k, h in of_class.items()}
 
     @staticmethod
     def _tuples(words: list[str], n: int) -> list[tuple]:
         return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
 
-    def hashes(self, words: list[str], n: int) -> np.ndarray:
+    def ids(self, words: list[str]) -> np.ndarray:
         self.known.trim()
-        h = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
+
+    def hashes(self, h: np.ndarray, n: int) -> np.ndarray:
+        """Of the shingles of ``n`` words with these ids."""
         out = np.full(max(0, len(h) - n + 1), n, dtype=np.uint64)
         with np.errstate(over="ignore"):
             for i in range(n if len(out) else 0):
@@ -108,9 +164,10 @@ class Matcher:
     def find(self, text: str | None) -> dict[int, tuple[int, int, int]]:
         """template -> (first word, end word, shingles found) of its fullest window."""
         words = WORD.findall((text or "").lower())
+        ids = self.ids(words)
         best: dict[int, tuple] = {}
         for n in self.sizes:
-            hashes = self.hashes(words, n)
+            hashes = self.hashes(ids, n)
             every = self.every[n]
             hit = np.flatnonzero(every[np.minimum(np.searchsorted(every, hashes), len(every) - 1)] == hashes)
             if not len(hit):
@@ -118,7 +175,8 @@ class Matcher:
             for (size, c), index in self.bands.items():
                 if size != n:
                     continue
-                window = np.unique(np.concatenate([hit // c, hit // c - 1]))  # window k: shingles kc to kc + 2c
+                at = hit[np.isin(hashes[hit], self.of_class[n, c])]
+                window = np.unique(np.concatenate([at // c, at // c - 1]))  # window k: shingles kc to kc + 2c
                 for k in window[window >= 0]:
                     begin = int(k) * c
                     part = hashes[begin : begin + 2 * c]

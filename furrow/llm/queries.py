@@ -26,7 +26,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(documents(spark, sf_dir))
+    return license_scan.scan(documents(spark, sf_dir), license_scan.KNOWN)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from furrow.llm import bpe, license_scan, media, minhash_dedup, packing, quality_rules, secret_scan, sharding, token_counts, tokens, url_filter
+from furrow.llm import queries as llm_queries
 from furrow.llm.components import components
 from pyspark.sql import functions as F
 
@@ -302,6 +303,28 @@ def test_license_passages_anywhere_in_a_text(spark):
     assert got == expected
 
 
+def test_usual_notices_and_whole_licenses_are_known(spark):
+    lines = {
+        "All rights reserved.": "All-Rights-Reserved", "Copyright (c) 2019 Some Body": "Copyright", "Copyright © 2021 Some Body": "Copyright",
+        "Licensed under the ISC License.": "ISC", "SPDX-License-Identifier: MPL-2.0": "MPL-2.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+        "Licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0", "Licensed under the BSD 3-Clause License.": "BSD-3-Clause",
+    }
+    rows = [(f"some words before\n{t}\nand some words after it", name) for t, name in lines.items()]
+    rows += [(text, name) for name, text in license_scan.BODIES]
+    assert {"MIT", "Apache-2.0", "BSD-3-Clause", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "ISC"} <= {name for name, _ in license_scan.BODIES}
+    found = license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string"), license_scan.KNOWN).collect()
+    for i, (_, name) in enumerate(rows):
+        whole = {r.license for r in found if r.doc_id == i and r.n_found == r.n_template}
+        assert name in whole, name
+        assert i >= len(lines) or whole == {name}
+
+
+def test_the_query_reports_every_license_line(spark, sf_dir):
+    said = spark.read.parquet(f"{sf_dir}/documents.parquet").where(r"text rlike '(?m)^All rights reserved\\.$'").select("doc_id")
+    assert said.count() > 0
+    assert said.join(llm_queries.op4_license_scans(spark, sf_dir).where("license = 'All-Rights-Reserved'"), "doc_id", "left_anti").count() == 0
+
+
 # 6
 
 
