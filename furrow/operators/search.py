@@ -7,7 +7,7 @@ import json
 import random
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.operators import models
@@ -23,6 +23,7 @@ from furrow.sources.files import tolerant_json, write_json
 MODES = {"fast": 2, "metrics": 4, "full": 8}
 MISSING = {"core": 0.35, "mid": 0.60, "full": 0.85}
 TE = ["te_crop", "te_region", "te_region_crop"]
+STATISTICS = [f"yield_lag_{s}" for s in ("last", "count_nonnull", "mean_2", "mean_3", "std_3", "min_3", "max_3", "slope_3", "mean_5", "std_5", "min_5", "max_5", "slope_5", "momentum_1", "momentum_2", "momentum_4", "ratio_last_mean3")]
 INTERACTIONS = ["lag_last_minus_te_crop", "lag_last_minus_te_region", "lag_last_minus_te_region_crop", "lag_last_div_te_crop", "lag_last_div_te_region_crop"]
 
 
@@ -52,30 +53,62 @@ def signature(frame: DataFrame, columns: list[str]) -> str:
     return got.first().s
 
 
-def with_target_means(train: DataFrame, test: DataFrame, smoothing: float = 10.0) -> tuple[DataFrame, DataFrame]:
-    """Both with target means and interactions from ``train`` alone."""
-    means = target_means(train, smoothing)
-    done = [add_interactions(add_target_means(add_lag_statistics(x), means)) for x in (train, test)]
-    return done[0], done[1]
+def derived_names(use_te: bool = True) -> list[str]:
+    """Columns a model gets beside its features: lag statistics always, target means and interactions with ``use_te``."""
+    return [*STATISTICS, *TE, *INTERACTIONS] if use_te else STATISTICS
 
 
-def out_of_fold(panel: DataFrame, folds: DataFrame, kind: str, task: str, features: list[str], params: dict, via_regression: bool = False, use_te: bool = True) -> DataFrame:
-    """Predictions of every fold's test rows by a model of its training rows."""
+def derived(rows: DataFrame, means: dict[str, DataFrame] | None) -> DataFrame:
+    rows = add_lag_statistics(rows)
+    return rows if means is None else add_interactions(add_target_means(rows, means))
+
+
+class Derived:
+    """A fitted model that derives its further columns from lags and its training rows' target means itself."""
+
+    def __init__(self, fitted: models.Fitted, means: dict[str, DataFrame] | None):
+        self.fitted, self.means = fitted, means
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        return self.fitted.predict(derived(rows, self.means)).select(*(F.col(f"`{c}`") for c in rows.columns), self.fitted.rename)
+
+    def save(self, path: str, signature: str = "") -> None:
+        for name, table in (self.means or {}).items():
+            table.write.mode("overwrite").parquet(f"{path}/means/{name}")
+        self.fitted.save(path, signature)
+
+
+def load(path: str, signature: str, use_te: bool = True) -> Derived | None:
+    fitted = models.load(path, signature)
+    if fitted is None:
+        return None
+    names = (*TE, "te_global") if use_te else ()
+    read = SparkSession.active().read
+    return Derived(fitted, {n: read.parquet(f"{path}/means/{n}") for n in names} or None)
+
+
+def fit(train: DataFrame, kind: str, task: str, features: list[str], params: dict | None = None, use_te: bool = True, smoothing: float = 10.0, weight: str | None = None) -> Derived:
+    """``models.fit`` on the features and what is derived from them and from ``train`` alone."""
+    means = {k: m.cache() for k, m in target_means(train, smoothing).items()} if use_te else None
+    return Derived(models.fit(derived(train, means).cache(), kind, task, [*features, *derived_names(use_te)], params, weight=weight), means)
+
+
+def out_of_fold(panel: DataFrame, folds: DataFrame, kind: str, task: str, features: list[str], params: dict, via_regression: bool = False, use_te: bool = True, smoothing: float = 10.0, tertiles: str = "fixed") -> DataFrame:
+    """Predictions of every fold's test rows by a model of its training rows.
+
+    A regressor's classes have the thresholds of the whole panel, or with tertiles "refit" of the
+    fold's training rows."""
     every, out = folded(panel, folds), None
     for f in [r.fold for r in folds.select("fold").orderBy("fold").collect()]:  # n_splits at most
         one = every.where(F.col("fold") == f)
         train, test = one.where("is_train"), one.where("not is_train")
-        names = features
-        if use_te:
-            train, test = with_target_means(train, test)
-            names = [*features, *TE, *INTERACTIONS]
         if task == "regression" or via_regression:
-            done = models.fit(train, kind, "regression", names, params).predict(test)
-            done = to_class(done, train) if via_regression else done
+            done = fit(train, kind, "regression", features, params, use_te, smoothing).predict(test)
+            done = to_class(done, panel if tertiles == "fixed" else train) if via_regression else done
         else:
             weights = class_weights(train)
             train = train.join(F.broadcast(weights), "yield_class")  # a row a class
-            done = models.fit(train, kind, task, names, params, weight="weight").predict(test)
+            done = fit(train, kind, task, features, params, use_te, smoothing, weight="weight").predict(test)
         out = done if out is None else out.unionByName(done)
     return out
 
@@ -87,14 +120,17 @@ def fold_scores(predicted: DataFrame, task: str) -> DataFrame:
     return class_metrics(predicted, by=["fold"]).select("fold", F.col("f1_macro").alias("score"))
 
 
-def best_threshold(panel: DataFrame, folds: DataFrame, features: list[str], task: str, use_te: bool = False) -> tuple[str, list[str]]:
-    """The missing-share threshold whose features score best with a default model; the first on ties."""
+def best_threshold(panel: DataFrame, folds: DataFrame, features: list[str], task: str, use_te: bool = True, smoothing: float = 10.0, tertiles: str = "fixed", feature_set: str = "auto") -> tuple[str, list[str]]:
+    """The missing-share threshold whose features score best with a default model, the first on
+    ties; or the one that ``feature_set`` names."""
     profile, best = missing_profile(panel, features).cache(), None
-    for name, share in MISSING.items():
+    for name, share in MISSING.items() if feature_set == "auto" else [(feature_set, MISSING[feature_set])]:
         kept = sorted(r.feature for r in kept_by_threshold(profile, share).collect())  # column names
         if not kept:
             continue
-        done = out_of_fold(panel, folds, "Ridge", "regression", kept, {"regParam": 0.1}, task != "regression", use_te)
+        if feature_set != "auto":
+            return name, kept
+        done = out_of_fold(panel, folds, "Ridge", "regression", kept, {"regParam": 0.1}, task != "regression", use_te, smoothing, tertiles)
         score = fold_scores(done, task).agg(F.avg("score")).first()[0]
         if score is not None and (best is None or score > best[0]):
             best = score, name, kept
@@ -103,14 +139,14 @@ def best_threshold(panel: DataFrame, folds: DataFrame, features: list[str], task
     return best[1], best[2]
 
 
-def search(panel: DataFrame, features: list[str], task: str = "regression", kinds: list[str] | None = None, mode: str = "fast", n_splits: int = 4, seed: int = 42, use_te: bool = False) -> tuple[models.Fitted, dict, DataFrame]:
+def search(panel: DataFrame, features: list[str], task: str = "regression", kinds: list[str] | None = None, mode: str = "fast", n_splits: int = 4, seed: int = 42, use_te: bool = True, smoothing: float = 10.0, tertiles: str = "fixed", feature_set: str = "auto", min_train: int = 8, min_test: int = 4) -> tuple[Derived, dict, DataFrame]:
     """(model refitted on all rows, info, scores by candidate and fold).
 
     Candidates that fail are recorded and skipped; if all fail that is an error. A classifier is
     searched directly and by way of the regressors' tertile classes."""
     rows = panel.where(task_mask(features, task)).cache()
-    folds = year_folds(rows, n_splits).cache()
-    chosen, names = best_threshold(rows, folds, features, task, use_te)
+    folds = year_folds(rows, n_splits, min_train, min_test).cache()
+    chosen, names = best_threshold(rows, folds, features, task, use_te, smoothing, tertiles, feature_set)
     plans = [(c, False) for c in candidates(models.REGRESSORS if task == "regression" else models.CLASSIFIERS, kinds or ["Ridge", "GBT"] if task == "regression" else kinds or ["Logistic", "Forest"], MODES[mode], seed)]
     if task != "regression":
         plans += [(c, True) for c in candidates(models.REGRESSORS, ["Ridge"], MODES[mode], seed)]
@@ -118,7 +154,7 @@ def search(panel: DataFrame, features: list[str], task: str = "regression", kind
     for position, (c, via) in enumerate(plans):
         name = ("Reg2Tertile " if via else "") + str(c)
         try:
-            done = out_of_fold(rows, folds, c.kind, task, names, dict(c.params), via, use_te).cache()
+            done = out_of_fold(rows, folds, c.kind, task, names, dict(c.params), via, use_te, smoothing, tertiles).cache()
             scores = fold_scores(done, task).withColumns({"candidate": F.lit(name), "position": F.lit(position)})
             score = scores.agg(F.avg("score")).first()[0]
         except Exception as e:  # noqa: BLE001  a candidate that can't be fitted is a result too
@@ -132,10 +168,8 @@ def search(panel: DataFrame, features: list[str], task: str = "regression", kind
         raise ValueError(f"no candidate could be fitted: {tried}")
     score, c, via, done = best
     oof = regression_metrics(done, [], "yield", "yield_pred") if task == "regression" else class_metrics(done)
-    whole = with_target_means(rows, rows)[0] if use_te else rows
-    own = [*names, *TE, *INTERACTIONS] if use_te else names
-    fitted = models.fit(whole, c.kind, "regression" if via else task, own, dict(c.params))
-    info = {"task": task, "best": str(c), "via_regression": via, "feature_set": chosen, "features": own, "cv": score, "oof": oof.first().asDict(), "tried": tried, "signature": signature(rows, [*names, "region", "crop", "year", "yield"])}
+    fitted = fit(rows, c.kind, "regression" if via else task, names, dict(c.params), use_te, smoothing)
+    info = {"task": task, "best": str(c), "via_regression": via, "feature_set": chosen, "features": names, "derived": derived_names(use_te), "cv": score, "oof": oof.first().asDict(), "tried": tried, "signature": signature(rows, [*names, "region", "crop", "year", "yield"])}
     return fitted, info, table
 
 
@@ -163,12 +197,12 @@ def permutation_importance(rows: DataFrame, features: list[str], predict, task:
     return table.groupBy("feature").agg(F.avg("lost").alias("importance_mean"), F.stddev_pop("lost").alias("importance_std")).orderBy(F.desc("importance_mean"), "feature")
 
 
-def cached_search(path: str, panel: DataFrame, features: list[str], task: str = "regression", force: bool = False, **options) -> tuple[models.Fitted, dict]:
+def cached_search(path: str, panel: DataFrame, features: list[str], task: str = "regression", force: bool = False, **options) -> tuple[Derived, dict]:
     """``search``, or the model and info saved under ``path`` if they are of the same rows and options."""
     spark = panel.sparkSession
     key = signature(panel, [*features, "region", "crop", "year", "yield"]) + json.dumps([task, options], sort_keys=True, default=str)
     info = tolerant_json(spark, f"{path}/info")
-    if not force and info and (model := models.load(path, key)) is not None:
+    if not force and info and (model := load(path, key, options.get("use_te", True))) is not None:
         return model, info
     model, info, _ = search(panel, features, task, **options)
     model.save(path, key)

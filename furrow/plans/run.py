@@ -49,7 +49,7 @@ def run(spark: SparkSession, panel: DataFrame, out: str, options: Settings = Set
         full = full.cache()
         plain = [f for f in features if not f.startswith("yield_lag")]
     with timed("tuning"):
-        tune = {"mode": options.tune_mode, "n_splits": options.folds, "seed": options.seed}
+        tune = {"mode": options.tune_mode, "n_splits": options.folds, "seed": options.seed, "use_te": options.use_target_mean, "smoothing": options.smoothing, "tertiles": options.tertiles, "feature_set": options.feature_set, "min_train": options.min_train_rows, "min_test": options.min_test_rows}
         reg, reg_info = search.cached_search(f"{out}/models/best_regressor", full, features, "regression", not options.use_cache, kinds=list(options.regressors), **tune)
         clf, clf_info = search.cached_search(f"{out}/models/best_classifier", full, features, "classification", not options.use_cache, kinds=list(options.classifiers), **tune)
         own = [f for f in reg_info["features"]]
@@ -57,7 +57,7 @@ def run(spark: SparkSession, panel: DataFrame, out: str, options: Settings = Set
         kind = reg_info["best"].split(" ", 1)[0]
 
         def fit(train: DataFrame):
-            return search.models.fit(train, kind, "regression", own).predict
+            return search.fit(train, kind, "regression", own, None, options.use_target_mean, options.smoothing).predict
 
         tables["backtest"] = forecast.backtest_model(panel, [f for f in own if f in plain], list(options.lags), fit, options.backtest_years).cache()
         tables["backtest_by_year"] = regression_metrics(tables["backtest"], ["year"]).orderBy("year")

@@ -162,6 +162,32 @@ def test_golden_errors(spark):
     assert [round(x, 6) for x in (r.rmse, r.mae, r.mape, r.r2)] == [0.592773, 0.478979, 30.838128, 0.669645] and r.n == 12
 
 
+def test_models_get_what_is_derived(spark, sf_dir, tmp_path):
+    full = lags.add_lags(panel.panel_view(spark, sf_dir), (1, 2)).where("year > 1996")
+    model = search.fit(full, "Ridge", "regression", ["aod", "yield_lag1"], {"regParam": 0.1}, smoothing=3.0)
+    assert model.fitted.numeric == ["aod", "yield_lag1", *search.STATISTICS, *search.TE, *search.INTERACTIONS] and len(search.STATISTICS) == 17
+    model.save(str(tmp_path / "m"), "key")
+    one, again = (sorted((r.region, r.crop, r.year, round(r.yield_pred, 6)) for r in m.predict(full).collect()) for m in (model, search.load(str(tmp_path / "m"), "key")))
+    assert one == again and len(one) == full.count()
+    assert search.fit(full, "Ridge", "regression", ["aod"], use_te=False).fitted.numeric == ["aod", *search.STATISTICS]
+
+
+def test_the_run_passes_its_settings_on(spark, sf_dir, tmp_path, monkeypatch):
+    from furrow.config import Settings
+
+    seen = []
+
+    def stop(*args, **options):
+        seen.append(options)
+        raise InterruptedError
+
+    monkeypatch.setattr(search, "cached_search", stop)
+    with pytest.raises(InterruptedError):
+        run.run(spark, panel.panel_view(spark, sf_dir), str(tmp_path), Settings(use_target_mean=False, smoothing=3.0, tertiles="refit", feature_set="mid", min_train_rows=5, min_test_rows=2))
+    wanted = {"use_te": False, "smoothing": 3.0, "tertiles": "refit", "feature_set": "mid", "min_train": 5, "min_test": 2}
+    assert {k: seen[0].get(k) for k in wanted} == wanted
+
+
 def test_shuffled_is_a_permutation(spark):
     rows = spark.range(50).select(F.col("id").alias("a"), (F.col("id") * 2).alias("b"))
     got = search.shuffled(rows, "b", 3).collect()
