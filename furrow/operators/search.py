@@ -169,7 +169,7 @@ def search(panel: DataFrame, features: list[str], task: str = "regression", kind
     score, c, via, done = best
     oof = regression_metrics(done, [], "yield", "yield_pred") if task == "regression" else class_metrics(done)
     fitted = fit(rows, c.kind, "regression" if via else task, names, dict(c.params), use_te, smoothing)
-    info = {"task": task, "best": str(c), "via_regression": via, "feature_set": chosen, "features": names, "derived": derived_names(use_te), "cv": score, "oof": oof.first().asDict(), "tried": tried, "signature": signature(rows, [*names, "region", "crop", "year", "yield"])}
+    info = {"task": task, "best": str(c), "kind": c.kind, "params": dict(c.params), "via_regression": via, "feature_set": chosen, "features": names, "derived": derived_names(use_te), "cv": score, "oof": oof.first().asDict(), "tried": tried, "signature": signature(rows, [*names, "region", "crop", "year", "yield"])}
     return fitted, info, table
 
 

@@ -54,10 +54,8 @@ def run(spark: SparkSession, panel: DataFrame, out: str, options: Settings = Set
         clf, clf_info = search.cached_search(f"{out}/models/best_classifier", full, features, "classification", not options.use_cache, kinds=list(options.classifiers), **tune)
         own = [f for f in reg_info["features"]]
     with timed("backtest"):
-        kind = reg_info["best"].split(" ", 1)[0]
-
         def fit(train: DataFrame):
-            return search.fit(train, kind, "regression", own, None, options.use_target_mean, options.smoothing).predict
+            return search.fit(train, reg_info["kind"], "regression", own, reg_info["params"], options.use_target_mean, options.smoothing).predict
 
         tables["backtest"] = forecast.backtest_model(panel, [f for f in own if f in plain], list(options.lags), fit, options.backtest_years).cache()
         tables["backtest_by_year"] = regression_metrics(tables["backtest"], ["year"]).orderBy("year")

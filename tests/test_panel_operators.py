@@ -188,6 +188,23 @@ def test_the_run_passes_its_settings_on(spark, sf_dir, tmp_path, monkeypatch):
     assert {k: seen[0].get(k) for k in wanted} == wanted
 
 
+def test_the_backtest_fits_the_model_that_was_found(spark, sf_dir, tmp_path, monkeypatch):
+    from furrow.config import Settings
+
+    found, fitted = {"features": ["aod", "yield_lag1"], "best": "Ridge x", "kind": "Ridge", "params": {"regParam": 0.1}}, []
+
+    def stop(train, kind, task, names, params=None, *rest, **options):
+        fitted.append((kind, names, params))
+        raise InterruptedError
+
+    monkeypatch.setattr(search, "cached_search", lambda *args, **options: (None, found))
+    monkeypatch.setattr(search, "fit", stop)
+    monkeypatch.setattr(search.models, "fit", stop)
+    with pytest.raises(InterruptedError):
+        run.run(spark, panel.panel_view(spark, sf_dir), str(tmp_path), Settings())
+    assert fitted == [("Ridge", ["aod", "yield_lag1"], {"regParam": 0.1})]
+
+
 def test_shuffled_is_a_permutation(spark):
     rows = spark.range(50).select(F.col("id").alias("a"), (F.col("id") * 2).alias("b"))
     got = search.shuffled(rows, "b", 3).collect()
