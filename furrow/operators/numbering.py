@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from furrow.session import stored
 
 
-def row_numbers(df: DataFrame, order: list, name: str, into: str = "row_number", weight: str | None = None, rows: int | None = None) -> DataFrame:
+def row_numbers(df: DataFrame, order: list, name: str, into: str = "row_number", weight: str | None = None, size: int | None = None) -> DataFrame:
     """Dense global numbers 0, 1, ... in the order of ``order`` (all rows, no single task).
 
     With ``weight`` the number is the running sum of that column before the row instead. The
     rows are range-partitioned and sorted once, written, and shifted by the totals of the
-    partitions before theirs; only one total a partition is broadcast.
+    partitions before theirs; only one total a partition is broadcast. ``size``: bytes of
+    ``df``, if known. Equal keys all go to one partition: end ``order`` with a column that tells
+    rows apart where many may be equal.
     """
     step = F.lit(1).cast("long") if weight is None else F.col(weight)
     placed = (
@@ -23,7 +25,7 @@ def row_numbers(df: DataFrame, order: list, name: str, into: str = "row_number",
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_at", 33))
     )
-    placed = stored(placed, name, rows)
+    placed = stored(placed, name, size, keep=True)
     totals = placed.groupBy("_part").agg(F.sum(step).alias("_n"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_base"))
