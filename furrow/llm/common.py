@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from furrow.operators.numbering import row_numbers
-from furrow.session import shared_dir, sized, stored
+from furrow.session import own_dir, scratch, shared_dir, sized, stored
 
-__all__ = ["Remembered", "WORD_BREAK_JAVA", "documents", "row_numbers", "shared_dir", "sized", "stored"]
+__all__ = ["Remembered", "WORD_BREAK_JAVA", "documents", "own_dir", "row_numbers", "scratch", "shared_dir", "sized", "stored"]
 
 #: Word separators: space and \t \n \v \f \r.
 WORD_BREAK_JAVA = r"[\x20\x09-\x0D]+"

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -458,10 +460,65 @@ def test_url_filter(spark):
 def test_url_rules_match_as_by_subset_tests(spark):
     rng = random.Random(6)
     sets = [sorted({rng.choice("abcdef") for _ in range(rng.randint(0, 5))}) for _ in range(80)]
-    rules = [(k, sorted({rng.choice("abcdef") for _ in range(rng.randint(1, 3))}), rng.choice(["block", "allow"]), rng.random(), 0.5) for k in range(12)]
+    rules = [(k, sorted({rng.choice("abcde") for _ in range(rng.randint(1, 3))}), rng.choice(["block", "allow"]), rng.random(), 0.5) for k in range(12)]
     table = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "page_id long, tokens array<string>")
     mined = spark.createDataFrame(rules, "rule_id long, tokens array<string>, verdict string, confidence double, support double")
-    for r in url_filter.match(table, mined).collect():
-        fit = [(c, s, len(t), v) for _, t, v, c, s in rules if set(t) <= set(r.tokens)]
+    item = {t: "e" if t == "f" else t for t in "abcdef"}  # f stands for e
+    for r in url_filter.match(table, mined, spark.createDataFrame(list(item.items()), "token string, item string")).collect():
+        fit = [(c, s, len(t), v) for _, t, v, c, s in rules if set(t) <= {item[x] for x in r.tokens}]
         assert r.mined == (max(fit)[3] if fit else None)
         assert (r.n_rules or 0) == len(fit)
+
+
+def brute_rules(rows):
+    """(items, verdict) -> (confidence, support), by counting every subset; tokens of the same rows are one item."""
+    where = defaultdict(set)
+    for k, (some, _) in enumerate(rows):
+        for t in some:
+            where[t].add(k)
+    least = {t: min(u for u in where if where[u] == where[t]) for t in where}
+    held, found = [{least[t] for t in some} for some, _ in rows], {}
+    for subset in {c for h in set(map(frozenset, held)) for n in range(1, len(h) + 1) for c in itertools.combinations(sorted(h), n)}:
+        fit = [v for h, (_, v) in zip(held, rows) if h >= set(subset)]
+        for v in ("block", "allow"):
+            n = fit.count(v)
+            if n and n >= url_filter.SUPPORT * len(rows) and round(n / len(fit), 9) >= url_filter.CONFIDENCE:
+                found[subset, v] = round(n / len(fit), 9), round(n / len(rows), 9)
+    return {(s, v): x for (s, v), x in found.items() if not any(w == v and set(u) < set(s) and y[0] >= x[0] for (u, w), y in found.items())}
+
+
+def test_mined_url_rules_equal_counted_ones(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(900):
+        some = {t for t in "abcdefg" if rng.random() < 0.4}
+        some |= {"h", "i"} if "a" in some else set()  # in the same rows as a
+        bad = ("b" in some and "c" in some and rng.random() < 0.9) or ("d" in some and "e" in some and "f" not in some) or rng.random() < 0.1
+        rows.append((sorted(some), "block" if bad else "allow"))
+    rows += [(["z", "b"], "block")] * 3 + [(["rare"], "block")] + [([], "allow")] * 4
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    rules, items = url_filter.mine(labelled)
+    got = {(tuple(r.tokens), r.verdict): (r.confidence, r.support) for r in rules.collect()}
+    assert got == brute_rules(rows)
+    assert max(len(t) for t, _ in got) >= 3
+    assert {r.token: r.item for r in items.collect()}["i"] == "a"
+
+
+@pytest.mark.parametrize("noisy", [False, True])
+def test_long_urls_in_many_copies_are_mined_quickly(spark, noisy):
+    rng = random.Random(1)
+    sets = [[f"t{i:02}" for i in range(40)]] * 3000 + [[f"t{i:02}" for i in range(40) if rng.random() < 0.9] for _ in range(3000 if noisy else 0)]
+    rows = [(s, "block" if rng.random() < 0.9 or not noisy else "allow") for s in sets]
+    begin = time.time()
+    rules, _ = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string").repartition(4))
+    found = rules.collect()
+    assert found and time.time() - begin < 120
+    for r in found[:20]:  # counted over all rows, though only the best tokens were combined
+        fit = [v for s, v in rows if set(r.tokens) <= set(s)]
+        assert (r.confidence, r.support) == (round(fit.count(r.verdict) / len(fit), 9), round(fit.count(r.verdict) / len(rows), 9))
+
+
+def test_url_filter_needs_no_python(spark):
+    pages = spark.createDataFrame([(i, f"http://a.com/{i % 2}x/y") for i in range(40)], "page_id long, url string")
+    plan = url_filter.judge(pages, spark.createDataFrame([(i, i % 2) for i in range(40)], "id long, bad int"))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
