@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", size: int | None = None) -> DataFrame:
     """node, component (smallest node reachable) for every node of an edge.
 
     Each round points every node at the smallest node near it: first all larger neighbours
     (large star), then itself and its smaller ones (small star), until edges stand still as stars around
     their smallest nodes. Nulls and loops are dropped. All state is in tables: a round is two
-    aggregations with partial sums and two joins whose large keys Spark can split. ``rows``: how
-    many edges there are at most, if known.
+    aggregations with partial sums and two joins whose large keys Spark can split. ``size``: bytes
+    of the edges, if known.
     """
     pairs = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo").distinct()
-    pairs = stored(pairs, "edges", rows)
+    pairs = stored(pairs, "edges", size)
     seen = None
     while True:
         both = pairs.union(pairs.select(F.col("lo"), F.col("hi"))).toDF("u", "v")
@@ -26,9 +26,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None =
         large = both.where("v > u").join(least, "u").where("v > m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
-        pairs = stored(small.select("e.hi", "e.lo").where("hi > lo").distinct(), "edges", rows)
+        pairs = stored(small.select("e.hi", "e.lo").where("hi > lo").distinct(), "edges", size)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == seen:
             break
-        seen, rows = state, 2 * state[0]
+        seen, size = state, 32 * state[0]
     return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(pairs.select("lo", "lo").distinct())

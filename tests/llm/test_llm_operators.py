@@ -147,6 +147,38 @@ def test_links_at_the_threshold_and_chains_across_components(spark):
     assert got == {i: c for i, (_, c) in jaccard_components(rows, 4).items()}
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    """Whatever their texts; each text's own links count."""
+    rng = random.Random(3)
+    a = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(6)]
+    near = lambda x: x + " tail"
+    rows = [(5, a[0]), (5, a[1]), (7, near(a[1])), (3, near(a[0])), (9, a[2]), (9, a[3]), (10, near(a[3])), (2, a[4]), (11, near(a[2])), (12, a[5]), (1, a[3]), (None, a[5])]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 2), (3, 3), (5, 3), (7, 3), (9, 1), (10, 1), (11, 1), (12, 12), (None, None)}
+    assert len(got) == len(rows)
+
+
+def test_documents_of_common_passages_are_not_all_compared(spark, monkeypatch):
+    """Texts of 13 of 20 passages: each pair shares about half, few pairs reach full sets."""
+    rng, seen = random.Random(2), []
+    pool = [" ".join(f"p{k}w{rng.randrange(900)}" for _ in range(30)) for k in range(20)]
+    rows = [(i, " ".join(rng.sample(pool, 13))) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(5)]
+    plain = minhash_dedup.confirmed
+    monkeypatch.setattr(minhash_dedup, "confirmed", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == jaccard_components(rows, 4)
+    assert sum(seen) < 1500  # of 11,935 pairs
+
+
+def test_signatures_count_equal_coordinates(spark):
+    rng = np.random.default_rng(1)
+    rows = [tuple(rng.integers(-(2**63), 2**63, 8).tolist() for _ in "ab") for _ in range(50)]
+    rows = [(a, [x ^ (y & 0x00F00FF0F000000F) for x, y in zip(a, b)]) for a, b in rows]
+    own = spark.createDataFrame(rows, "a array<long>, b array<long>").select(minhash_dedup.unlike(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r.n for r in own] == [sum(((x ^ y) >> 4 * k) & 15 != 0 for x, y in zip(a, b) for k in range(16)) for a, b in rows]
+
+
 def test_keep_one_keeps_the_columns_and_the_smallest(docs, rows):
     kept = minhash_dedup.keep_one(docs, 5)
     assert kept.columns == docs.columns
@@ -362,6 +394,33 @@ def test_quality_rules_hold_out(spark):
     assert quality_rules.fit(table, known)
 
 
+def test_a_signal_behind_a_noisy_one_is_found(spark):
+    """Shouts gain most but are imprecise; symbols are a clean signal behind them."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(1500):
+        shouts, symbols = rng.random() < 0.3, i % 12 == 0
+        bad = symbols or (shouts and rng.random() < 0.7)
+        words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(70)]
+        rows.append((i, " ".join(w + ("!!" if shouts else "") + ("##" if symbols else "") for w in words), int(not bad), 0))
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    rules = quality_rules.fit(table, table)
+    assert any(x.feature == "symbols_per_100_words" for rule in rules for x in rule)
+    got = {r.doc_id: r.kept for r in quality_rules.judge(table, table).collect()}
+    assert all(not got[i] for i in range(0, 1500, 12))
+    assert sum(got[i] for i, _, q, _ in rows if q) >= 0.95 * sum(q for _, _, q, _ in rows)
+
+
+def test_texts_beyond_the_sample_are_not_measured_for_it(spark, docs, monkeypatch):
+    """The sampled rows are written before any expression over texts."""
+    seen = []
+    plain = quality_rules.stored
+    monkeypatch.setattr(quality_rules, "stored", lambda df, name, *a, **k: seen.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or plain(df, name, *a, **k))
+    quality_rules.fit(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int"))
+    (plan,) = [p for name, p in seen if name == "sample-texts"]
+    assert "transform" not in plan and "split" not in plan
+
+
 def test_quality_needs_no_python(spark, docs, labels):
     plan = quality_rules.judge(docs, labels)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
