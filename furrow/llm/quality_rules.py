@@ -3,12 +3,16 @@
 Statistics are computed inside the row with higher-order functions. The list is learned by
 sequential covering on a bounded sample of labelled rows: grow a conjunction of thresholds by
 information gain on two thirds of the sample, prune it on the last third, keep it if it is
-precise enough there, take away what it covers, and go on. Each step is one small aggregation,
+precise enough there, take away what it covers, and go on. What an imprecise rule covers takes no
+further part in growing, so a signal behind a noisy one is still found. Each step is one small aggregation,
 of which only counts a feature and threshold reach the driver. The list is then one ordered
 CASE expression, and as such interpretable.
 
-Null text has no words and fails the base rule; so do empty texts. Rows with equal ids are
-judged alone. Without labels of both kinds the list is empty and only the base rule holds.
+Null text has no words and fails the base rule; so do empty texts. Very long texts are judged whole,
+in their row. Repeated rows and rows with equal or null ids are judged alone; labels of one id that
+differ count as bad. Of equally good literals the first feature's and highest threshold wins. Without
+labels of both kinds the list is empty and only the base rule holds; an empty table gives an empty
+one. Columns that clash with those made here keep their values in ``keep_good``.
 """
 
 from __future__ import annotations
@@ -19,11 +23,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK_JAVA, stored
+from .common import WORD_BREAK_JAVA, scratch, stored
 
 #: Bound of the labelled sample: rows with the lowest hashes of their ids.
 FIT_ROWS = 20_000
 THRESHOLDS, MOST_RULES, MOST_LITERALS = 12, 12, 3
+#: Bytes of sampled texts in a task.
+SAMPLE_BYTES = 2_000_000
 #: A rule must be this precise on the pruning sample and cover so many bad rows there.
 PRECISION, COVER = 0.98, 5
 SEPARATORS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -142,11 +148,13 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[list[Literal]]:
         low = rows.where(_all(rule, values) & (F.col("bad") == 1)).agg(*(F.min(f).alias(f) for f in names)).first()
         return [Literal(x.feature, True, (x.threshold + low[x.feature]) / 2) if x.above else x for x in rule]
 
-    left = F.lit(True)
-    while len(rules) < MOST_RULES:
+    left = fresh = F.lit(True)  # not covered by a rule; nor by one that was grown and turned down
+    for _ in range(2 * MOST_RULES):
+        if len(rules) == MOST_RULES:
+            break
         rule: list[Literal] = []
         while len(rule) < MOST_LITERALS:
-            found = counts(grown & left & _all(rule, values))
+            found = counts(grown & left & fresh & _all(rule, values))
             p0 = sum(p for (f, _), (p, _n) in found.items() if f == names[0])
             n0 = sum(n for (f, _), (_p, n) in found.items() if f == names[0])
             if not p0 or not n0:
@@ -172,7 +180,9 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[list[Literal]]:
         k = max(range(len(rule)), key=lambda k: (worth[k], -k))
         p, n = score[k]
         if p < COVER or p < PRECISION * (p + n):
-            break
+            # another signal may lie behind this one: grow the next rule elsewhere
+            fresh = fresh & ~_all(rule, values)
+            continue
         rules.append(widest(rule[: k + 1]))
         left = left & ~_all(rules[-1], values)
     return rules
@@ -185,10 +195,15 @@ def sample(labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> list[list[Literal]]:
-    chosen = stored(sample(labels), "sample")
-    rows = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")  # FIT_ROWS ids at most
-    stats = statistics(rows).where(~base_failed()).select("doc_id", *(v.alias(f) for f, v in features().items()))
-    return learn(stats, F.broadcast(chosen))
+    with scratch(docs.sparkSession):
+        chosen = stored(sample(labels), "sample")
+        # written before any expression over texts, which Spark would otherwise move below the join
+        rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"), "sample-texts")  # FIT_ROWS ids at most
+        # few rows of a large file each: dealt out anew by their bytes
+        bytes_ = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        spread = rows.repartition(max(1, -(-bytes_ // SAMPLE_BYTES)))
+        stats = statistics(spread).where(~base_failed()).select("doc_id", *(v.alias(f) for f, v in features().items()))
+        return learn(stats, F.broadcast(chosen))
 
 
 def verdict(rules: list[list[Literal]]) -> Column:
