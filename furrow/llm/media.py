@@ -5,11 +5,15 @@ shard in the shared folder under the digest of its stored form. Table rows carry
 offset and length only. Metadata columns are filled by range reads of the first bytes of an
 entry; samples are read back by another range read.
 
-A writing task stores each payload once; where several tasks met the same one, every row points
-to the first copy by (shard, offset). Shards are named by their content and put in place by
-a rename, so a task that runs again writes the same shard again.
-
-Null text counts as empty; an empty payload is one row of zeros; equal texts have equal values.
+A writing task stores a payload once while it remembers it; where several tasks met the same one, or
+a task forgot it, every row points to the first copy by (shard, offset). Shards are named by
+their content and put in place by a rename, so a task that runs again writes the same shard again.
+Reading tasks are dealt out by the bytes that they read.
+
+Null text counts as empty; an empty payload is one row of zeros; a very long text is one entry of its
+own size. Equal texts have equal values, and repeated rows or ids stay rows of their own; a tie of
+places goes to the smallest. An empty table gives an empty one and no shard. Only doc_id and text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,10 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import shared_dir, sized, stored
+from .common import own_dir, sized, stored
 
 WIDTH = 64
 SHARD_BYTES = 16_000_000
+#: Payload and stored bytes that a task reads back.
+READ_BYTES = 32_000_000
+#: Places of stored payloads that a writing task remembers beyond its open shard.
+REMEMBERED = 50_000
 #: The PNG signature and the length of signature and header chunk.
 SIGNATURE, HEADER_BYTES = b"\x89PNG\r\n\x1a\n", 33
 
@@ -127,6 +135,8 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataF
             shard.tar.close()
             where = _put(folder, shard.buffer.getbuffer())
             placed = [(i, n, d, where, *shard.place(d)) for i, n, d in rows]
+            if len(seen) > REMEMBERED:
+                seen.clear()
             seen.update({d: (where, *shard.place(d)) for d in shard.entries})
             return pa.RecordBatch.from_arrays([pa.array(list(c), k.type) for c, k in zip(zip(*placed), schema)], schema=schema)
 
@@ -156,8 +166,9 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataF
 
 
 def entries(rows: DataFrame) -> DataFrame:
-    """One place for each digest."""
-    return rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("_at")).select("digest", "_at.*")
+    """One place for each digest, and the bytes of payload and stored form together."""
+    at = F.min(F.struct("shard", "offset", "length", (F.col("n_bytes") + F.col("length")).alias("_bytes")))
+    return rows.groupBy("digest").agg(at.alias("_at")).select("digest", "_at.*")
 
 
 HEADER_COLUMNS = {"width": "int", "height": "int", "bit_depth": "int", "colour": "int"}
@@ -205,11 +216,14 @@ def with_features(places: DataFrame) -> DataFrame:
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """The contract's columns, with the row's digest, shard, offset and length."""
-    rows = store(docs, f"{shared_dir(docs.sparkSession)}/furrow/media-{uuid.uuid4().hex}")
-    places = entries(rows).repartition("shard", F.pmod(F.expr("offset div 4000000"), F.lit(8))).sortWithinPartitions("shard", "offset")
+    rows = store(docs, f"{own_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}")
+    places = entries(rows)
+    total = places.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
+    spread = max(1, -(-total // READ_BYTES))
+    places = places.drop("_bytes").repartition(spread, "shard", F.expr("offset div 2000000")).sortWithinPartitions("shard", "offset")
     known = with_features(places)
     feature = F.concat_ws(":", F.concat_ws("x", "width", "height", "bit_depth"), "average_hash")
     out = rows.select("doc_id", "n_bytes", "digest").join(known, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "shard", "offset", "length"
     )
-    return sized(out, rows.count())
+    return sized(out, 250 * rows.count())  # a row has about 250 bytes
