@@ -6,8 +6,10 @@ until it falls inside, so the network permutes exactly 0..N-1. With place = perm
 shard = place mod S and slot = place div S: shard sizes differ by one row at most, slots have
 no gaps, and any row's shard and slot, or the row at a shard and slot, follow from a formula.
 
-Null keys sort first and get places like any row; null texts have no bytes; equal rows take
-neighbouring numbers, which of them takes which makes no difference.
+Null keys sort first and get places like any row; null and empty texts have no bytes, very long ones
+are only measured. Rows that are equal in doc_id, checksum and size take neighbouring numbers in the
+order they are read in; which of them takes which makes no difference to the result. An empty table
+gives an empty one. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -63,7 +65,8 @@ def row_at(shard: int, slot: int, n: int, shards: int, seed: int = 0) -> int:
 
 def assign(rows: DataFrame, order: list[str], shards: int = 24, seed: int = 0) -> DataFrame:
     """``rows`` with row_number, shard and slot. Keep ``rows`` narrow: all its columns are sorted."""
-    numbered = row_numbers(rows, order, "sharding")
+    # rows that are equal in all of the order are told apart, so that copies spread over partitions
+    numbered = row_numbers(rows.withColumn("_row", F.monotonically_increasing_id()), [*order, "_row"], "sharding").drop("_row")
     n = numbered.count()
 
     @F.pandas_udf("long")
