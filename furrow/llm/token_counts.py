@@ -3,10 +3,13 @@
 Each distinct pre-token is counted once, by the public library. Per-document frequencies of
 pre-tokens are inverted in blocks of documents: a row holds a pre-token, a block, and which
 documents of the block have it, once or how often. These rows join the piece counts, are summed
-per block inside the tasks, and a last small shuffle by block adds up each document.
+per block inside the tasks, and a last small shuffle by block adds up each document. A block's list
+of its documents goes along under a key of its own.
 
 Very frequent pre-tokens have one row a block, whose join partition Spark can split. Null text
-counts as empty; empty texts have 0 tokens; rows with equal or null ids stay rows of their own.
+counts as empty; empty texts have 0 tokens; a very long text is a block of its own, and frequencies
+of any size are kept. Repeated rows, and rows with equal or null ids, stay rows of their own. An empty
+table gives an empty one. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ BLOCK_CHARS, BLOCK_DOCS = 30_000_000, 1 << 16
 HELD = 600_000
 #: Sums that a task holds before it hands them on.
 HELD_SUMS = 2_000_000
-HEADER = ""  # no pre-token is empty, so the row that lists a block's documents goes under it
+#: With a block's number: what the row that lists its documents goes under. No pre-token has letters and digits.
+HEADER = "block"
 
 
 def pieces_per_pre_token(docs: DataFrame, file: str) -> DataFrame:
@@ -36,14 +40,15 @@ def pieces_per_pre_token(docs: DataFrame, file: str) -> DataFrame:
         yield from pa.Table.from_arrays([pa.array(sorted(held), pa.string())], ["pre"]).to_batches(20_000)
 
     def distinct(batches):
-        path, held = tokens.vocabulary(file), {HEADER}
+        path, held = tokens.vocabulary(file), set()
         for batch in batches:
             for text in batch.column(0):
                 held.update(tokens.pre_tokens(path, text.as_py() or ""))
                 if len(held) >= HELD:
                     yield from in_order(held)
                     held = set()
-        yield from in_order(held)
+        if held:
+            yield from in_order(held)
 
     def count(batches):
         t = tokens.tokenizer(tokens.vocabulary(file))
@@ -82,7 +87,7 @@ def inverted_frequencies(docs: DataFrame, file: str) -> DataFrame:
         word, ordinal, single = key // BLOCK_DOCS, key % BLOCK_DOCS, freq == 1
         ends = [np.searchsorted(word[m], np.arange(len(order)), "right") for m in (single, ~single)]
         head = np.array([-1 if i is None else i for i in ids], dtype="<i8").tobytes(), np.array([[n, i is None] for n, i in zip(sizes, ids)], dtype="<i8").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([HEADER]), pa.array([block], pa.int64()), pa.array([head[0]], pa.binary()), pa.array([head[1]], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([f"{HEADER}{block}"]), pa.array([block], pa.int64()), pa.array([head[0]], pa.binary()), pa.array([head[1]], pa.binary())], names)
         once = binary(ordinal[single].astype("<u2"), ends[0])
         more = binary((ordinal[~single] << 16 | freq[~single]).astype("<u4"), ends[1])
         yield from pa.Table.from_arrays([pa.array([order[i] for i in rank], pa.string()), pa.array(np.full(len(order), block)), once, more], names).to_batches(20_000)
@@ -135,7 +140,7 @@ def _partial_sums(batches):
 
     for batch in batches:
         pre, block, once, more, n = batch.columns
-        head = np.flatnonzero(pa.compute.equal(pre, HEADER).to_numpy(zero_copy_only=False))
+        head = np.flatnonzero(n.is_null().to_numpy(zero_copy_only=False))  # no pre-token, so no pieces
         for i in head:
             yield pa.RecordBatch.from_arrays([block.slice(i, 1), pa.array([True]), once.slice(i, 1), more.slice(i, 1)], ["block", "header", "a", "b"])
         if len(head):
@@ -173,7 +178,7 @@ def _documents(rows: pa.Table) -> pa.Table:
 
 def count_tokens(docs: DataFrame, file: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs``."""
-    joined = inverted_frequencies(docs, file).join(pieces_per_pre_token(docs, file), "pre")
+    joined = inverted_frequencies(docs, file).join(pieces_per_pre_token(docs, file), "pre", "left")
     sums = joined.select("pre", "block", "once", "more", "n").mapInArrow(_partial_sums, "block long, header boolean, a binary, b binary")
     out = sums.groupBy("block").applyInArrow(_documents, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
