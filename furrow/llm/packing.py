@@ -6,8 +6,10 @@ end in this order they are cut every ``length`` tokens, so neighbours in content
 sequences and only the last sequence is not full. Positions are running sums over the narrow
 sorted rows; ids are read from the written token table and never sorted.
 
-Null text counts as empty: such a document is its end id alone. Equal documents, which share a
-place on the curve, are told apart by id and row, so no place gathers in one task.
+Null text counts as empty: such a document is its end id alone. A very long text is cut into as many
+pieces as it needs. Equal documents, repeated rows and ties on the curve are told apart by id and row,
+so no place gathers in one task. An empty table gives an empty one. Only doc_id and text are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -195,8 +197,9 @@ def tokenise(docs: DataFrame, file: str, end_id: int, batch_chars: int = 4_000_0
 def pack(docs: DataFrame, file: str = "word_bpe_49k.json", length: int = 4096, end_id: int = 2) -> DataFrame:
     """doc_id, start, ids (binary, unsigned 32-bit), doc_tokens, sequence_id, offset per piece."""
     table = stored(tokenise(docs, file, end_id).withColumn("_row", F.monotonically_increasing_id()), "tokens")
+    rows, ids = table.agg(F.count("*"), F.coalesce(F.sum("doc_tokens"), F.lit(0))).first()
     narrow = table.select("_row", "doc_id", "doc_tokens", "curve")
-    placed = row_numbers(narrow, ["curve", "doc_id", "_row"], "curve", "_begin", "doc_tokens", table.count()).select("_row", "_begin")
+    placed = row_numbers(narrow, ["curve", "doc_id", "_row"], "curve", "_begin", "doc_tokens", 32 * rows).select("_row", "_begin")
 
     def cut(batches):
         for batch in batches:
@@ -214,7 +217,7 @@ def pack(docs: DataFrame, file: str = "word_bpe_49k.json", length: int = 4096, e
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             yield from pa.Table.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"]).to_batches(4096)
 
-    whole = sized(table.select("_row", "doc_id", "ids", "doc_tokens").join(placed, "_row").select("doc_id", "ids", "doc_tokens", "_begin"), table.count())
+    whole = sized(table.select("_row", "doc_id", "ids", "doc_tokens").join(placed, "_row").select("doc_id", "ids", "doc_tokens", "_begin"), 2 * ids)
     return whole.mapInArrow(cut, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
