@@ -230,15 +230,19 @@ def _met(rare: DataFrame, percent: int) -> DataFrame:
     lists = stored(lists.select("shingle", "posted"), "rare-lists")
     pairs = lists.agg(F.coalesce(F.sum(F.col("posted").cast("double") ** 2), F.lit(0.0))).first()[0]
     spread = max(1, math.ceil(pairs / PAIRS))
-    rare, blocks = rare.join(lists, "shingle"), F.ceil(F.col("posted") / BLOCK).cast("int")
-    x = rare.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).repartition(spread, "shingle", "block").alias("x")
-    y = rare.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).repartition(spread, "shingle", "block").alias("y")
+    # blocks of a list meet in pairs, so the two sides of a key are two blocks at most
+    blocks = F.ceil(F.col("posted") / BLOCK).cast("int")
+    rare = rare.join(lists, "shingle").withColumns({"last": blocks - 1, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")})
+    x = rare.withColumn("low", F.col("own")).withColumn("high", F.explode(F.sequence("own", "last"))).repartition(spread, "shingle", "low", "high").alias("x")
+    y = rare.withColumn("high", F.col("own")).withColumn("low", F.explode(F.sequence(F.lit(0), "own"))).repartition(spread, "shingle", "low", "high").alias("y")
     both = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")  # shingles that they share at least
     early = (F.col("x.place") <= F.col("x.n") - both + 1) & (F.col("y.place") <= F.col("y.n") - both + 1)
     enough = F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= both
-    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    meet = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") == F.col("y.block")) & apart & early & enough & (unlike(F.col("x.signature"), F.col("y.signature")) <= ALL - MATCH))
-    return meet.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    apart = ((F.col("x.low") < F.col("x.high")) | (F.col("x.node") < F.col("y.node"))) & (F.col("x.component") != F.col("y.component"))
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "low", "high")]
+    alike = unlike(F.col("x.signature"), F.col("y.signature")) <= ALL - MATCH
+    meet = x.join(y, [*same, apart & early & enough & alike])
+    return meet.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _components(docs: DataFrame, table: DataFrame, words: int, percent: int) -> DataFrame:

@@ -164,6 +164,7 @@ def test_documents_of_common_passages_are_not_all_compared(spark, monkeypatch):
     pool = [" ".join(f"p{k}w{rng.randrange(900)}" for _ in range(30)) for k in range(20)]
     rows = [(i, " ".join(rng.sample(pool, 13))) for i in range(150)]
     rows += [(1000 + i, rows[i][1] + " tail") for i in range(5)]
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)  # many blocks a list
     plain = minhash_dedup.confirmed
     monkeypatch.setattr(minhash_dedup, "confirmed", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
