@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import random
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from furrow.operators.folds import folded, year_folds
 from furrow.operators.lags import add_interactions, add_lag_statistics
 from furrow.operators.metrics import regression_metrics
 from furrow.operators.numbering import row_numbers
-from furrow.session import stored
+from furrow.session import scratch, stored
 from furrow.sources.files import tolerant_json, write_json
 
 MODES = {"fast": 2, "metrics": 4, "full": 8}
@@ -168,31 +169,57 @@ def search(panel: DataFrame, features: list[str], task: str = "regression", kind
         raise ValueError(f"no candidate could be fitted: {tried}")
     score, c, via, done = best
     oof = regression_metrics(done, [], "yield", "yield_pred") if task == "regression" else class_metrics(done)
-    fitted = fit(rows, c.kind, "regression" if via else task, names, dict(c.params), use_te, smoothing)
+    direct = task != "regression" and not via  # a direct classifier keeps the class weights that it was scored with
+    final = rows.join(F.broadcast(class_weights(rows)), "yield_class") if direct else rows  # a row a class
+    fitted = fit(final, c.kind, "regression" if via else task, names, dict(c.params), use_te, smoothing, weight="weight" if direct else None)
     info = {"task": task, "best": str(c), "kind": c.kind, "params": dict(c.params), "via_regression": via, "feature_set": chosen, "features": names, "derived": derived_names(use_te), "cv": score, "oof": oof.first().asDict(), "tried": tried, "signature": signature(rows, [*names, "region", "crop", "year", "yield"])}
     return fitted, info, table
 
 
-def shuffled(rows: DataFrame, column: str, seed: int) -> DataFrame:
-    """``rows`` with the values of one column permuted: row numbers meet random ranks."""
-    own = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    left = row_numbers(own.select("_row"), ["_row"], "own", "_n")
-    right = row_numbers(own.select(F.xxhash64("_row", F.lit(seed)).alias("_r"), F.col(f"`{column}`").alias("_v")), ["_r"], "other", "_n")
-    return own.join(left.join(right, "_n").select("_row", "_v"), "_row").withColumn(column, F.col("_v")).select(rows.columns)
+def step_of(n: int, seed: int) -> tuple[int, int]:
+    """(a, b) of the permutation i -> (a * i + b) mod n: a has no divisor in common with n."""
+    rng = random.Random(seed)
+    a = rng.randrange(n // 4 + 1, max(n, 2))
+    while math.gcd(a, n) != 1:
+        a = a % n + 1
+    return a, rng.randrange(n)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows``, written once, with ``_n``: numbers from 0 in the order of their keys' digests, which is no order of the values."""
+    digest = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("region", "crop", "year"))))
+    own = stored(rows.withColumns({"_key": digest, "_row": F.monotonically_increasing_id()}), "rows")
+    return row_numbers(own, ["_key", "_row"], "numbered", "_n").drop("_key", "_row")
+
+
+def shuffled(rows: DataFrame, column: str, steps: list[tuple[int, int]], n: int) -> DataFrame:
+    """A copy of ``rows`` (``numbered``, ``n`` of them) for each of ``steps`` with ``repeat``, its
+    number, in which the values of one column are permuted."""
+    copies = F.inline(F.array(*(F.struct(F.lit(r).alias("repeat"), ((F.lit(a).cast("decimal(20,0)") * F.col("_n") + b) % n).cast("long").alias("_from")) for r, (a, b) in enumerate(steps))))
+    values = rows.select(F.col("_n").alias("_from"), F.col(f"`{column}`").alias("_value"))
+    every = rows.select("*", copies).join(values, "_from")
+    return every.withColumn(column, F.col("_value")).drop("_from", "_value", "_n")
 
 
 def permutation_importance(rows: DataFrame, features: list[str], predict, task: str = "regression", repeats: int = 10, seed: int = 42) -> DataFrame:
-    """feature, importance_mean, importance_std (population) of the score lost, largest first."""
-    spark = rows.sparkSession
+    """feature, importance_mean, importance_std (population) of the score lost, largest first.
 
-    def score(r: DataFrame) -> float:
-        done = predict(r)
-        m = regression_metrics(done, [], "yield", "yield_pred").first() if task == "regression" else class_metrics(done).first()
-        return m["r2"] if task == "regression" else m["f1_macro"]
+    Rows are written and numbered once; all repeats of a feature are one plan."""
+    spark, lost = rows.sparkSession, []
 
-    whole, lost = score(rows), []
-    for i, f in enumerate(features):
-        lost += [(f, float(whole - score(shuffled(rows, f, seed + 1000 * i + r)))) for r in range(repeats)]
+    def scores(r: DataFrame, by: list[str]) -> list[float]:
+        done = predict(r)
+        if task == "regression":
+            return [x["r2"] for x in regression_metrics(done, by, "yield", "yield_pred").collect()]
+        return [x["f1_macro"] for x in class_metrics(done, by=by).collect()] if by else [class_metrics(done).first()["f1_macro"]]
+
+    with scratch(spark):
+        every = numbered(rows)
+        n = every.count()
+        (whole,) = scores(rows, [])
+        for i, f in enumerate(features):
+            steps = [step_of(n, seed + 1000 * i + r) for r in range(repeats)]
+            lost += [(f, float(whole - s)) for s in scores(shuffled(every, f, steps, n), ["repeat"])]  # a row a repeat
     table = spark.createDataFrame(lost, "feature string, lost double")  # a row a feature and repeat
     return table.groupBy("feature").agg(F.avg("lost").alias("importance_mean"), F.stddev_pop("lost").alias("importance_std")).orderBy(F.desc("importance_mean"), "feature")
 

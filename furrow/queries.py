@@ -434,7 +434,7 @@ def search_regressor(spark, sf_dir):
 def perm_importance(spark, sf_dir):
     rows = add_lags(panel_view(spark, sf_dir)).where("yield_lag1 is not null").cache()
     model = search.models.fit(rows, "Ridge", "regression", ["aod", "yield_lag1"], {"regParam": 0.01})
-    return search.permutation_importance(rows, ["aod", "yield_lag1"], model.predict, repeats=2)
+    return search.permutation_importance(rows, ["aod", "yield_lag1"], model.predict)
 
 
 @query()

@@ -25,16 +25,23 @@ REMARKS = ("for wheat", "for rice", "for maize", "for corn")
 YEAR_NAMES = ("year", "years", "time", "date")
 
 
-def read_grid(spark: SparkSession, folder: str, most_columns: int = 256) -> DataFrame:
+def width(spark: SparkSession, folder: str) -> int:
+    """Cells of the longest line of all CSV files in a folder; quoted text, whose commas and line breaks don't count, aside."""
+    whole = spark.read.text(folder, wholetext=True, pathGlobFilter="*.csv")
+    lines = F.split(F.regexp_replace("value", '"[^"]*"', ""), r"\r\n|\n|\r")
+    return whole.agg(F.max(F.array_max(F.transform(lines, lambda x: F.size(F.split(x, ",")))))).first()[0] or 1
+
+
+def read_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Cells of every headerless CSV in a folder; the file name without its ending is the sheet.
 
-    A sheet is read whole by one task, which keeps its lines in order: sheets are small."""
-    schema = ", ".join(f"c{i} string" for i in range(most_columns))
-    lines = spark.read.csv(folder, schema=schema, header=False, multiLine=True, pathGlobFilter="*.csv")
+    A sheet is read whole by one task, which keeps its lines in order: sheets are small. It may
+    have any number of columns."""
+    names = [f"c{i}" for i in range(width(spark, folder))]
+    lines = spark.read.csv(folder, schema=", ".join(f"{c} string" for c in names), header=False, multiLine=True, pathGlobFilter="*.csv", maxColumns=max(len(names), 20480))
     lines = lines.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1).alias("sheet"), F.monotonically_increasing_id().alias("_at"))
     lines = lines.withColumn("row", F.row_number().over(W.partitionBy("sheet").orderBy("_at")) - 1)
-    cells = F.array(*(F.col(f"c{i}") for i in range(most_columns)))
-    return lines.select("sheet", "row", F.posexplode(cells).alias("col", "value")).where("value is not null")
+    return lines.select("sheet", "row", F.posexplode(F.array(*names)).alias("col", "value")).where("value is not null")
 
 
 def header_scores(grid: DataFrame, scan: int = 30) -> DataFrame:

@@ -205,11 +205,48 @@ def test_the_backtest_fits_the_model_that_was_found(spark, sf_dir, tmp_path, mon
     assert fitted == [("Ridge", ["aod", "yield_lag1"], {"regParam": 0.1})]
 
 
-def test_shuffled_is_a_permutation(spark):
-    rows = spark.range(50).select(F.col("id").alias("a"), (F.col("id") * 2).alias("b"))
-    got = search.shuffled(rows, "b", 3).collect()
-    assert sorted(r.b for r in got) == [2 * i for i in range(50)] and any(r.b != 2 * r.a for r in got)
-    assert sorted(search.shuffled(rows, "b", 3).collect()) == sorted(got)
+@pytest.mark.parametrize("n", [1, 2, 3, 12, 50, 97])
+def test_steps_are_permutations(n):
+    for seed in range(30):
+        a, b = search.step_of(n, seed)
+        assert sorted((a * i + b) % n for i in range(n)) == list(range(n))
+
+
+def test_shuffled_copies_are_permutations(spark):
+    rows = search.numbered(frame(spark, [(f"r{i % 5}", "c", i, float(2 * i)) for i in range(50)], "region string, crop string, year int, b double"))
+    got = search.shuffled(rows, "b", [search.step_of(50, s) for s in range(3)], 50).collect()
+    assert len(got) == 150
+    for k in range(3):
+        own = {r.year: r.b for r in got if r.repeat == k}
+        assert sorted(own.values()) == [2.0 * i for i in range(50)] and any(own[i] != 2 * i for i in own)
+
+
+def test_importance_equals_one_permutation_at_a_time(spark):
+    values = [(f"r{i % 4}", "c", 2000 + i // 4, float(i % 7), float((i * 5) % 11), float(i % 7) + 0.1 * ((i * 5) % 11)) for i in range(60)]
+    rows = frame(spark, values, "region string, crop string, year int, a double, b double, yield double")
+    predict = lambda r: r.withColumn("yield_pred", F.col("a") + 0.1 * F.col("b"))
+    got = {r.feature: (r.importance_mean, r.importance_std) for r in search.permutation_importance(rows, ["a", "b"], predict, repeats=4).collect()}
+    every = sorted(search.numbered(rows).collect(), key=lambda r: r._n)
+    mean = sum(r["yield"] for r in every) / 60
+    total = sum((r["yield"] - mean) ** 2 for r in every)
+    for i, f in enumerate("ab"):
+        lost = []
+        for k in range(4):
+            a, b = search.step_of(60, 42 + 1000 * i + k)
+            other = [every[(a * r._n + b) % 60][f] for r in every]
+            lost.append(sum((r["yield"] - (x + 0.1 * r.b if f == "a" else r.a + 0.1 * x)) ** 2 for r, x in zip(every, other)) / total)
+        center = sum(lost) / 4
+        assert got[f] == pytest.approx((center, (sum((x - center) ** 2 for x in lost) / 4) ** 0.5))
+    assert got["a"][0] > got["b"][0] > 0
+
+
+def test_wide_sheets_keep_all_columns(spark, tmp_path):
+    names = ["Year", "Yield", *(f"feature {i}" for i in range(298))]
+    (tmp_path / "GKP_Rice.csv").write_text(",".join(names) + "\n" + "\n".join(",".join([str(2000 + y), "1.5", *(str(i + y / 4) for i in range(298))]) for y in range(3)) + "\n")
+    (tmp_path / "VNS_Rice.csv").write_text('Year,"Yield, in\nall"\n2000,1\n')
+    grid = sheets.read_grid(spark, str(tmp_path))
+    assert {r.sheet: r.n for r in grid.groupBy("sheet").agg((F.max("col") + 1).alias("n")).collect()} == {"GKP_Rice": 300, "VNS_Rice": 2}
+    assert grid.where("col = 299 and row = 2").first().value == "297.25"
 
 
 SHEET = """Report,,,,
