@@ -1,7 +1,13 @@
 """The corpus pipeline: quality rules, near-duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the rows are
-written as Parquet and read again. All stages but the last return the columns of documents.
+written as Parquet and read again; a stage's rows are removed once the next one's are written. All
+stages but the last return the columns of documents, also columns of any other name.
+
+Null and empty texts, and texts of fewer than 50 words, fail the base rule of the first stage. Very long
+texts are judged, compared, scanned and packed whole. Of rows with equal texts the smallest doc_id
+stays; rows that share this id, or have a null one, all stay. An empty table, or one of which
+nothing is kept, gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,7 +17,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from furrow.llm import minhash_dedup, packing, quality_rules, secret_scan
-from furrow.llm.common import shared_dir
+from furrow.llm.common import own_dir
+from furrow.session import removed
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +50,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/furrow/pipeline-{k}-{uuid.uuid4().hex}"
+            path = f"{own_dir(spark)}/pipeline-{k}-{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before is not None:
+                removed(spark, before)
+            before = path
     return docs
