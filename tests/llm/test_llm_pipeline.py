@@ -27,3 +27,27 @@ def test_pipeline(spark, sf_dir):
     assert sum(r.length for r in out["packing"]) == sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for x in clean.values())
     whole = corpus_pipeline.run(spark, sf_dir)
     assert whole.agg(F.sum("length")).first()[0] == sum(r.length for r in out["packing"])
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null, empty, long and repeated texts, null ids, clashing columns; then no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string, node string"
+    some = " ".join(f"word{i}" for i in range(120))
+    secret = " ".join(f"other{i}" for i in range(90)) + " password=hunter2hunter2"
+    long = " ".join(f"l{i}" for i in range(30_000))
+    texts = [(1, None), (2, ""), (3, "too short"), (4, some), (5, some), (6, secret), (None, some), (7, long), (7, long)]
+    rows = [(i, t, None, "s", len(t) if t else None, "x", "y") for i, t in texts]
+    folder = str(tmp_path / "odd")
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    labels = spark.createDataFrame([(4, 1, 0), (1, 0, 0), (1, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    out = corpus_pipeline.run(spark, folder).collect()
+    t = library("word_bpe_49k.json")
+    clean = secret.replace("password=hunter2hunter2", "[secret]")
+    kept = [(4, some), (6, clean), (None, some), (7, long), (7, long)]
+    assert {r.doc_id for r in out} == {i for i, _ in kept}
+    assert sum(r.length for r in out) == sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for _, x in kept)
+    folder = str(tmp_path / "empty")
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/documents.parquet")
+    labels.limit(0).write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).collect() == []
