@@ -11,7 +11,10 @@ merge that consumes it, of rank next(x) (never, for a and b themselves). Merges
 order and from left to right, so the border is crossed exactly if some pair (x, y) has a merge
 of rank r with r < next(x) and r <= next(y).
 
-Null text counts as empty; empty texts have 0 tokens; repeated rows are encoded alike.
+Null text counts as empty; empty texts have 0 tokens; a very long text is encoded whole, in a batch
+of its own; ties of ranks go from left to right, as in the library. Repeated rows, and rows with equal
+or null ids, are encoded alike, each for itself. An empty table gives an empty one. Only doc_id and text
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ template's shingles, as words, that the window holds.
 
 One row for each document and template found: its fullest window's first and last shingle.
 Null, empty and wordless texts match nothing. Templates shorter than a shingle are one shingle
-of all their words. Equal documents match alike; rows with a null id are reported with it.
+of all their words. A very long text has windows over its whole length. Of equally full windows the first
+counts. Equal documents and repeated rows match alike; rows with a null id are reported with it. An empty
+table gives an empty one. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

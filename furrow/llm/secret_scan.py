@@ -7,8 +7,11 @@ back to the start (nothing can match across them), and the lanes advance togethe
 Only the stretches between such bytes in which a rule matched are resolved to spans, leftmost
 and longest first, by each rule's own automaton; a rule's ``check`` may then drop a span.
 
-Spans count code points, end exclusive. Null text counts as empty. Rules whose automaton leaves
-no byte that sends all states to the start are refused.
+Spans count code points, end exclusive. Null text counts as empty and has no spans; ``redact`` leaves it
+null. A very long text is scanned whole, in a batch of its own. Spans that start together are in the order
+of the rules; repeated rows and rows with equal or null ids are scanned each. An empty table gives an
+empty one. ``report`` reads doc_id and text alone, ``redact`` keeps columns of any name, ``find`` replaces a
+column named spans. Rules whose automaton leaves no byte that sends all states to the start are refused.
 """
 
 from __future__ import annotations
