@@ -157,7 +157,7 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[list[Literal]]:
             found = counts(grown & left & fresh & _all(rule, values))
             p0 = sum(p for (f, _), (p, _n) in found.items() if f == names[0])
             n0 = sum(n for (f, _), (_p, n) in found.items() if f == names[0])
-            if not p0 or not n0:
+            if p0 < COVER or not n0:  # too few bad rows are left to grow from
                 break
             best, literal = 0.0, None
             for f in names:
