@@ -11,8 +11,8 @@ shingles found.
 
 A window that holds the demanded share of a template's shingles has at least a known Jaccard
 similarity to it. One-row MinHash bands, as many as that bound asks for, make a true window
-collide with its template but for one case in ``1 / MISS``. Windows without any shingle of a
-template can't collide and get no signature. What collides is verified: the share of the
+collide with its template but for one case in ``1 / MISS``. Windows with fewer shingles of a class's
+templates than the share of its smallest can't hold any and get no signature. What collides is verified: the share of the
 template's shingles, as words, that the window holds.
 
 One row for each document and template found: its fullest window's first and last shingle.
@@ -141,7 +141,9 @@ class Matcher:
                     index[band, int(value)].append(i)
                 of_class[n, c].append(hashes)
         self.every = {n: np.unique(np.concatenate(h)) for n, h in every.items()}
-        self.of_class = {k: np.unique(np.concatenate(h)) for k, h in of_class.items()}
+        self.of_class = {(n, c): np.isin(self.every[n], np.concatenate(h)) for (n, c), h in of_class.items()}  # for each of ``every``
+        # shingles that a window must share with the templates of its class to hold any of them
+        self.least = {k: min(math.ceil(contained * len(set(h.tolist())) - 1e-9) for h in hs) for k, hs in of_class.items()}
 
     @staticmethod
     def _tuples(words: list[str], n: int) -> list[tuple]:
@@ -171,16 +173,23 @@ class Matcher:
         for n in self.sizes:
             hashes = self.hashes(ids, n)
             every = self.every[n]
-            hit = np.flatnonzero(every[np.minimum(np.searchsorted(every, hashes), len(every) - 1)] == hashes)
+            place = np.minimum(np.searchsorted(every, hashes), len(every) - 1)
+            hit = np.flatnonzero(every[place] == hashes)
             if not len(hit):
                 continue
+            place = place[hit]
             for (size, c), index in self.bands.items():
                 if size != n:
                     continue
-                at = hit[np.isin(hashes[hit], self.of_class[n, c])]
-                window = np.unique(np.concatenate([at // c, at // c - 1]))  # window k: shingles kc to kc + 2c
-                for k in window[window >= 0]:
-                    begin = int(k) * c
+                at = hit[self.of_class[n, c][place]]
+                if len(at) < self.least[n, c]:
+                    continue
+                block, hits = np.unique(at // c, return_counts=True)
+                hits = dict(zip(block.tolist(), hits.tolist()))
+                for k in sorted({*hits, *(b - 1 for b in hits if b)}):  # window k: shingles kc to kc + 2c
+                    if hits.get(k, 0) + hits.get(k + 1, 0) < self.least[n, c]:
+                        continue
+                    begin = k * c
                     part = hashes[begin : begin + 2 * c]
                     met = {i for b, v in enumerate(self.signature(np.unique(part)).tolist()) for i in index.get((b, v), ())}
                     own = self._tuples(words[begin : begin + len(part) + n - 1], n) if met else []
