@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import math
@@ -48,9 +49,13 @@ def candidates(space: dict, kinds: list[str], n: int, seed: int) -> list[Candida
 
 
 def signature(frame: DataFrame, columns: list[str]) -> str:
-    """A hash of the rows, whatever their order: it keys cached models."""
-    rows = frame.select(F.xxhash64(*(F.col(f"`{c}`") for c in columns)).cast("decimal(38,0)").alias("h"))
-    got = rows.agg(F.md5(F.concat_ws(":", F.sum("h"), F.bit_xor(F.col("h").cast("long")), F.count("*"), F.lit(",".join(columns)))).alias("s"))
+    """A hash of the rows, whatever their order: it keys cached models. Rows count by the MD5 digest of
+    their values as text, a null as a letter that no quoted value is."""
+    values = F.concat_ws(",", *(F.coalesce(F.concat(F.lit("'"), F.col(f"`{c}`").cast("string"), F.lit("'")), F.lit("N")) for c in columns))
+    digest = F.md5(values)
+    part = lambda at: F.conv(F.substring(digest, at, 15), 16, 10)  # noqa: E731  sixty bits
+    rows = frame.select(part(1).cast("decimal(38,0)").alias("h"), part(16).cast("long").alias("x"))
+    got = rows.agg(F.md5(F.concat_ws(":", F.coalesce(F.sum("h"), F.lit(0)), F.coalesce(F.bit_xor("x"), F.lit(0)), F.count("*"), F.lit(",".join(columns)))).alias("s"))
     return got.first().s
 
 
@@ -177,12 +182,13 @@ def search(panel: DataFrame, features: list[str], task: str = "regression", kind
 
 
 def step_of(n: int, seed: int) -> tuple[int, int]:
-    """(a, b) of the permutation i -> (a * i + b) mod n: a has no divisor in common with n."""
-    rng = random.Random(seed)
-    a = rng.randrange(n // 4 + 1, max(n, 2))
+    """(a, b) of the permutation i -> (a * i + b) mod n, from the seed's MD5 digest: a is the first
+    number from the digest's on, over a quarter of n if it can be, that has no divisor in common with n."""
+    digest = hashlib.md5(str(seed).encode()).hexdigest()
+    a = n // 4 + 1 + int(digest[:8], 16) % max(n - n // 4 - 1, 1)
     while math.gcd(a, n) != 1:
         a = a % n + 1
-    return a, rng.randrange(n)
+    return a, int(digest[8:16], 16) % n
 
 
 def numbered(rows: DataFrame) -> DataFrame:

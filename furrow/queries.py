@@ -414,7 +414,7 @@ def known_history(spark, sf_dir):
     return rows.dropna(subset=["yield"]).groupBy("region", "crop").agg(F.count("yield").alias("n_known"))
 
 
-# no SQL form: models and hashes
+# no SQL form: models
 
 
 @query()
@@ -430,14 +430,32 @@ def search_regressor(spark, sf_dir):
     return search.search(full, ["aod", "pm", "yield_lag1", "yield_lag2"], kinds=["Ridge"], mode="fast")[2]
 
 
-@query()
+LINEAR = ("aod", "pm", "yield_lag1")
+_moved = lambda f: " + ".join(f"{w} * {'y' if c == f else 'x'}.{c}" for w, c in zip((-10, -5, 1), LINEAR))
+_lost = " UNION ALL ".join(
+    f"SELECT feature, repeat, sum((x.yield - ({_moved(f)})) ** 2) AS sse FROM n x JOIN steps ON feature = '{f}' JOIN n y ON y.i = (a * x.i + b) % size GROUP BY ALL" for f in LINEAR
+)
+
+
+@query(f"""WITH {PANEL}, {LAGS},
+n AS (SELECT yield, aod, pm, lag1 AS yield_lag1, row_number() OVER (ORDER BY md5(region || '|' || crop || '|' || year)) - 1 AS i FROM lagged WHERE lag1 IS NOT NULL),
+w AS (SELECT count(*) AS size, sum((yield + 10 * aod + 5 * pm - yield_lag1) ** 2) AS sse, count(*) * var_pop(yield) AS total FROM n),
+d AS (SELECT f.feature, r.repeat, md5(CAST(42 + 1000 * f.i + r.repeat AS VARCHAR)) AS digest FROM (VALUES ('aod', 0), ('pm', 1), ('yield_lag1', 2)) f(feature, i), range(10) r(repeat)),
+s AS (SELECT feature, repeat, size, size // 4 + 1 + CAST('0x' || digest[1:8] AS BIGINT) % greatest(size - size // 4 - 1, 1) AS first, CAST('0x' || digest[9:16] AS BIGINT) % size AS b FROM d, w),
+steps AS (SELECT feature, repeat, size, b, arg_min(c, (c - first + size) % size) AS a FROM s, range(1, (SELECT size + 1 FROM w)) k(c) WHERE gcd(c, size) = 1 GROUP BY ALL),
+lost AS ({_lost})
+SELECT feature, round(avg((lost.sse - w.sse) / total), 6) AS importance_mean, round(stddev_pop((lost.sse - w.sse) / total), 6) AS importance_std FROM lost, w GROUP BY feature""")
 def perm_importance(spark, sf_dir):
-    rows = add_lags(panel_view(spark, sf_dir)).where("yield_lag1 is not null").cache()
-    model = search.models.fit(rows, "Ridge", "regression", ["aod", "yield_lag1"], {"regParam": 0.01})
-    return search.permutation_importance(rows, ["aod", "yield_lag1"], model.predict)
+    """Of a fixed linear predictor, all features and ten repeats."""
+    rows = add_lags(panel_view(spark, sf_dir)).where("yield_lag1 is not null")
+    predict = lambda r: r.withColumn("yield_pred", F.col("yield_lag1") - 10 * F.col("aod") - 5 * F.col("pm"))
+    return search.permutation_importance(rows, list(LINEAR), predict)
 
 
-@query()
+@query(f"""WITH {PANEL}, t AS (SELECT region, crop, year, CAST(CAST(round(yield * 1000000) AS BIGINT) AS VARCHAR) AS yield, CAST(CASE WHEN year % 2 = 0 OR region < 'B' THEN CAST(round(aod * 1000000) AS BIGINT) END AS VARCHAR) AS aod FROM panel),
+d AS (SELECT md5(concat_ws(',', chr(39) || region || chr(39), chr(39) || crop || chr(39), chr(39) || year || chr(39), chr(39) || yield || chr(39), coalesce(chr(39) || aod || chr(39), 'N'))) AS h FROM t)
+SELECT md5(concat_ws(':', sum(CAST('0x' || h[1:15] AS BIGINT)), bit_xor(CAST('0x' || h[16:30] AS BIGINT)), count(*), 'region,crop,year,yield,aod')) AS signature FROM d""")
 def data_signature(spark, sf_dir):
-    panel = rounded(panel_view(spark, sf_dir))
-    return spark.createDataFrame([(search.signature(panel, panel.columns),)], "signature string")
+    """Of the panel with gaps; numbers as whole millionths, which engines write alike."""
+    panel = with_gaps(panel_view(spark, sf_dir)).withColumns({c: F.round(F.col(c) * 1_000_000).cast("long") for c in ("yield", "aod")})
+    return spark.createDataFrame([(search.signature(panel, ["region", "crop", "year", "yield", "aod"]),)], "signature string")
