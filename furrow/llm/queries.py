@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, media, minhash_dedup, packing, quality_rules, secret_scan, sharding, token_counts, url_filter
+from . import alignment, bpe, html_text, license_scan, media, minhash_dedup, packing, quality_rules, secret_scan, sharding, token_counts, url_filter, whitening
 from .common import documents
 
 
@@ -56,7 +56,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), "byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_sharding, op3_token_counts, op4_license_scans, op5_packing, op6_quality_rules, op7_media_columns, op8_secret_scans, op9_url_filters, op10_bpe)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), "embedding", most=16)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), "byte_bpe_50k.json", "piece_bpe_32k.model")
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_sharding, op3_token_counts, op4_license_scans, op5_packing, op6_quality_rules, op7_media_columns, op8_secret_scans, op9_url_filters, op10_bpe, op11_whitening, op12_alignment, op13_html_text)}
 
 #: All pairs that share a shingle, counted, and the transitive closure of the links.
 DEDUP_SQL = r"""WITH RECURSIVE w AS (

@@ -39,8 +39,7 @@ def special_tokens(path: str) -> dict[str, int]:
 
 
 @functools.cache
-def _splitter(path: str):
-    special = special_tokens(path)
+def _ordinary():
     usual, newer = regex.compile(PRE_TOKEN).findall, re.compile(f"[{NEWER}]").search
     older = PRE_TOKEN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s[\p{{L}}\p{{N}}--[{NEWER}]]]").replace(r" ?\p{L}+", rf" ?[\p{{L}}--[{NEWER}]]+").replace(r" ?\p{N}+", rf" ?[\p{{N}}--[{NEWER}]]+")
     rare = regex.compile(older, regex.V1).findall
@@ -48,6 +47,17 @@ def _splitter(path: str):
     def pieces(text: str) -> list[str]:
         return usual(text) if newer(text) is None else rare(text)
 
+    return pieces
+
+
+def ordinary_pre_tokens(text: str) -> list[str]:
+    """The pre-tokens of a text in order; the strings of special tokens are plain text."""
+    return _ordinary()(text)
+
+
+@functools.cache
+def _splitter(path: str):
+    special, pieces = special_tokens(path), _ordinary()
     if not special:
         return pieces
     inside = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
