@@ -84,4 +84,9 @@ least_ AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CAST(coalesce(least(doc_id, b), doc_id) AS BIGINT) AS component_id, doc_id = coalesce(least(doc_id, b), doc_id) AS kept
 FROM sets LEFT JOIN least_ ON doc_id = a"""
 
-ORACLES: dict[str, str] = {"op1_minhash_dedup": DEDUP_SQL}
+#: The table's pages have one layout; their text is what stands in the article.
+PAGES_SQL = r"""WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+d AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS t FROM a)
+SELECT page_id, url, coalesce(trim(regexp_replace(t, '\s+', ' ', 'g')), '') AS text, CAST(length(coalesce(trim(regexp_replace(t, '\s+', ' ', 'g')), '')) AS BIGINT) AS n_chars FROM d"""
+
+ORACLES: dict[str, str] = {"op1_minhash_dedup": DEDUP_SQL, "op13_html_text": PAGES_SQL}
