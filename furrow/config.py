@@ -28,8 +28,10 @@ class Settings:
     tertiles: str = "fixed"  # or refit: thresholds from each fold's training rows
     feature_set: str = "auto"
     tune_mode: str = "metrics"
-    regressors: tuple[str, ...] = ("Ridge", "RBF", "GBT", "Forest")
-    classifiers: tuple[str, ...] = ("Logistic", "LinearSVC", "Forest", "GBT", "Perceptron")
+    regressors: tuple[str, ...] = ()  # none: those of the mode
+    classifiers: tuple[str, ...] = ()
+    most_candidates: int = 0  # of each kind; 0: as many as the mode has
+    sample_weight_power: float = 1.0
     use_cache: bool = True
     importance_repeats: int = 10
     extra: Mapping[str, str] = field(default_factory=dict)
@@ -41,7 +43,7 @@ def _coerced(name: str, value):
         return str(value).strip().lower() in ("1", "true", "yes")
     if isinstance(now, tuple):
         items = value if isinstance(value, (list, tuple)) else [x.strip() for x in str(value).split(",") if x.strip()]
-        return tuple(int(x) if isinstance(now[0], int) else str(x) for x in items)
+        return tuple(int(x) if now and isinstance(now[0], int) else str(x) for x in items)
     return type(now)(value)
 
 

@@ -22,49 +22,56 @@ def add_classes(panel: DataFrame) -> DataFrame:
     return panel.join(thresholds(panel), "crop", "left").withColumn("yield_class", label.cast("int")).drop("q1", "q2")
 
 
-def predictor_thresholds(rows: DataFrame, target: str = "yield", least: int = 6) -> tuple[DataFrame, DataFrame]:
-    """(crop, t1, t2 where a crop has ``least`` rows; one row o1, o2 over all)."""
+def predictor_thresholds(rows: DataFrame, target: str = "yield", least: int = 6, by: list[str] = []) -> tuple[DataFrame, DataFrame]:
+    """(crop, t1, t2 where a crop has ``least`` rows; one row o1, o2 over all), each for every value of ``by``."""
     q = F.percentile(target, THIRDS)
-    crops = rows.groupBy("crop").agg(q.alias("q"), F.count(target).alias("n")).where(F.col("n") >= least)
-    whole = rows.agg(q.alias("q"))
-    return crops.select("crop", F.col("q")[0].alias("t1"), F.col("q")[1].alias("t2")), whole.select(F.col("q")[0].alias("o1"), F.col("q")[1].alias("o2"))
+    crops = rows.groupBy(*by, "crop").agg(q.alias("q"), F.count(target).alias("n")).where(F.col("n") >= least)
+    whole = rows.groupBy(*by).agg(q.alias("q"))
+    return crops.select(*by, "crop", F.col("q")[0].alias("t1"), F.col("q")[1].alias("t2")), whole.select(*by, F.col("q")[0].alias("o1"), F.col("q")[1].alias("o2"))
 
 
-def to_class(predicted: DataFrame, train: DataFrame, column: str = "yield_pred") -> DataFrame:
-    """pred_class by the thresholds of ``train``: 0 up to t1, 1 up to t2, else 2."""
-    crops, whole = predictor_thresholds(train)
+def to_class(predicted: DataFrame, train: DataFrame, column: str = "yield_pred", by: list[str] = []) -> DataFrame:
+    """pred_class by the thresholds of ``train``: 0 up to t1, 1 up to t2, else 2. With ``by`` (such as
+    the fold) each of its values has thresholds of its own rows."""
+    crops, whole = predictor_thresholds(train, by=by)
     y, t1, t2 = F.col(column), F.coalesce("t1", "o1"), F.coalesce("t2", "o2")
     label = F.when(y.isNull() | t1.isNull(), None).when(y <= t1, 0).when(y <= t2, 1).otherwise(2)
-    return predicted.join(crops, "crop", "left").crossJoin(F.broadcast(whole)).withColumn("pred_class", label.cast("int")).drop("t1", "t2", "o1", "o2")  # one row
+    joined = predicted.join(crops, [*by, "crop"], "left")
+    joined = joined.join(F.broadcast(whole), by, "left") if by else joined.crossJoin(F.broadcast(whole))  # one row, or one a fold
+    return joined.withColumn("pred_class", label.cast("int")).drop("t1", "t2", "o1", "o2")
 
 
 def probabilities(classed: DataFrame) -> DataFrame:
     return classed.withColumns({f"p{k}": (F.col("pred_class") == k).cast("double") for k in range(3)})
 
 
-def target_means(train: DataFrame, smoothing: float = 10.0) -> dict[str, DataFrame]:
-    """Smoothed mean yields by crop, region and both, and the global mean, from one pass.
+def target_means(train: DataFrame, smoothing: float = 10.0, by: list[str] = []) -> dict[str, DataFrame]:
+    """Smoothed mean yields by crop, region and both, and the global mean, from one pass; with ``by``
+    (such as the fold) for each of its values.
 
     (n mean + m global) / (n + m); a group that ``train`` lacks gets the global mean at the join."""
-    found = train.groupingSets([["crop"], ["region"], ["region", "crop"], []], "crop", "region").agg(
-        F.grouping_id().alias("g"), F.avg("yield").alias("mean"), F.count("yield").alias("n")
+    sets = [[*by, "crop"], [*by, "region"], [*by, "region", "crop"], [*by]]
+    found = train.groupingSets(sets, *by, "crop", "region").agg(
+        F.grouping("crop").alias("gc"), F.grouping("region").alias("gr"), F.avg("yield").alias("mean"), F.count("yield").alias("n")
     )
-    whole = found.where("g = 3").select(F.col("mean").alias("te_global"))
+    whole = found.where("gc = 1 and gr = 1").select(*by, F.col("mean").alias("te_global"))
     smooth = (F.coalesce(F.col("n") * F.col("mean"), F.lit(0.0)) + smoothing * F.col("te_global")) / (F.col("n") + smoothing)
-    parts = found.crossJoin(F.broadcast(whole)).withColumn("te", smooth)  # one row
+    parts = found.join(F.broadcast(whole), by) if by else found.crossJoin(F.broadcast(whole))  # one row, or one a fold
+    parts = parts.withColumn("te", smooth)
     return {
-        "te_crop": parts.where("g = 1").select("crop", F.col("te").alias("te_crop")),
-        "te_region": parts.where("g = 2").select("region", F.col("te").alias("te_region")),
-        "te_region_crop": parts.where("g = 0").select("region", "crop", F.col("te").alias("te_region_crop")),
+        "te_crop": parts.where("gc = 0 and gr = 1").select(*by, "crop", F.col("te").alias("te_crop")),
+        "te_region": parts.where("gc = 1 and gr = 0").select(*by, "region", F.col("te").alias("te_region")),
+        "te_region_crop": parts.where("gc = 0 and gr = 0").select(*by, "region", "crop", F.col("te").alias("te_region_crop")),
         "te_global": whole,
     }
 
 
-def add_target_means(frame: DataFrame, means: dict[str, DataFrame]) -> DataFrame:
+def add_target_means(frame: DataFrame, means: dict[str, DataFrame], by: list[str] = []) -> DataFrame:
     keys = {"te_crop": ["crop"], "te_region": ["region"], "te_region_crop": ["region", "crop"]}
-    out = frame.crossJoin(F.broadcast(means["te_global"]))  # one row
+    whole = F.broadcast(means["te_global"])  # one row, or one a fold
+    out = frame.join(whole, by, "left") if by else frame.crossJoin(whole)
     for name, key in keys.items():
-        out = out.join(means[name], key, "left").withColumn(name, F.coalesce(name, "te_global"))
+        out = out.join(means[name], [*by, *key], "left").withColumn(name, F.coalesce(name, "te_global"))
     return out.drop("te_global")
 
 

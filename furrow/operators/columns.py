@@ -65,12 +65,18 @@ def merged_duplicates(frame: DataFrame) -> DataFrame:
     return inner.select(*(F.coalesce(*cols).alias(n) for n, cols in places.items()))
 
 
-def missing_profile(frame: DataFrame, names: list[str]) -> DataFrame:
-    """feature, missing share, known values, distinct values (null as one), from one pass."""
+def missing_profile(frame: DataFrame, names: list[str], exact: bool = True) -> DataFrame:
+    """feature, missing share, known values, distinct values (null as one), from one pass.
+
+    Exact distinct counts take each row once a column; without ``exact`` 2 stands for two values or more,
+    which minima and maxima tell, and no row is taken twice."""
+    null = lambda c: F.max(c.isNull().cast("int"))
+    some = lambda c: F.when(F.count(c) == 0, 0).when(F.min(c) < F.max(c), 2).otherwise(1)
+    distinct = lambda c: (F.count_distinct(c) if exact else some(c)) + null(c)
     stats = [F.struct(
         F.avg(F.col(f"`{n}`").isNull().cast("double")).alias("missing"),
         F.count(F.col(f"`{n}`")).alias("known"),
-        (F.count_distinct(F.col(f"`{n}`")) + F.max(F.col(f"`{n}`").isNull().cast("int"))).alias("distinct"),
+        distinct(F.col(f"`{n}`")).alias("distinct"),
     ).alias(f"s{i}") for i, n in enumerate(names)]
     row = frame.agg(*stats)
     each = F.array(*(F.struct(F.lit(n).alias("feature"), F.col(f"s{i}").alias("s")) for i, n in enumerate(names)))

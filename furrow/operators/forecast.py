@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from furrow.operators.columns import resolved
 from furrow.operators.folds import last_years
 from furrow.operators.lags import add_lags, last_yields
-from furrow.session import shared_dir
+from furrow.session import stored
 from furrow.operators.trend import GROUP, backtest_lags, carried, trend_at, trend_features, trends
 
 
@@ -92,20 +92,21 @@ def recursive_forecast(panel: DataFrame, years: int = 10, features: list[str] =
 
 def recursive_model(panel: DataFrame, features: list[str], lags: int, predict: Callable[[DataFrame], DataFrame], years: int = 10, carry: bool = False) -> DataFrame:
     """The same with any fitted model: ``predict`` adds yield_pred to rows with features and
-    yield_lag1..k. All groups of a year are predicted at once; the lags are one array a group."""
-    shared_dir(panel.sparkSession)  # sets a checkpoint folder where there is none
+    yield_lag1..k. All groups of a year are predicted at once; the lags are one array a group.
+    Each year's rows are written, so that neither the next year nor the result predicts them again."""
     last = panel.agg(F.max("year")).first()[0]
-    state, out = last_yields(panel, lags), None
-    base = state
+    base, out = last_yields(panel, lags), None
     if features:
-        base = state.join(carried(panel, features) if carry else trends(panel, features), GROUP, "left")
+        base = base.join(carried(panel, features) if carry else trends(panel, features), GROUP, "left")
+    base = stored(base, "groups", keep=True)
     for year in range(last + 1, last + years + 1):
         values = [F.col(f"`{f}`") if carry else trend_at(f, F.lit(year)).alias(f) for f in features]
         rows = base.select(*GROUP, F.lit(year).alias("year"), *values, *(F.try_element_at("last_yields", F.lit(-k)).alias(f"yield_lag{k}") for k in range(1, lags + 1)))
-        done = predict(rows)
+        done = stored(predict(rows), "year", keep=True)
         out = done if out is None else out.unionByName(done)
         nxt = done.select(*GROUP, F.col("yield_pred").alias("_p"))
-        base = base.join(nxt, GROUP).withColumn("last_yields", F.array_append(F.slice("last_yields", 2, lags), F.col("_p"))).drop("_p").checkpoint()
+        state = base.select(*GROUP, "last_yields").join(nxt, GROUP).select(*GROUP, F.array_append(F.slice("last_yields", 2, lags), F.col("_p")).alias("last_yields"))
+        base = stored(state.join(base.drop("last_yields"), GROUP), "groups", keep=True)
     return out
 
 

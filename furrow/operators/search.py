@@ -1,51 +1,45 @@
-"""Model search over year-forward folds, out-of-fold scores, and permutation importance."""
+"""Model search over year-forward folds, out-of-fold scores, and permutation importance.
+
+The rows of all folds are derived and written once, whatever the number of candidates. Where a fold's
+rows are few (``HELD_BYTES``, measured), all fits of all candidates and folds are groups of one job;
+beyond that each fit sums over the written rows, and a bounded number of fits run at a time."""
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 import math
-import random
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.operators import models
-from furrow.operators.classes import add_target_means, class_metrics, class_weights, target_means, to_class
-from furrow.operators.columns import kept_by_threshold, missing_profile, task_mask
+from furrow.learners import catalogue
+from furrow.learners.blocks import Block, Held, Spread
+from furrow.learners.catalogue import BY_REGRESSION, CLASSIFIERS, REGRESSORS, Candidate, candidates
+from furrow.operators.classes import class_metrics, target_means, to_class
+from furrow.operators.columns import kept_by_threshold, missing_profile, task_mask, varying
+from furrow.operators.design import INTERACTIONS, STATISTICS, TE, Layout, derived, derived_names, layout
 from furrow.operators.folds import folded, year_folds
-from furrow.operators.lags import add_interactions, add_lag_statistics
 from furrow.operators.metrics import regression_metrics
 from furrow.operators.numbering import row_numbers
 from furrow.session import scratch, stored
 from furrow.sources.files import tolerant_json, write_json
 
-MODES = {"fast": 2, "metrics": 4, "full": 8}
-MISSING = {"core": 0.35, "mid": 0.60, "full": 0.85}
-TE = ["te_crop", "te_region", "te_region_crop"]
-STATISTICS = [f"yield_lag_{s}" for s in ("last", "count_nonnull", "mean_2", "mean_3", "std_3", "min_3", "max_3", "slope_3", "mean_5", "std_5", "min_5", "max_5", "slope_5", "momentum_1", "momentum_2", "momentum_4", "ratio_last_mean3")]
-INTERACTIONS = ["lag_last_minus_te_crop", "lag_last_minus_te_region", "lag_last_minus_te_region_crop", "lag_last_div_te_crop", "lag_last_div_te_region_crop"]
-
-
-@dataclass(frozen=True)
-class Candidate:
-    kind: str
-    params: tuple[tuple[str, object], ...]
-
-    def __str__(self) -> str:
-        return f"{self.kind} {json.dumps(dict(self.params))}"
-
+__all__ = ["Candidate", "INTERACTIONS", "STATISTICS", "TE", "derived_names"]
 
-def candidates(space: dict, kinds: list[str], n: int, seed: int) -> list[Candidate]:
-    """A seeded sample of each model's grid, of ``n`` cells or the grid if that is smaller."""
-    out, rng = [], random.Random(seed)
-    for kind in kinds:
-        grid = space[kind][1]
-        cells = [tuple(zip(grid, values)) for values in itertools.product(*grid.values())]
-        out += [Candidate(kind, c) for c in rng.sample(cells, min(n, len(cells)))]
-    return out
+#: Missing shares up to which features are kept, by name; in full mode more are compared.
+MISSING = {"core": 0.35, "mid": 0.60, "full": 0.85}
+MISSING_FULL = (0.25, 0.35, 0.50, 0.60, 0.70, 0.85)
+#: Bytes of one fold's rows up to which a fit may hold them in one group.
+HELD_BYTES = 32_000_000
+#: Fits over larger folds that run at a time.
+AT_ONCE = 4
 
 
 def signature(frame: DataFrame, columns: list[str]) -> str:
@@ -59,126 +53,246 @@ def signature(frame: DataFrame, columns: list[str]) -> str:
     return got.first().s
 
 
-def derived_names(use_te: bool = True) -> list[str]:
-    """Columns a model gets beside its features: lag statistics always, target means and interactions with ``use_te``."""
-    return [*STATISTICS, *TE, *INTERACTIONS] if use_te else STATISTICS
+@dataclass
+class Fitted:
+    """A fitted model: it derives its further columns itself, from lags and its training rows' target means."""
 
+    kind: str
+    task: str
+    layout: Layout
+    arrays: dict[str, np.ndarray]
+    means: dict[str, DataFrame] | None
 
-def derived(rows: DataFrame, means: dict[str, DataFrame] | None) -> DataFrame:
-    rows = add_lag_statistics(rows)
-    return rows if means is None else add_interactions(add_target_means(rows, means))
-
+    @property
+    def numeric(self) -> list[str]:
+        return list(self.layout.numeric)
 
-class Derived:
-    """A fitted model that derives its further columns from lags and its training rows' target means itself."""
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with yield_pred or pred_class; their own columns stay."""
+        given = rows.sparkSession.sparkContext.broadcast(self.arrays)
+        kind, task = self.kind, self.task
 
-    def __init__(self, fitted: models.Fitted, means: dict[str, DataFrame] | None):
-        self.fitted, self.means = fitted, means
+        def values(x: pd.Series) -> pd.Series:
+            return pd.Series(catalogue.predict(task, kind, given.value, np.stack(x.to_list())).astype(float)) if len(x) else pd.Series([], dtype=float)
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        return self.fitted.predict(derived(rows, self.means)).select(*(F.col(f"`{c}`") for c in rows.columns), self.fitted.rename)
+        done = F.pandas_udf(values, "double")(self.layout.array())
+        name, done = ("yield_pred", done) if task == "regression" else ("pred_class", done.cast("int"))
+        return derived(rows, self.means).withColumn(name, done).select(*(F.col(f"`{c}`") for c in rows.columns if c != name), name)
 
     def save(self, path: str, signature: str = "") -> None:
+        """Model and means beside each other; what is read from the path before is not touched."""
+        spark = SparkSession.active()
+        version = hashlib.md5(f"{signature}{self.kind}".encode() + catalogue.packed(self.arrays)).hexdigest()
         for name, table in (self.means or {}).items():
-            table.write.mode("overwrite").parquet(f"{path}/means/{name}")
-        self.fitted.save(path, signature)
+            table.coalesce(1).write.mode("ignore").parquet(f"{path}/{version}/means/{name}")
+        spark.createDataFrame([(bytearray(catalogue.packed(self.arrays)),)], "model binary").coalesce(1).write.mode("ignore").parquet(f"{path}/{version}/model")
+        meta = {"version": version, "kind": self.kind, "task": self.task, "layout": self.layout.to_dict(), "means": sorted(self.means or {}), "signature": signature}
+        write_json(spark, meta, f"{path}/meta")
 
 
-def load(path: str, signature: str, use_te: bool = True) -> Derived | None:
-    fitted = models.load(path, signature)
-    if fitted is None:
+def load(path: str, signature: str) -> Fitted | None:
+    """A saved model, if there is one and it is of rows of this signature."""
+    spark = SparkSession.active()
+    meta = tolerant_json(spark, f"{path}/meta")
+    if not meta or meta["signature"] != signature:
         return None
-    names = (*TE, "te_global") if use_te else ()
-    read = SparkSession.active().read
-    return Derived(fitted, {n: read.parquet(f"{path}/means/{n}") for n in names} or None)
+    at = f"{path}/{meta['version']}"
+    means = {n: spark.read.parquet(f"{at}/means/{n}") for n in meta["means"]} or None
+    return Fitted(meta["kind"], meta["task"], Layout.of(meta["layout"]), catalogue.unpacked(bytes(spark.read.parquet(f"{at}/model").first().model)), means)
+
 
+def designed(rows: DataFrame, numeric: list[str]) -> tuple[DataFrame, Layout]:
+    """``rows`` with x (the array of ``numeric`` and categories), y_class, w and u, and the layout."""
+    own = layout(rows, numeric)
+    u = F.xxhash64(*(F.col(c) for c in ("region", "crop", "year", "yield"))).bitwiseAND((1 << 62) - 1)
+    return rows.withColumns({"x": own.array(), "w": F.lit(1.0), "u": u}), own
 
-def fit(train: DataFrame, kind: str, task: str, features: list[str], params: dict | None = None, use_te: bool = True, smoothing: float = 10.0, weight: str | None = None) -> Derived:
-    """``models.fit`` on the features and what is derived from them and from ``train`` alone."""
-    means = {k: m.cache() for k, m in target_means(train, smoothing).items()} if use_te else None
-    return Derived(models.fit(derived(train, means).cache(), kind, task, [*features, *derived_names(use_te)], params, weight=weight), means)
 
+def _target(task: str) -> str:
+    return "yield" if task == "regression" else "yield_class"
 
-def out_of_fold(panel: DataFrame, folds: DataFrame, kind: str, task: str, features: list[str], params: dict, via_regression: bool = False, use_te: bool = True, smoothing: float = 10.0, tertiles: str = "fixed") -> DataFrame:
-    """Predictions of every fold's test rows by a model of its training rows.
 
-    A regressor's classes have the thresholds of the whole panel, or with tertiles "refit" of the
-    fold's training rows."""
-    every, out = folded(panel, folds), None
-    for f in [r.fold for r in folds.select("fold").orderBy("fold").collect()]:  # n_splits at most
-        one = every.where(F.col("fold") == f)
-        train, test = one.where("is_train"), one.where("not is_train")
-        if task == "regression" or via_regression:
-            done = fit(train, kind, "regression", features, params, use_te, smoothing).predict(test)
-            done = to_class(done, panel if tertiles == "fixed" else train) if via_regression else done
+def _block(rows: pd.DataFrame, task: str) -> Block:
+    return Block(np.stack(rows["x"].to_list()), rows[_target(task)].to_numpy(dtype=float), rows["w"].to_numpy(dtype=float), rows["u"].to_numpy(dtype=np.int64))
+
+
+def is_small(rows: int, width: int) -> bool:
+    return 8 * rows * width <= HELD_BYTES
+
+
+def fit(train: DataFrame, kind: str, task: str, features: list[str], params: dict | None = None, use_te: bool = True, smoothing: float = 10.0, power: float = 1.0, seed: int = 42) -> Fitted:
+    """A model of ``kind`` on the features and what is derived from them and from ``train`` alone."""
+    spark, params = train.sparkSession, dict(params or {})
+    target = _target(task)
+    with scratch(spark):
+        train = stored(train.where(F.col(target).isNotNull()), "train")
+        means = {k: stored(m.coalesce(1), k, keep=True) for k, m in target_means(train, smoothing).items()} if use_te else None
+        rows, own = designed(derived(train, means), [*features, *derived_names(use_te)])
+        table = stored(rows.select("x", F.col(target).cast("double").alias("y"), "w", "u", F.lit(0).alias("unit")), "design")
+        if is_small(table.count(), own.width):
+            job = {"task": task, "kind": kind, "params": params, "numeric": own.scaled, "seed": seed, "power": power}
+
+            def one(rows: pd.DataFrame) -> pd.DataFrame:
+                block = Block(np.stack(rows["x"].to_list()), *(rows[c].to_numpy() for c in ("y", "w", "u")))
+                return pd.DataFrame({"model": [catalogue.packed(catalogue.fit(Held(block), **job))]})
+
+            arrays = catalogue.unpacked(bytes(table.groupBy("unit").applyInPandas(one, "model binary").first().model))
         else:
-            weights = class_weights(train)
-            train = train.join(F.broadcast(weights), "yield_class")  # a row a class
-            done = fit(train, kind, task, features, params, use_te, smoothing, weight="weight").predict(test)
-        out = done if out is None else out.unionByName(done)
+            arrays = catalogue.fit(Spread(table.drop("unit")), task, kind, params, own.scaled, seed, power)
+    return Fitted(kind, task, own, arrays, means)
+
+
+def fold_design(rows: DataFrame, folds: DataFrame, features: list[str], use_te: bool = True, smoothing: float = 10.0) -> tuple[DataFrame, Layout]:
+    """The rows of all folds, derived from each fold's own training rows in one plan, written once:
+    fold, is_train, region, crop, year, yield, yield_class, x, w, u."""
+    every = folded(rows, folds)
+    means = {k: stored(m.coalesce(1), k) for k, m in target_means(every.where("is_train"), smoothing, ["fold"]).items()} if use_te else None
+    table, own = designed(derived(every, means, ["fold"]), [*features, *derived_names(use_te)])
+    classed = F.col("yield_class").cast("int") if "yield_class" in table.columns else F.lit(None).cast("int")
+    return stored(table.select("fold", "is_train", "region", "crop", "year", "yield", classed.alias("yield_class"), "x", "w", "u"), "folds"), own
+
+
+PREDICTED = "position int, fold int, region string, crop string, year int, yield double, yield_class int, predicted double, error string"
+
+
+def out_of_fold(design: DataFrame, own: Layout, tried: list[tuple[Candidate, str]], seed: int = 42, power: float = 1.0) -> DataFrame:
+    """Predictions of every fold's test rows by each candidate, fitted to the fold's training rows: columns of
+    ``PREDICTED``; ``position`` counts in ``tried``, whose members are (candidate, task). A fit that fails gives a row with its error."""
+    spark = design.sparkSession
+    sizes = {r.fold: r.n for r in design.where("is_train").groupBy("fold").agg(F.count("*").alias("n")).collect()}  # a row a fold
+    jobs = [{"task": task, "kind": c.kind, "params": dict(c.params), "numeric": own.scaled, "seed": seed, "power": power} for c, task in tried]
+    if is_small(2 * max(sizes.values(), default=0), own.width):
+        keyed = spark.createDataFrame([(i,) for i in range(len(jobs))], "position int")
+        every = design.crossJoin(F.broadcast(keyed)).withColumn("unit", F.col("position") * 1000 + F.col("fold"))  # a row a candidate
+
+        def one(rows: pd.DataFrame) -> pd.DataFrame:
+            job = jobs[int(rows["position"].iloc[0])]
+            train, test = rows[rows["is_train"] & rows[_target(job["task"])].notna()], rows[~rows["is_train"]]
+            out, error = test[["position", "fold", "region", "crop", "year", "yield", "yield_class"]].assign(predicted=np.nan, error=None), None
+            try:
+                arrays = catalogue.fit(Held(_block(train, job["task"])), **job)
+                out["predicted"] = catalogue.predict(job["task"], job["kind"], arrays, np.stack(test["x"].to_list())).astype(float)
+            except Exception as e:  # noqa: BLE001  a candidate that can't be fitted is a result too
+                error = f"{type(e).__name__}: {e}"[:200]
+            return out.assign(error=error)
+
+        # a partition a fit: sizes say nothing of how long a fit takes
+        return every.repartition(max(1, len(jobs) * len(sizes)), "unit").groupBy("unit").applyInPandas(one, PREDICTED)
+
+    def spread(at: tuple[int, int]) -> DataFrame:
+        position, fold = at
+        job = jobs[position]
+        rows = design.where(F.col("fold") == fold)
+        target = F.col(_target(job["task"]))
+        model = catalogue.fit(Spread(rows.where(F.col("is_train") & target.isNotNull()).select("x", target.cast("double").alias("y"), "w", "u")), **job)
+        given = spark.sparkContext.broadcast(model)
+        values = F.pandas_udf(lambda x: pd.Series(catalogue.predict(job["task"], job["kind"], given.value, np.stack(x.to_list())).astype(float)), "double")
+        test = rows.where("not is_train").withColumns({"position": F.lit(position), "predicted": values("x"), "error": F.lit(None).cast("string")})
+        return stored(test.select(*(c.split()[0] for c in PREDICTED.split(", "))), "predicted", keep=True)
+
+    def caught(at: tuple[int, int]) -> DataFrame:
+        try:
+            return spread(at)
+        except Exception as e:  # noqa: BLE001
+            return spark.createDataFrame([(at[0], at[1], *[None] * 6, f"{type(e).__name__}: {e}"[:200])], PREDICTED)
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:  # in the context of the caller, whose scratch owns the tables
+        running = [pool.submit(copy_context().run, caught, (i, f)) for i in range(len(jobs)) for f in sorted(sizes)]
+    done = [r.result() for r in running]
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
     return out
 
 
 def fold_scores(predicted: DataFrame, task: str) -> DataFrame:
-    """fold, score: R2 or macro-F1 (the higher the better)."""
+    """position, fold, score: R2 or macro-F1 (the higher the better)."""
+    by = ["position", "fold"]
     if task == "regression":
-        return regression_metrics(predicted, ["fold"], "yield", "yield_pred").select("fold", F.col("r2").alias("score"))
-    return class_metrics(predicted, by=["fold"]).select("fold", F.col("f1_macro").alias("score"))
+        return regression_metrics(predicted, by, "yield", "yield_pred").select(*by, F.col("r2").alias("score"))
+    return class_metrics(predicted, by=by).select(*by, F.col("f1_macro").alias("score"))
 
 
-def best_threshold(panel: DataFrame, folds: DataFrame, features: list[str], task: str, use_te: bool = True, smoothing: float = 10.0, tertiles: str = "fixed", feature_set: str = "auto") -> tuple[str, list[str]]:
-    """The missing-share threshold whose features score best with a default model, the first on
-    ties; or the one that ``feature_set`` names."""
-    profile, best = missing_profile(panel, features).cache(), None
-    for name, share in MISSING.items() if feature_set == "auto" else [(feature_set, MISSING[feature_set])]:
-        kept = sorted(r.feature for r in kept_by_threshold(profile, share).collect())  # column names
-        if not kept:
+def scored(design: DataFrame, own: Layout, tried: list[tuple[Candidate, str]], task: str, tertiles: str = "fixed", seed: int = 42, power: float = 1.0) -> DataFrame:
+    """The predictions of ``tried`` as yield_pred (regressions) or pred_class; where a regressor stands in a
+    classification its predictions become classes by the tertiles of all rows, or with "refit" of
+    each fold's training rows. Written once."""
+    done = stored(out_of_fold(design, own, tried, seed, power), "predicted", keep=True)
+    if task == "regression":
+        return done.withColumnRenamed("predicted", "yield_pred")
+    by_value = [i for i, (_, t) in enumerate(tried) if t == "regression"]
+    direct = done.where(~F.col("position").isin(by_value)).withColumn("pred_class", F.col("predicted").cast("int"))
+    valued = done.where(F.col("position").isin(by_value)).withColumnRenamed("predicted", "yield_pred")
+    last = design.where(F.col("fold") == design.agg(F.max("fold")).first()[0])  # all rows up to the last year
+    classed = to_class(valued, design.where("is_train"), by=["fold"]) if tertiles == "refit" else to_class(valued, last)
+    return direct.drop("predicted").unionByName(classed.drop("yield_pred"))
+
+
+def best_threshold(rows: DataFrame, folds: DataFrame, features: list[str], task: str, use_te: bool = True, smoothing: float = 10.0, tertiles: str = "fixed", feature_set: str = "auto", mode: str = "fast", seed: int = 42) -> tuple[float, list[str], list[dict]]:
+    """(missing share, the features kept by it, what was compared): the share whose features score best with
+    boosting of default settings, the first on ties; or the one that ``feature_set`` names."""
+    profile = stored(missing_profile(rows, features, exact=False).coalesce(1), "profile")
+    some = {r.feature for r in varying(profile).collect()}  # column names
+    kept = {s: sorted(r.feature for r in kept_by_threshold(profile, s).collect() if r.feature in some) for s in {*MISSING.values(), *MISSING_FULL}}
+    if feature_set != "auto":
+        return MISSING[feature_set], kept[MISSING[feature_set]], []
+    default, found, known = Candidate("Boosting", ()), [], {}
+    for share in MISSING_FULL if mode == "full" else MISSING.values():
+        names = tuple(kept[share])
+        if not names:
             continue
-        if feature_set != "auto":
-            return name, kept
-        done = out_of_fold(panel, folds, "Ridge", "regression", kept, {"regParam": 0.1}, task != "regression", use_te, smoothing, tertiles)
-        score = fold_scores(done, task).agg(F.avg("score")).first()[0]
-        if score is not None and (best is None or score > best[0]):
-            best = score, name, kept
-    if best is None:
+        if names not in known:  # equal sets have equal scores
+            design, own = fold_design(rows, folds, list(names), use_te, smoothing)
+            done = scored(design, own, [(default, "regression")], task, tertiles, seed)
+            known[names] = fold_scores(done, task).agg(F.avg("score")).first()[0]
+        found.append({"share": share, "score": known[names], "features": len(names)})
+    usable = [f for f in found if f["score"] is not None]
+    if not usable:
         raise ValueError("no feature is known often enough")
-    return best[1], best[2]
+    best = max(usable, key=lambda f: f["score"])
+    return best["share"], kept[best["share"]], found
 
 
-def search(panel: DataFrame, features: list[str], task: str = "regression", kinds: list[str] | None = None, mode: str = "fast", n_splits: int = 4, seed: int = 42, use_te: bool = True, smoothing: float = 10.0, tertiles: str = "fixed", feature_set: str = "auto", min_train: int = 8, min_test: int = 4) -> tuple[Derived, dict, DataFrame]:
+def default_kinds(task: str, mode: str) -> list[str]:
+    """The kinds that a mode tries at all."""
+    at = catalogue.MODES.index(mode)
+    return [k for k, v in (REGRESSORS if task == "regression" else CLASSIFIERS).items() if v.tries[at] and k != "Ridge"]
+
+
+def search(panel: DataFrame, features: list[str], task: str = "regression", kinds: list[str] | None = None, mode: str = "fast", n_splits: int = 4, seed: int = 42, use_te: bool = True, smoothing: float = 10.0, tertiles: str = "fixed", feature_set: str = "auto", min_train: int = 8, min_test: int = 4, power: float = 1.0, most: int | None = None, by_regression: list[str] | None = None) -> tuple[Fitted, dict, DataFrame]:
     """(model refitted on all rows, info, scores by candidate and fold).
 
-    Candidates that fail are recorded and skipped; if all fail that is an error. A classifier is
-    searched directly and by way of the regressors' tertile classes."""
-    rows = panel.where(task_mask(features, task)).cache()
-    folds = year_folds(rows, n_splits, min_train, min_test).cache()
-    chosen, names = best_threshold(rows, folds, features, task, use_te, smoothing, tertiles, feature_set)
-    plans = [(c, False) for c in candidates(models.REGRESSORS if task == "regression" else models.CLASSIFIERS, kinds or ["Ridge", "GBT"] if task == "regression" else kinds or ["Logistic", "Forest"], MODES[mode], seed)]
-    if task != "regression":
-        plans += [(c, True) for c in candidates(models.REGRESSORS, ["Ridge"], MODES[mode], seed)]
-    tried, table, best = [], None, None
-    for position, (c, via) in enumerate(plans):
-        name = ("Reg2Tertile " if via else "") + str(c)
-        try:
-            done = out_of_fold(rows, folds, c.kind, task, names, dict(c.params), via, use_te, smoothing, tertiles).cache()
-            scores = fold_scores(done, task).withColumns({"candidate": F.lit(name), "position": F.lit(position)})
-            score = scores.agg(F.avg("score")).first()[0]
-        except Exception as e:  # noqa: BLE001  a candidate that can't be fitted is a result too
-            tried.append({"candidate": name, "error": str(e)[:200]})
-            continue
-        tried.append({"candidate": name, "score": score})
-        table = scores if table is None else table.unionByName(scores)
-        if score is not None and (best is None or score > best[0]):
-            best = score, c, via, done
-    if best is None:
-        raise ValueError(f"no candidate could be fitted: {tried}")
-    score, c, via, done = best
-    oof = regression_metrics(done, [], "yield", "yield_pred") if task == "regression" else class_metrics(done)
-    direct = task != "regression" and not via  # a direct classifier keeps the class weights that it was scored with
-    final = rows.join(F.broadcast(class_weights(rows)), "yield_class") if direct else rows  # a row a class
-    fitted = fit(final, c.kind, "regression" if via else task, names, dict(c.params), use_te, smoothing, weight="weight" if direct else None)
-    info = {"task": task, "best": str(c), "kind": c.kind, "params": dict(c.params), "via_regression": via, "feature_set": chosen, "features": names, "derived": derived_names(use_te), "cv": score, "oof": oof.first().asDict(), "tried": tried, "signature": signature(rows, [*names, "region", "crop", "year", "yield"])}
-    return fitted, info, table
+    ``kinds``: learners of the catalogue, those of the mode by default; ``most`` candidates of each. Candidates
+    that fail are recorded and skipped; if all fail that is an error. A classifier is searched directly and by
+    way of the tertile classes of regressors (``by_regression``). The year is a feature too."""
+    spark = panel.sparkSession
+    with scratch(spark):
+        rows = stored(panel.where(task_mask(features, task)), "rows")
+        folds = stored(year_folds(rows, n_splits, min_train, min_test).coalesce(1), "folds")
+        share, names, compared = best_threshold(rows, folds, [*dict.fromkeys([*features, "year"])], task, use_te, smoothing, tertiles, feature_set, mode, seed)
+        own_kinds = REGRESSORS if task == "regression" else CLASSIFIERS
+        tried = [(c, task) for c in candidates(own_kinds, kinds or default_kinds(task, mode), mode, seed, most)]
+        if task != "regression":
+            routes = [k for k in BY_REGRESSION if REGRESSORS[k].tries[catalogue.MODES.index(mode)]] if by_regression is None else by_regression
+            tried += [(c, "regression") for c in candidates(REGRESSORS, routes, mode, seed, most)]
+        design, own = fold_design(rows, folds, names, use_te, smoothing)
+        done = scored(design, own, tried, task, tertiles, seed, power)
+        label = [("" if t == task else "Reg2Tertile ") + str(c) for c, t in tried]
+        shown = spark.createDataFrame([(i, n) for i, n in enumerate(label)], "position int, candidate string")  # a row a candidate
+        table = stored(fold_scores(done, task).join(shown, "position").coalesce(1), "scores", keep=True)
+        means = {r.position: r.score for r in table.groupBy("position").agg(F.avg("score").alias("score")).collect()}
+        errors = {r.position: r.error for r in done.where("error is not null").groupBy("position").agg(F.first("error").alias("error")).collect()}
+        usable = [i for i in range(len(tried)) if means.get(i) is not None and i not in errors]
+        if not usable:
+            raise ValueError(f"no candidate could be fitted: {errors}")
+        best = max(usable, key=lambda i: means[i])  # the first on ties
+        mine = done.where(F.col("position") == best)
+        oof = (regression_metrics(mine, [], "yield", "yield_pred") if task == "regression" else class_metrics(mine)).first().asDict()
+    candidate, route = tried[best]
+    model = fit(panel.where(task_mask(features, task)), candidate.kind, route, names, dict(candidate.params), use_te, smoothing, power, seed)
+    outcome = [{"candidate": n} | ({"error": errors[i]} if i in errors else {"score": means.get(i)}) for i, n in enumerate(label)]
+    info = {"task": task, "best": str(candidate), "kind": candidate.kind, "params": dict(candidate.params), "via_regression": route != task, "missing_share": share, "compared": compared, "features": names, "derived": derived_names(use_te), "cv": means[best], "oof": oof, "tried": outcome, "signature": signature(panel.where(task_mask(features, task)), [*dict.fromkeys([*names, "region", "crop", "year", "yield"])])}
+    return model, info, table
 
 
 def step_of(n: int, seed: int) -> tuple[int, int]:
@@ -207,7 +321,7 @@ def shuffled(rows: DataFrame, column: str, steps: list[tuple[int, int]], n: int)
     return every.withColumn(column, F.col("_value")).drop("_from", "_value", "_n")
 
 
-def permutation_importance(rows: DataFrame, features: list[str], predict, task: str = "regression", repeats: int = 10, seed: int = 42) -> DataFrame:
+def permutation_importance(rows: DataFrame, features: list[str], predict: Callable[[DataFrame], DataFrame], task: str = "regression", repeats: int = 10, seed: int = 42) -> DataFrame:
     """feature, importance_mean, importance_std (population) of the score lost, largest first.
 
     Rows are written and numbered once; all repeats of a feature are one plan."""
@@ -230,12 +344,12 @@ def permutation_importance(rows: DataFrame, features: list[str], predict, task:
     return table.groupBy("feature").agg(F.avg("lost").alias("importance_mean"), F.stddev_pop("lost").alias("importance_std")).orderBy(F.desc("importance_mean"), "feature")
 
 
-def cached_search(path: str, panel: DataFrame, features: list[str], task: str = "regression", force: bool = False, **options) -> tuple[Derived, dict]:
+def cached_search(path: str, panel: DataFrame, features: list[str], task: str = "regression", force: bool = False, **options) -> tuple[Fitted, dict]:
     """``search``, or the model and info saved under ``path`` if they are of the same rows and options."""
     spark = panel.sparkSession
     key = signature(panel, [*features, "region", "crop", "year", "yield"]) + json.dumps([task, options], sort_keys=True, default=str)
     info = tolerant_json(spark, f"{path}/info")
-    if not force and info and (model := load(path, key, options.get("use_te", True))) is not None:
+    if not force and info and (model := load(path, key)) is not None:
         return model, info
     model, info, _ = search(panel, features, task, **options)
     model.save(path, key)

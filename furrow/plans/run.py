@@ -19,7 +19,7 @@ from furrow.operators.columns import feature_groups
 from furrow.operators.lags import add_lags
 from furrow.operators.metrics import regression_metrics
 from furrow.plans import report, views
-from furrow.session import local_session
+from furrow.session import local_session, scratch, stored
 from furrow.sources import files, sheets
 from furrow.sources.panel import panel_view
 
@@ -33,7 +33,13 @@ def prepared(panel: DataFrame, options: Settings) -> tuple[DataFrame, list[str]]
 
 
 def run(spark: SparkSession, panel: DataFrame, out: str, options: Settings = Settings()) -> dict[str, DataFrame]:
-    """Run every stage over a panel and write tables and report under ``out``."""
+    """Run every stage over a panel and write tables and report under ``out``. Tables that the result
+    reads stay until ``session.clear``, or the end of a ``scratch`` around this call; all others go."""
+    with scratch(spark):
+        return _run(spark, panel, out, options)
+
+
+def _run(spark: SparkSession, panel: DataFrame, out: str, options: Settings) -> dict[str, DataFrame]:
     seconds: dict[str, float] = {}
 
     @contextmanager
@@ -46,25 +52,26 @@ def run(spark: SparkSession, panel: DataFrame, out: str, options: Settings = Set
     lags = len(options.lags)
     with timed("features"):
         full, features = prepared(panel, options)
-        full = full.cache()
+        full = stored(full, "panel", keep=True)
+        panel = full.select(*panel.columns)
         plain = [f for f in features if not f.startswith("yield_lag")]
     with timed("tuning"):
-        tune = {"mode": options.tune_mode, "n_splits": options.folds, "seed": options.seed, "use_te": options.use_target_mean, "smoothing": options.smoothing, "tertiles": options.tertiles, "feature_set": options.feature_set, "min_train": options.min_train_rows, "min_test": options.min_test_rows}
-        reg, reg_info = search.cached_search(f"{out}/models/best_regressor", full, features, "regression", not options.use_cache, kinds=list(options.regressors), **tune)
-        clf, clf_info = search.cached_search(f"{out}/models/best_classifier", full, features, "classification", not options.use_cache, kinds=list(options.classifiers), **tune)
+        tune = {"mode": options.tune_mode, "n_splits": options.folds, "seed": options.seed, "use_te": options.use_target_mean, "smoothing": options.smoothing, "tertiles": options.tertiles, "feature_set": options.feature_set, "min_train": options.min_train_rows, "min_test": options.min_test_rows, "power": options.sample_weight_power, "most": options.most_candidates or None}
+        reg, reg_info = search.cached_search(f"{out}/models/best_regressor", full, features, "regression", not options.use_cache, kinds=list(options.regressors) or None, **tune)
+        clf, clf_info = search.cached_search(f"{out}/models/best_classifier", full, features, "classification", not options.use_cache, kinds=list(options.classifiers) or None, **tune)
         own = [f for f in reg_info["features"]]
     with timed("backtest"):
         def fit(train: DataFrame):
-            return search.fit(train, reg_info["kind"], "regression", own, reg_info["params"], options.use_target_mean, options.smoothing).predict
+            return search.fit(train, reg_info["kind"], "regression", own, reg_info["params"], options.use_target_mean, options.smoothing, seed=options.seed).predict
 
-        tables["backtest"] = forecast.backtest_model(panel, [f for f in own if f in plain], list(options.lags), fit, options.backtest_years).cache()
+        tables["backtest"] = stored(forecast.backtest_model(panel, [f for f in own if f in plain], list(options.lags), fit, options.backtest_years), "backtest", keep=True)
         tables["backtest_by_year"] = regression_metrics(tables["backtest"], ["year"]).orderBy("year")
     with timed("forecast"):
         for name, carry in (("forecast", False), ("forecast_past_only", True)):
             done = forecast.recursive_model(panel, [f for f in own if f in plain], lags, reg.predict, options.years_ahead, carry)
-            tables[name] = done.withColumn("forecast_method", F.lit("past_only" if carry else "trend_based")).cache()
+            tables[name] = stored(done.withColumn("forecast_method", F.lit("past_only" if carry else "trend_based")), name, keep=True)
             factors = {"baseline": 1.0, "clean_air": options.clean_scale, "polluted": options.polluted_scale}
-            tables[name.replace("forecast", "scenarios")] = forecast.scenarios(tables[name], list(options.aod_columns), list(options.pm_columns), reg.predict, factors)
+            tables[name.replace("forecast", "scenarios")] = stored(forecast.scenarios(tables[name], list(options.aod_columns), list(options.pm_columns), reg.predict, factors), "scenarios", keep=True)
     with timed("importance"):
         tables["permutation_importance"] = search.permutation_importance(full.where(F.col("yield").isNotNull()), own, reg.predict, repeats=options.importance_repeats, seed=options.seed)
     spark_row = lambda d: spark.createDataFrame([d])
@@ -94,7 +101,7 @@ def main() -> None:
     p.add_argument("--tables", action="store_true", help="--data holds star-schema tables, not sheets")
     a = p.parse_args()
     spark = local_session()
-    panel = panel_view(spark, a.data) if a.tables else sheets.build_panel(sheets.read_grid(spark, a.data).cache())
+    panel = panel_view(spark, a.data) if a.tables else sheets.build_panel(sheets.read_grid(spark, a.data))
     run(spark, panel, a.out, settings(a.config))
 
 

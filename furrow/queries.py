@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions.scalars import number
+from furrow.learners.catalogue import REGRESSORS
 from furrow.operators import columns, forecast, preprocess, search
 from furrow.operators.classes import add_classes, add_target_means, baselines, class_metrics, class_weights, target_means, to_class
 from furrow.operators.folds import folded, last_years, year_folds
@@ -16,6 +17,7 @@ from furrow.operators.lags import add_interactions, add_lag_statistics, add_lags
 from furrow.operators.metrics import regression_metrics
 from furrow.operators.trend import carried, trend_features
 from furrow.plans import views
+from furrow.session import stored
 from furrow.sources.panel import panel_view, sheet_identity, stack, table, with_gaps
 from furrow.sources.sheets import header_rows, header_scores, merged_headers
 
@@ -419,15 +421,18 @@ def known_history(spark, sf_dir):
 
 @query()
 def backtest_gbt(spark, sf_dir):
-    fit = lambda train: search.models.fit(train, "GBT", "regression", ["aod", "pm", "yield_lag1"], {"maxIter": 5, "maxDepth": 2}).predict
-    done = forecast.backtest_model(with_gaps(panel_view(spark, sf_dir)), ["aod", "pm"], [1], fit)
+    """Of boosting with its default settings and derived columns, as a run fits it."""
+    fit = lambda train: search.fit(train, "Boosting", "regression", ["aod", "pm", "year", "yield_lag1", "yield_lag2"]).predict
+    done = forecast.backtest_model(stored(with_gaps(panel_view(spark, sf_dir)), "panel"), ["aod", "pm"], [1, 2], fit)
     return done.select("region", "crop", "year", "yield_true", "yield_pred")
 
 
 @query()
 def search_regressor(spark, sf_dir):
+    """Scores by fold of candidates of every regressor, two of each kind."""
     full = add_lags(with_gaps(panel_view(spark, sf_dir)))
-    return search.search(full, ["aod", "pm", "yield_lag1", "yield_lag2"], kinds=["Ridge"], mode="fast")[2]
+    kinds = [k for k in REGRESSORS if k != "SecondOrder"]
+    return search.search(full, ["aod", "pm", "yield_lag1", "yield_lag2"], kinds=kinds, mode="full", most=2, feature_set="full")[2].select("candidate", "position", "fold", "score")
 
 
 LINEAR = ("aod", "pm", "yield_lag1")

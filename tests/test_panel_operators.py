@@ -164,12 +164,15 @@ def test_golden_errors(spark):
 
 def test_models_get_what_is_derived(spark, sf_dir, tmp_path):
     full = lags.add_lags(panel.panel_view(spark, sf_dir), (1, 2)).where("year > 1996")
-    model = search.fit(full, "Ridge", "regression", ["aod", "yield_lag1"], {"regParam": 0.1}, smoothing=3.0)
-    assert model.fitted.numeric == ["aod", "yield_lag1", *search.STATISTICS, *search.TE, *search.INTERACTIONS] and len(search.STATISTICS) == 17
+    model = search.fit(full, "Ridge", "regression", ["aod", "yield_lag1"], {"alpha": 0.1}, smoothing=3.0)
+    assert model.numeric == ["aod", "yield_lag1", *search.STATISTICS, *search.TE, *search.INTERACTIONS] and len(search.STATISTICS) == 17
     model.save(str(tmp_path / "m"), "key")
     one, again = (sorted((r.region, r.crop, r.year, round(r.yield_pred, 6)) for r in m.predict(full).collect()) for m in (model, search.load(str(tmp_path / "m"), "key")))
     assert one == again and len(one) == full.count()
-    assert search.fit(full, "Ridge", "regression", ["aod"], use_te=False).fitted.numeric == ["aod", *search.STATISTICS]
+    assert search.fit(full, "Ridge", "regression", ["aod"], use_te=False).numeric == ["aod", *search.STATISTICS]
+    search.fit(full, "Ridge", "regression", ["aod"], {"alpha": 10.0}).save(str(tmp_path / "m"), "other")  # what was loaded before still predicts
+    assert sorted((r.region, r.crop, r.year, round(r.yield_pred, 6)) for r in model.predict(full).collect()) == one
+    assert search.load(str(tmp_path / "m"), "key") is None
 
 
 def test_the_run_passes_its_settings_on(spark, sf_dir, tmp_path, monkeypatch):
@@ -191,7 +194,7 @@ def test_the_run_passes_its_settings_on(spark, sf_dir, tmp_path, monkeypatch):
 def test_the_backtest_fits_the_model_that_was_found(spark, sf_dir, tmp_path, monkeypatch):
     from furrow.config import Settings
 
-    found, fitted = {"features": ["aod", "yield_lag1"], "best": "Ridge x", "kind": "Ridge", "params": {"regParam": 0.1}}, []
+    found, fitted = {"features": ["aod", "yield_lag1"], "best": "Ridge x", "kind": "Ridge", "params": {"alpha": 0.1}}, []
 
     def stop(train, kind, task, names, params=None, *rest, **options):
         fitted.append((kind, names, params))
@@ -199,10 +202,9 @@ def test_the_backtest_fits_the_model_that_was_found(spark, sf_dir, tmp_path, mon
 
     monkeypatch.setattr(search, "cached_search", lambda *args, **options: (None, found))
     monkeypatch.setattr(search, "fit", stop)
-    monkeypatch.setattr(search.models, "fit", stop)
     with pytest.raises(InterruptedError):
         run.run(spark, panel.panel_view(spark, sf_dir), str(tmp_path), Settings())
-    assert fitted == [("Ridge", ["aod", "yield_lag1"], {"regParam": 0.1})]
+    assert fitted == [("Ridge", ["aod", "yield_lag1"], {"alpha": 0.1})]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 12, 50, 97])
@@ -290,7 +292,7 @@ def test_files(spark, tmp_path):
 def test_the_whole_run(spark, sf_dir, tmp_path):
     from furrow.config import Settings, settings
 
-    options = Settings(tune_mode="fast", years_ahead=2, backtest_years=1, importance_repeats=1, folds=2, regressors=("Ridge",), classifiers=("Logistic",))
+    options = Settings(tune_mode="fast", years_ahead=2, backtest_years=1, importance_repeats=1, folds=2, most_candidates=2, regressors=("Ridge", "Boosting"), classifiers=("LinearSVC", "Boosting"))
     small = panel.panel_view(spark, sf_dir)
     tables = run.run(spark, small, str(tmp_path / "out"), options)
     assert tables["forecast"].count() == 50 and tables["scenarios"].count() == 150 and tables["backtest"].count() == 25
