@@ -171,10 +171,8 @@ def best_split(hist: np.ndarray, p: Growth, columns: np.ndarray | None = None):
     """(gain, feature, border, unknown go left, rows left) of one node's histogram (3, features, bins); gain 0: none."""
     known, unknown = hist[:, :, :-1], hist[:, :, -1]
     total = hist[:, 0].sum(1)
-    prefix = np.cumsum(known, axis=2)[:, :, :-1]
+    prefix = np.cumsum(known, axis=2)  # the last: all known rows against the unknown ones
     best = (0.0, -1, 0, False, 0)
-    if not prefix.shape[2]:
-        return best
     base = _score(total[0], total[1], p)
     for to_left in (False, True) if unknown[2].any() else (False,):
         left = prefix + unknown[:, :, None] if to_left else prefix

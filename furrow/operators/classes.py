@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +47,9 @@ def probabilities(classed: DataFrame) -> DataFrame:
     return classed.withColumns({f"p{k}": (F.col("pred_class") == k).cast("double") for k in range(3)})
 
 
-def target_means(train: DataFrame, smoothing: float = 10.0, by: list[str] = []) -> dict[str, DataFrame]:
+def target_means(train: DataFrame, smoothing: float = 10.0, by: list[str] = [], written: Callable[[DataFrame], DataFrame] = lambda table: table) -> dict[str, DataFrame]:
     """Smoothed mean yields by crop, region and both, and the global mean, from one pass; with ``by``
-    (such as the fold) for each of its values.
+    (such as the fold) for each of its values. ``written``: takes the one table behind them all.
 
     (n mean + m global) / (n + m); a group that ``train`` lacks gets the global mean at the join."""
     sets = [[*by, "crop"], [*by, "region"], [*by, "region", "crop"], [*by]]
@@ -57,12 +59,12 @@ def target_means(train: DataFrame, smoothing: float = 10.0, by: list[str] = [])
     whole = found.where("gc = 1 and gr = 1").select(*by, F.col("mean").alias("te_global"))
     smooth = (F.coalesce(F.col("n") * F.col("mean"), F.lit(0.0)) + smoothing * F.col("te_global")) / (F.col("n") + smoothing)
     parts = found.join(F.broadcast(whole), by) if by else found.crossJoin(F.broadcast(whole))  # one row, or one a fold
-    parts = parts.withColumn("te", smooth)
+    parts = written(parts.withColumn("te", smooth))
     return {
         "te_crop": parts.where("gc = 0 and gr = 1").select(*by, "crop", F.col("te").alias("te_crop")),
         "te_region": parts.where("gc = 1 and gr = 0").select(*by, "region", F.col("te").alias("te_region")),
         "te_region_crop": parts.where("gc = 0 and gr = 0").select(*by, "region", "crop", F.col("te").alias("te_region_crop")),
-        "te_global": whole,
+        "te_global": parts.where("gc = 1 and gr = 1").select(*by, "te_global"),
     }
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from furrow.operators.classes import add_target_means
 from furrow.operators.lags import add_interactions, add_lag_statistics
-from furrow.operators.preprocess import levels
 
 #: Columns derived from lags.
 STATISTICS = [
@@ -85,7 +84,13 @@ class Layout:
         return cls(tuple(d["numeric"]), tuple(d["unknown"]), tuple((c, tuple(v)) for c, v in d["categories"]))
 
 
-def layout(rows: DataFrame, numeric: list[str], categories: tuple[str, ...] = ("region", "crop")) -> Layout:
-    """The layout for ``rows``: which columns have nulls is one aggregate; categories have 10,000 values at most."""
+def layout(rows: DataFrame, numeric: list[str], categories: tuple[str, ...] = ("region", "crop"), most: int = 10_000) -> Layout:
+    """The layout for ``rows``: one aggregate tells which columns have nulls, one the values of the
+    categories, of which each may have ``most``."""
     found = rows.agg(*(F.max(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(numeric))).first()
-    return Layout(tuple(numeric), tuple(c for i, c in enumerate(numeric) if found[f"n{i}"]), tuple((c, tuple(levels(rows, c))) for c in categories))
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in categories)))
+    values = rows.select(pairs.alias("p")).select("p.*").where("value is not null").distinct().limit(most * len(categories) + 1).collect()
+    levels = {c: sorted(r.value for r in values if r.name == c) for c in categories}
+    if any(len(v) > most for v in levels.values()):
+        raise ValueError(f"a category has more than {most} values")
+    return Layout(tuple(numeric), tuple(c for i, c in enumerate(numeric) if found[f"n{i}"]), tuple((c, tuple(levels[c])) for c in categories))

@@ -126,7 +126,7 @@ def fit(train: DataFrame, kind: str, task: str, features: list[str], params: dic
     target = _target(task)
     with scratch(spark):
         train = stored(train.where(F.col(target).isNotNull()), "train")
-        means = {k: stored(m.coalesce(1), k, keep=True) for k, m in target_means(train, smoothing).items()} if use_te else None
+        means = target_means(train, smoothing, written=lambda t: stored(t.coalesce(1), "means", keep=True)) if use_te else None
         rows, own = designed(derived(train, means), [*features, *derived_names(use_te)])
         table = stored(rows.select("x", F.col(target).cast("double").alias("y"), "w", "u", F.lit(0).alias("unit")), "design")
         if is_small(table.count(), own.width):
@@ -146,7 +146,7 @@ def fold_design(rows: DataFrame, folds: DataFrame, features: list[str], use_te:
     """The rows of all folds, derived from each fold's own training rows in one plan, written once:
     fold, is_train, region, crop, year, yield, yield_class, x, w, u."""
     every = folded(rows, folds)
-    means = {k: stored(m.coalesce(1), k) for k, m in target_means(every.where("is_train"), smoothing, ["fold"]).items()} if use_te else None
+    means = target_means(every.where("is_train"), smoothing, ["fold"], lambda t: stored(t.coalesce(1), "means")) if use_te else None
     table, own = designed(derived(every, means, ["fold"]), [*features, *derived_names(use_te)])
     classed = F.col("yield_class").cast("int") if "yield_class" in table.columns else F.lit(None).cast("int")
     return stored(table.select("fold", "is_train", "region", "crop", "year", "yield", classed.alias("yield_class"), "x", "w", "u"), "folds"), own
