@@ -70,10 +70,10 @@ def cuts(rows: Held | Spread, bins: int) -> list[np.ndarray]:
     """Ascending borders of each feature; a value belongs to the first border that isn't below it."""
     out = []
     for v, n in rows.sum(_summary, merge=_merged):
+        at = np.arange(len(v) - 1)
         if len(v) > bins:
-            at = np.searchsorted(np.cumsum(n), np.arange(1, bins) / bins * n.sum())
-            v = v[np.unique(np.clip(at, 0, len(v) - 1))]
-        out.append((v[1:] + v[:-1]) / 2)
+            at = np.unique(np.minimum(np.searchsorted(np.cumsum(n), np.arange(1, bins) / bins * n.sum()), len(v) - 2))
+        out.append((v[at] + v[at + 1]) / 2)
     return out
 
 

@@ -15,6 +15,7 @@ from furrow.operators.classes import add_classes, add_target_means, baselines, c
 from furrow.operators.folds import folded, last_years, year_folds
 from furrow.operators.lags import add_interactions, add_lag_statistics, add_lags, last_yields
 from furrow.operators.metrics import regression_metrics
+from furrow.operators.moments import ridge_path
 from furrow.operators.trend import carried, trend_features
 from furrow.plans import views
 from furrow.session import stored
@@ -435,6 +436,26 @@ def search_regressor(spark, sf_dir):
     return search.search(full, ["aod", "pm", "yield_lag1", "yield_lag2"], kinds=kinds, mode="full", most=2, feature_set="full")[2].select("candidate", "position", "fold", "score")
 
 
+@query(f"""WITH {PANEL}, {LAGS}, k AS (SELECT yield AS y, aod AS a, pm AS p, lag1 AS l, year FROM lagged WHERE lag1 IS NOT NULL),
+c AS (SELECT year, count(*) AS n, row_number() OVER (ORDER BY year DESC) AS back FROM k GROUP BY year),
+f AS (SELECT year AS test_year, (SELECT sum(n) FROM c b WHERE b.year < x.year) AS n_train, n AS n_test FROM c x WHERE back <= CASE WHEN (SELECT count(*) FROM c) >= 6 THEN 4 ELSE 1 END),
+g AS (SELECT row_number() OVER (ORDER BY test_year) - 1 AS fold, * FROM f WHERE n_train >= 8 AND n_test >= 4),
+m AS (SELECT fold, test_year, any_value(n_train) AS n_train, any_value(n_test) AS n_test, avg(a) AS ma, avg(p) AS mp, avg(l) AS ml, avg(y) AS my,
+  count(*) * covar_pop(a, a) AS aa, count(*) * covar_pop(p, p) AS pp, count(*) * covar_pop(l, l) AS ll, count(*) * covar_pop(a, p) AS ap, count(*) * covar_pop(a, l) AS al,
+  count(*) * covar_pop(p, l) AS pl, count(*) * covar_pop(a, y) AS ay, count(*) * covar_pop(p, y) AS py, count(*) * covar_pop(l, y) AS ly FROM g JOIN k ON k.year < test_year GROUP BY fold, test_year),
+h AS (SELECT * REPLACE (aa + alpha AS aa, pp + alpha AS pp, ll + alpha AS ll), alpha FROM m, (VALUES (0.01::DOUBLE), (0.1::DOUBLE), (1.0::DOUBLE), (10.0::DOUBLE), (100.0::DOUBLE)) v(alpha)),
+d AS (SELECT *, aa * (pp * ll - pl * pl) - ap * (ap * ll - pl * al) + al * (ap * pl - pp * al) AS det FROM h),
+w AS (SELECT *, (ay * (pp * ll - pl * pl) - ap * (py * ll - pl * ly) + al * (py * pl - pp * ly)) / det AS wa,
+  (aa * (py * ll - pl * ly) - ay * (ap * ll - pl * al) + al * (ap * ly - py * al)) / det AS wp,
+  (aa * (pp * ly - py * pl) - ap * (ap * ly - py * al) + ay * (ap * pl - pp * al)) / det AS wl FROM d),
+r AS (SELECT fold, test_year, alpha, any_value(n_train) AS n_train, any_value(n_test) AS n_test, avg((y - my - wa * (a - ma) - wp * (p - mp) - wl * (l - ml)) ** 2) AS mse, var_pop(y) AS v FROM w JOIN k ON k.year = test_year GROUP BY fold, test_year, alpha)
+SELECT CAST(fold AS INT) AS fold, test_year, alpha, CAST(n_train AS BIGINT) AS n_train, n_test, round(sqrt(mse), 6) AS rmse, round(1 - mse / v, 6) AS r2 FROM r""")
+def search_penalties(spark, sf_dir):
+    """Ridge regression of all folds and five penalties from one aggregate."""
+    rows = stored(add_lags(panel_view(spark, sf_dir)).where("yield_lag1 is not null"), "rows")
+    return ridge_path(rows, year_folds(rows), ["aod", "pm", "yield_lag1"], [0.01, 0.1, 1.0, 10.0, 100.0])
+
+
 LINEAR = ("aod", "pm", "yield_lag1")
 _moved = lambda f: " + ".join(f"{w} * {'y' if c == f else 'x'}.{c}" for w, c in zip((-10, -5, 1), LINEAR))
 _lost = " UNION ALL ".join(

@@ -177,8 +177,7 @@ def test_bins_of_many_values_hold_equal_shares():
     b = data(20_000, 6)
     borders = boosting.cuts(blocks.Held(b), 16)
     counts = np.bincount(boosting.binned(b.x, borders)[:, 0].astype(int))
-    assert len(borders[0]) == 15 or len(borders[0]) == 14
-    assert counts.max() < 1.2 * 20_000 / 15
+    assert len(borders[0]) == 15 and counts.max() < 1.1 * 20_000 / 16
 
 
 # extra trees
