@@ -7,21 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.operators.quantiles import exact_quantiles
+
 THIRDS = [1 / 3, 2 / 3]
 
 
-def thresholds(panel: DataFrame, group: list[str] = ["crop"]) -> DataFrame:
-    """q1, q2 per crop for labels, exact; the median alone (q2 null) below 3 known yields."""
-    got = panel.groupBy(*group).agg(F.percentile("yield", THIRDS).alias("q"), F.median("yield").alias("m"), F.count("yield").alias("n"))
+def thresholds(panel: DataFrame, group: list[str] = ["crop"], split: bool = False) -> DataFrame:
+    """q1, q2 per crop for labels, exact; the median alone (q2 null) below 3 known yields.
+
+    ``percentile`` keeps a crop's distinct yields in one task; with ``split`` no task does (``quantiles``)."""
+    if split:
+        got = exact_quantiles(panel, group, "yield", [*THIRDS, 0.5]).select(*group, "n", "q", F.get("q", 2).alias("m"))
+    else:
+        got = panel.groupBy(*group).agg(F.percentile("yield", THIRDS).alias("q"), F.median("yield").alias("m"), F.count("yield").alias("n"))
     few = F.col("n") < 3
     return got.select(*group, F.when(few, F.col("m")).otherwise(F.col("q")[0]).alias("q1"), F.when(~few, F.col("q")[1]).alias("q2"))
 
 
-def add_classes(panel: DataFrame) -> DataFrame:
-    """yield_class: 0 below q1, 1 below q2, else 2; with few yields 0 below the median, else 1."""
+def add_classes(panel: DataFrame, split: bool = False) -> DataFrame:
+    """yield_class: 0 below q1, 1 below q2, else 2; with few yields 0 below the median, else 1. ``split``: see ``thresholds``."""
     y = F.col("yield")
     label = F.when(y.isNull() | F.col("q1").isNull(), None).when(y < F.col("q1"), 0).when(F.col("q2").isNull() | (y < F.col("q2")), 1).otherwise(2)
-    return panel.join(thresholds(panel), "crop", "left").withColumn("yield_class", label.cast("int")).drop("q1", "q2")
+    return panel.join(thresholds(panel, split=split), "crop", "left").withColumn("yield_class", label.cast("int")).drop("q1", "q2")
 
 
 def predictor_thresholds(rows: DataFrame, target: str = "yield", least: int = 6, by: list[str] = []) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +42,11 @@ def predictor_thresholds(rows: DataFrame, target: str = "yield", least: int = 6,
 def to_class(predicted: DataFrame, train: DataFrame, column: str = "yield_pred", by: list[str] = []) -> DataFrame:
     """pred_class by the thresholds of ``train``: 0 up to t1, 1 up to t2, else 2. With ``by`` (such as
     the fold) each of its values has thresholds of its own rows."""
-    crops, whole = predictor_thresholds(train, by=by)
+    return to_class_by(predicted, *predictor_thresholds(train, by=by), column, by)
+
+
+def to_class_by(predicted: DataFrame, crops: DataFrame, whole: DataFrame, column: str = "yield_pred", by: list[str] = []) -> DataFrame:
+    """``to_class`` with the tables of ``predictor_thresholds``."""
     y, t1, t2 = F.col(column), F.coalesce("t1", "o1"), F.coalesce("t2", "o2")
     label = F.when(y.isNull() | t1.isNull(), None).when(y <= t1, 0).when(y <= t2, 1).otherwise(2)
     joined = predicted.join(crops, [*by, "crop"], "left")

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.learners import catalogue
@@ -69,15 +69,9 @@ class Fitted:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """``rows`` with yield_pred or pred_class; their own columns stay."""
-        given = rows.sparkSession.sparkContext.broadcast(self.arrays)
-        kind, task = self.kind, self.task
-
-        def values(x: pd.Series) -> pd.Series:
-            return pd.Series(catalogue.predict(task, kind, given.value, np.stack(x.to_list())).astype(float)) if len(x) else pd.Series([], dtype=float)
-
-        done = F.pandas_udf(values, "double")(self.layout.array())
-        name, done = ("yield_pred", done) if task == "regression" else ("pred_class", done.cast("int"))
-        return derived(rows, self.means).withColumn(name, done).select(*(F.col(f"`{c}`") for c in rows.columns if c != name), name)
+        name = "yield_pred" if self.task == "regression" else "pred_class"
+        done = derived(rows, self.means).withColumn(name, predicted(rows.sparkSession, self.task, self.kind, self.layout, self.arrays))
+        return done.select(*(F.col(f"`{c}`") for c in rows.columns if c != name), name)
 
     def save(self, path: str, signature: str = "") -> None:
         """Model and means beside each other; what is read from the path before is not touched."""
@@ -101,6 +95,17 @@ def load(path: str, signature: str) -> Fitted | None:
     return Fitted(meta["kind"], meta["task"], Layout.of(meta["layout"]), catalogue.unpacked(bytes(spark.read.parquet(f"{at}/model").first().model)), means)
 
 
+def predicted(spark: SparkSession, task: str, kind: str, own: Layout, arrays: dict[str, np.ndarray]) -> Column:
+    """The prediction for rows that have the layout's columns; the model is broadcast."""
+    given = spark.sparkContext.broadcast(arrays)
+
+    def values(x: pd.Series) -> pd.Series:
+        return pd.Series(catalogue.predict(task, kind, given.value, np.stack(x.to_list())).astype(float)) if len(x) else pd.Series([], dtype=float)
+
+    done = F.pandas_udf(values, "double")(own.array())
+    return done if task == "regression" else done.cast("int")
+
+
 def designed(rows: DataFrame, numeric: list[str]) -> tuple[DataFrame, Layout]:
     """``rows`` with x (the array of ``numeric`` and categories), y_class, w and u, and the layout."""
     own = layout(rows, numeric)
@@ -122,12 +127,18 @@ def is_small(rows: int, width: int) -> bool:
 
 def fit(train: DataFrame, kind: str, task: str, features: list[str], params: dict | None = None, use_te: bool = True, smoothing: float = 10.0, power: float = 1.0, seed: int = 42) -> Fitted:
     """A model of ``kind`` on the features and what is derived from them and from ``train`` alone."""
-    spark, params = train.sparkSession, dict(params or {})
-    target = _target(task)
-    with scratch(spark):
-        train = stored(train.where(F.col(target).isNotNull()), "train")
+    with scratch(train.sparkSession):
+        train = stored(train.where(F.col(_target(task)).isNotNull()), "train")
         means = target_means(train, smoothing, written=lambda t: stored(t.coalesce(1), "means", keep=True)) if use_te else None
-        rows, own = designed(derived(train, means), [*features, *derived_names(use_te)])
+        own, arrays = fit_columns(derived(train, means), kind, task, [*features, *derived_names(use_te)], params, power, seed)
+    return Fitted(kind, task, own, arrays, means)
+
+
+def fit_columns(rows: DataFrame, kind: str, task: str, names: list[str], params: dict | None = None, power: float = 1.0, seed: int = 42) -> tuple[Layout, dict[str, np.ndarray]]:
+    """(layout, arrays) of a model of ``kind`` on these columns, the region and the crop."""
+    target, params = _target(task), dict(params or {})
+    with scratch(rows.sparkSession):
+        rows, own = designed(rows.where(F.col(target).isNotNull()), names)
         table = stored(rows.select("x", F.col(target).cast("double").alias("y"), "w", "u", F.lit(0).alias("unit")), "design")
         if is_small(table.count(), own.width):
             job = {"task": task, "kind": kind, "params": params, "numeric": own.scaled, "seed": seed, "power": power}
@@ -139,7 +150,7 @@ def fit(train: DataFrame, kind: str, task: str, features: list[str], params: dic
             arrays = catalogue.unpacked(bytes(table.groupBy("unit").applyInPandas(one, "model binary").first().model))
         else:
             arrays = catalogue.fit(Spread(table.drop("unit")), task, kind, params, own.scaled, seed, power)
-    return Fitted(kind, task, own, arrays, means)
+    return own, arrays
 
 
 def fold_design(rows: DataFrame, folds: DataFrame, features: list[str], use_te: bool = True, smoothing: float = 10.0) -> tuple[DataFrame, Layout]:

@@ -26,7 +26,7 @@ from furrow.sources.panel import panel_view
 
 def prepared(panel: DataFrame, options: Settings) -> tuple[DataFrame, list[str]]:
     """The panel with lags and classes, and the names of its features."""
-    full = add_classes(add_lags(panel, options.lags))
+    full = add_classes(stored(add_lags(panel, options.lags), "lagged", keep=True), split=True)
     own = [c for c in ("aod", "pm") if c in panel.columns]
     names = sorted({*feature_groups(panel.columns)[2], *own})
     return full, [*names, *(f"yield_lag{k}" for k in options.lags)]

@@ -16,6 +16,7 @@ from furrow.operators.folds import folded, last_years, year_folds
 from furrow.operators.lags import add_interactions, add_lag_statistics, add_lags, last_yields
 from furrow.operators.metrics import regression_metrics
 from furrow.operators.moments import ridge_path
+from furrow.operators.quantiles import exact_quantiles
 from furrow.operators.trend import carried, trend_features
 from furrow.plans import views
 from furrow.session import stored
@@ -456,6 +457,15 @@ def search_penalties(spark, sf_dir):
     return ridge_path(rows, year_folds(rows), ["aod", "pm", "yield_lag1"], [0.01, 0.1, 1.0, 10.0, 100.0])
 
 
+@query("""SELECT l_returnflag, count(v) AS n, round(quantile_cont(v, 1.0/3), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS m, round(quantile_cont(v, 2.0/3), 6) AS q2
+FROM (SELECT l_returnflag, CASE WHEN l_quantity > 2 THEN l_extendedprice END AS v FROM lineitem) GROUP BY l_returnflag""")
+def split_tertiles(spark, sf_dir):
+    """Exact quantiles of line prices, from ranges of a thousand rows at most."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.when(F.col("l_quantity") > 2, F.col("l_extendedprice")).alias("v"))
+    q = lambda i, name: F.get("q", i).alias(name)
+    return exact_quantiles(rows, ["l_returnflag"], "v", [1 / 3, 0.5, 2 / 3], most=1000, parts=32).select("l_returnflag", "n", q(0, "q1"), q(1, "m"), q(2, "q2"))
+
+
 LINEAR = ("aod", "pm", "yield_lag1")
 _moved = lambda f: " + ".join(f"{w} * {'y' if c == f else 'x'}.{c}" for w, c in zip((-10, -5, 1), LINEAR))
 _lost = " UNION ALL ".join(

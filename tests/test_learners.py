@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import itertools
+import json
 import time
 
 import numpy as np
@@ -305,6 +306,23 @@ def test_search_of_both_tasks(spark, full, monkeypatch):
     assert table.count() == 4 and 0 <= info["oof"]["f1_macro"] <= 1
 
 
+def test_a_pipeline_of_stages_is_saved_and_loaded(spark, full, tmp_path):
+    from furrow.operators.classes import to_class
+    from furrow.operators.stages import LagInteractions, LagStatistics, PanelLearner, TargetMeans, TertileClasses
+    from pyspark.ml import Pipeline, PipelineModel
+
+    names, settings = ["aod", "pm", "yield_lag1"], {"rounds": 5, "least_rows": 10}
+    stages = [LagStatistics(), TargetMeans(smoothing=3.0), LagInteractions(), PanelLearner(kind="Boosting", features=[*names, *search.derived_names()], settings=json.dumps(settings)), TertileClasses()]
+    Pipeline(stages=stages).write().overwrite().save(str(tmp_path / "unfitted"))
+    model = Pipeline.load(str(tmp_path / "unfitted")).fit(full)
+    model.write().overwrite().save(str(tmp_path / "fitted"))
+    show = lambda df: sorted((r.region, r.crop, r.year, round(r.yield_pred, 6), r.pred_class) for r in df.collect())
+    one = show(model.transform(full))
+    assert one == show(PipelineModel.load(str(tmp_path / "fitted")).transform(full)) and len(one) == full.count()
+    same = search.fit(full, "Boosting", "regression", names, settings, smoothing=3.0)
+    assert one == show(to_class(same.predict(full), full))
+
+
 def test_a_candidate_that_fails_is_recorded(spark, full, monkeypatch):
     broken = catalogue.Kind(lambda *a: 1 / 0, None, {"k": [1]}, (1, 1, 1))
     monkeypatch.setitem(catalogue.REGRESSORS, "Broken", broken)

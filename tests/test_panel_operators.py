@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from furrow.functions.scalars import canonical, finite, number
-from furrow.operators import classes, columns, folds, forecast, lags, metrics, preprocess, search, trend
+from furrow.operators import classes, columns, folds, forecast, lags, metrics, preprocess, quantiles, search, trend
 from furrow.plans import report, run, views
 from furrow.sources import files, panel, sheets
 from pyspark.sql import functions as F
@@ -33,6 +35,23 @@ def test_tertiles(spark):
     assert (got["b", 5.0], got["b", 9.0], got["c", None]) == (0, 1, None)
 
 
+def test_split_quantiles_equal_percentile(spark):
+    """Ties, nulls, null keys, groups of one value, of few values and without any; also labels by them."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 7.0, 7.0, rng.gauss(0, 1e6), rng.random()])) for _ in range(3000)]
+    rows += [("same", 3.5)] * 500 + [("none", None)] * 3 + [("one", 1.0)] + [("far", v) for v in (-1e308, 1e308, 0.0, 5e-324)] * 10
+    t = frame(spark, [(c, "r", y) for c, y in rows], "crop string, region string, yield double").repartition(3)
+    fractions = [0.0, 1 / 3, 0.5, 2 / 3, 1.0]
+    want = {r.crop: r.q for r in t.groupBy("crop").agg(F.percentile("yield", fractions).alias("q")).collect()}
+    for most, parts in ((1, 3), (20, 8), (10**6, 1024)):
+        got = {r.crop: (r.n, r.q) for r in quantiles.exact_quantiles(t, ["crop"], "yield", fractions, most, parts).collect()}
+        assert set(got) == set(want) and got["none"] == (0, None) and got["same"] == (500, [3.5] * 5)
+        for c in ("a", "b", None, "one"):
+            assert got[c][1] == pytest.approx(want[c], rel=1e-12)
+    labels = lambda split: sorted(map(str, classes.add_classes(t.where("crop != 'far'"), split).collect()))
+    assert labels(True) == labels(False)
+
+
 def test_the_predictors_tertile_rule_takes_its_borders_below(spark):
     train = frame(spark, [("R", "a", 2000 + i, float(i)) for i in range(7)] + [("R", "b", 2000 + i, 10.0 * i) for i in range(3)])
     some = frame(spark, [("a", 2.0), ("a", 4.0), ("b", 3.0), ("b", 1.0), ("x", 20.0), ("a", None)], "crop string, yield_pred double")
