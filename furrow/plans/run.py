@@ -1,6 +1,6 @@
 """The whole pipeline: panel, features, search, backtest, forecasts, scenarios, importance, report.
 
-    python -m furrow.plans.run --data <folder of sheet CSVs or of tables> --out outputs
+    python -m furrow.plans.run --data <workbook.xlsx, or a folder of sheet CSVs or of tables> --out outputs
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from furrow.plans import report, views
 from furrow.session import local_session, scratch, stored
 from furrow.sources import files, sheets
 from furrow.sources.panel import panel_view
+from furrow.sources.workbook import read_workbook
 
 
 def prepared(panel: DataFrame, options: Settings) -> tuple[DataFrame, list[str]]:
@@ -101,7 +102,7 @@ def main() -> None:
     p.add_argument("--tables", action="store_true", help="--data holds star-schema tables, not sheets")
     a = p.parse_args()
     spark = local_session()
-    panel = panel_view(spark, a.data) if a.tables else sheets.build_panel(sheets.read_grid(spark, a.data))
+    panel = panel_view(spark, a.data) if a.tables else sheets.build_panel(read_workbook(spark, a.data) if a.data.endswith(".xlsx") else sheets.read_grid(spark, a.data))
     run(spark, panel, a.out, settings(a.config))
 
 

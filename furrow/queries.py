@@ -6,6 +6,7 @@ Numbers are rounded to six places on both sides: engines sum doubles in differen
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from furrow.functions.scalars import number
@@ -21,7 +22,7 @@ from furrow.operators.trend import carried, trend_features
 from furrow.plans import views
 from furrow.session import stored
 from furrow.sources.panel import panel_view, sheet_identity, stack, table, with_gaps
-from furrow.sources.sheets import header_rows, header_scores, merged_headers
+from furrow.sources.sheets import build_panel, header_rows, header_scores, merged_headers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -466,6 +467,31 @@ def split_tertiles(spark, sf_dir):
     return exact_quantiles(rows, ["l_returnflag"], "v", [1 / 3, 0.5, 2 / 3], most=1000, parts=32).select("l_returnflag", "n", q(0, "q1"), q(1, "m"), q(2, "q2"))
 
 
+def sheet_grid(spark, sf_dir):
+    """The panel's groups as sheets of two layouts: a plain header; or a title, parents, units and a header, with a
+    helper column of years and one of dates. Cells are text."""
+    rows = panel_view(spark, sf_dir).withColumn("n", F.row_number().over(W.partitionBy("region", "crop").orderBy("year")))
+    plain = F.col("crop") < "F"
+    own = rows.select(F.concat_ws("_", "region", "crop").alias("sheet"), plain.alias("plain"), "n", "year", "yield", "aod", "pm")
+    at = lambda col, value, row: F.struct(row.cast("int").alias("row"), F.lit(col).alias("col"), value.cast("string").alias("value"))
+    low, high = F.col("n"), F.col("n") + 3
+    first = F.array(*(at(k, F.col(c), low) for k, c in enumerate(("year", "yield", "aod", "pm"))))
+    second = F.array(at(0, F.col("year"), high), at(1, F.col("yield"), high), at(2, F.col("aod"), high), at(3, F.lit("n/a"), high), at(4, F.col("pm"), high), at(5, F.col("year"), high))
+    cells = own.select("sheet", F.inline(F.when(F.col("plain"), first).otherwise(second)))
+    heads = [(True, 0, k, v) for k, v in enumerate(("Year", "Yield", "AOD", "PM"))]
+    heads += [(False, 0, 0, "Report"), (False, 1, 2, "AOD"), (False, 1, 3, "PM"), (False, 2, 1, "t/ha"), (False, 2, 3, "ppbv")]
+    heads += [(False, 3, k, v) for k, v in ((0, "Time (Year)"), (1, "Yield of it"), (2, "avg"), (3, "years"), (4, "PM"), (5, "Date"))]
+    lines = spark.createDataFrame(heads, "plain boolean, row int, col int, value string")
+    return cells.unionByName(own.select("sheet", "plain").distinct().join(F.broadcast(lines), "plain").select("sheet", "row", "col", "value"))  # fifteen rows
+
+
+@query(f"""WITH {PANEL} SELECT region, lower(crop) AS crop, year, round(yield, 6) AS yield, round(CASE WHEN crop < 'F' THEN aod END, 6) AS aod, round(CASE WHEN crop < 'F' THEN pm END, 6) AS pm,
+round(CASE WHEN crop >= 'F' THEN aod END, 6) AS "aod avg", round(CASE WHEN crop >= 'F' THEN pm END, 6) AS "pm (ppbv)" FROM panel""")
+def sheets_to_panel(spark, sf_dir):
+    """Header rows, labels, names, roles and values of all sheets in one plan."""
+    return build_panel(sheet_grid(spark, sf_dir))
+
+
 LINEAR = ("aod", "pm", "yield_lag1")
 _moved = lambda f: " + ".join(f"{w} * {'y' if c == f else 'x'}.{c}" for w, c in zip((-10, -5, 1), LINEAR))
 _lost = " UNION ALL ".join(

@@ -2,20 +2,18 @@
 
 A sheet is a long table (sheet, row, col, value: all text). Choosing the header row, merging
 header labels and selecting columns are relational steps on that table, for all sheets at once.
-Only names and a few numbers a column, which are metadata, reach the driver.
+Only names, which are metadata, reach the driver.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from furrow.functions.scalars import blank, canonical, cell, number
-from furrow.operators.columns import merged_duplicates
-from furrow.sources.panel import sheet_identity, stack
+from furrow.session import scratch, stored
+from furrow.sources.panel import sheet_identity
 
 #: Tokens of header cells, sub-header words, units that are kept, crop remarks.
 TOKENS = ("aod", "pm", "precip", "temp", "humidity", "wind", "ch4", "no2", "o3", "so2", "co")
@@ -23,6 +21,8 @@ SUB_HEADERS = ("day", "night", "avg", "minimum", "maximum")
 UNITS = ("ppbv", "ugm-3", "μgm-3", "mm/day", "mm")
 REMARKS = ("for wheat", "for rice", "for maize", "for corn")
 YEAR_NAMES = ("year", "years", "time", "date")
+#: Fixed value: the name of a column that only holds another one's years and unit.
+HELPER = r"^(.*)\s+years\s*\(([^)]+)\)$"
 
 
 def width(spark: SparkSession, folder: str) -> int:
@@ -92,52 +92,78 @@ def merged_headers(grid: DataFrame, heads: DataFrame) -> DataFrame:
     )
 
 
-def named(labels: list[tuple[int, str | None]]) -> list[tuple[int, str]]:
-    """Canonical names by position; col_<position> where there is none. A column ``X years (unit)``
-    gives its unit to the column after it, if that is called X..., and goes."""
-    names = [(c, canonical(label) or f"col_{c}") for c, label in sorted(labels)]
-    out, helpers = dict(names), set()
-    for (c, name), (after, nxt) in zip(names, names[1:]):
-        m = re.match(r"^(.*)\s+years\s*\(([^)]+)\)$", name)
-        if m and nxt.startswith(m[1]):
-            if f"({m[2]})" not in nxt:
-                out[after] = canonical(f"{nxt} ({m[2]})")
-            helpers.add(c)
-    return [(c, n) for c, n in out.items() if c not in helpers]
+def canonical_text(label: Column) -> Column:
+    """``canonical`` of labels, of which there is one a column of a sheet."""
+    return F.pandas_udf(lambda s: s.map(canonical), "string")(label)
+
+
+def columns(grid: DataFrame, heads: DataFrame) -> DataFrame:
+    """sheet, col, at, name: the columns of each sheet that have any value below the header.
+
+    Names are canonical, col_<position> where there is none. ``at`` is the first position of a name: columns of
+    one name become one. A column ``X years (unit)`` gives its unit to the column after it, if that is
+    called X..., and goes."""
+    filled = grid.join(heads, "sheet").where(F.col("row") > F.col("header_row")).where(~blank(F.col("value"))).select("sheet", "col").distinct()
+    name = canonical_text(F.coalesce("label", F.lit("")))
+    own = merged_headers(grid, heads).join(filled, ["sheet", "col"], "left_semi").withColumn("name", name)
+    own = own.withColumn("name", F.when(F.col("name") == "", F.concat(F.lit("col_"), "col")).otherwise(F.col("name")))
+    own = own.withColumn("at", F.min("col").over(W.partitionBy("sheet", "name")))
+    by = W.partitionBy("sheet").orderBy("at")
+    base, unit = (F.regexp_extract("name", HELPER, k) for k in (1, 2))
+    firsts = own.select("sheet", "name", "at").distinct().withColumns({"base": base, "unit": unit})
+    before, given = F.lag("base").over(by), F.lag("unit").over(by)
+    fits = (before != "") & F.startswith("name", before) & ~F.contains("name", F.concat(F.lit("("), given, F.lit(")")))
+    called = firsts.withColumn("called", F.when(fits, F.concat("name", F.lit(" ("), given, F.lit(")"))).otherwise(F.col("name"))).where("base = ''")
+    return own.select("sheet", "name", "col", "at").join(called.select("sheet", "at", "called"), ["sheet", "at"]).select("sheet", "col", "at", F.col("called").alias("name"))
+
+
+def roles(values: DataFrame, heads: DataFrame) -> DataFrame:
+    """sheet, at, name, role (year, yield, feature or null: dropped) from the merged values of all columns.
+
+    The year is the first name with time or year in it, else the column with the most values of 1900 to 2100,
+    if they are over 60 %; the yield the first other one with yield. Other year-like columns go, by name or by values."""
+    size = (F.col("last") - F.col("header_row")).cast("double")
+    in_range = F.count_if(F.col("x").between(1900, 2100))
+    own = values.groupBy("sheet", "at", "name").agg(F.count("x").alias("known"), in_range.alias("years")).join(heads, "sheet")
+    own = own.withColumns({"known": F.col("known") / size, "years": F.col("years") / size})
+    every = W.partitionBy("sheet")
+    by_name = F.min(F.when(F.contains("name", F.lit("time")) | F.contains("name", F.lit("year")), F.col("at"))).over(every)
+    by_value = F.max(F.when(F.col("years") > 0.6, F.struct("years", (-F.col("at")).alias("at")))).over(every)
+    own = own.withColumn("year_at", F.coalesce(by_name, -by_value["at"]))
+    own = own.withColumn("yield_at", F.min(F.when(F.contains("name", F.lit("yield")) & ~F.col("at").eqNullSafe(F.col("year_at")), F.col("at"))).over(every))
+    junk = F.col("name").isin(*YEAR_NAMES, "yield", "region", "crop") | F.col("name").rlike(r"^(19|20)\d\d$") | ((F.col("known") > 0.7) & (F.col("years") > 0.9))
+    role = F.when(F.col("at") == F.col("year_at"), "year").when(F.col("at") == F.col("yield_at"), "yield").when(~junk, "feature")
+    return own.select("sheet", "at", "name", role.alias("role"))
 
 
-def clean_sheet(grid: DataFrame, sheet: str) -> DataFrame:
-    """region, crop, year, yield and numeric features of one sheet."""
-    own = grid.where(F.col("sheet") == sheet)
-    heads = header_rows(own)
-    names = named([(r.col, r.label) for r in merged_headers(own, heads).collect()])  # a row a column
-    body = own.join(heads, "sheet").where("row > header_row")
-    wide = body.groupBy("row").pivot("col", [c for c, _ in names]).agg(F.first("value"))
-    empty = wide.select(*(F.count(F.when(~blank(F.col(f"`{c}`")), 1)).alias(str(c)) for c, _ in names)).first()
-    names = [(c, n) for c, n in names if empty[str(c)]]
-    frame = merged_duplicates(wide.select(*(F.when(~blank(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(f"c{c}") for c, _ in names)).toDF(*(n for _, n in names)))
-    frame = frame.select(*(number(F.col(f"`{n}`")).alias(n) for n in frame.columns))
-    in_range = lambda n: F.avg(F.coalesce(F.col(f"`{n}`").between(1900, 2100), F.lit(False)).cast("double"))
-    year = next((n for n in frame.columns if "time" in n or "year" in n), None)
-    if year is None:
-        shares = frame.agg(*(in_range(n).alias(n) for n in frame.columns)).first()
-        best = max(frame.columns, key=lambda n: shares[n] or 0)
-        year = best if (shares[best] or 0) > 0.6 else None
-    target = next((n for n in frame.columns if "yield" in n and n != year), None)
-    if year is None or target is None:
-        raise ValueError(f"sheet {sheet}: no {'year' if year is None else 'yield'} column")
-    frame = frame.withColumnsRenamed({year: "year", target: "yield"}).dropna(how="any", subset=["year", "yield"])
-    rest = [n for n in frame.columns if n not in ("year", "yield")]
-    drop = [n for n in rest if n in YEAR_NAMES or re.fullmatch(r"(19|20)\d\d", n)]
-    if rest:
-        known = frame.agg(*(F.avg(F.col(f"`{n}`").isNotNull().cast("double")).alias(f"k{i}") for i, n in enumerate(rest)), *(in_range(n).alias(f"y{i}") for i, n in enumerate(rest))).first()
-        drop += [n for i, n in enumerate(rest) if (known[f"k{i}"] or 0) > 0.7 and (known[f"y{i}"] or 0) > 0.9]
-    region, crop = sheet_identity(F.lit(sheet))
-    kept = [n for n in rest if n not in drop]
-    return frame.select(region.alias("region"), crop.alias("crop"), F.col("year").cast("int").alias("year"), "yield", *(F.col(f"`{n}`") for n in kept))
+def build_panel(grid: DataFrame) -> DataFrame:
+    """All sheets, cleaned and stacked: region, crop, year, yield and all features; a feature that a sheet lacks is null.
+
+    One plan for all sheets: the number of jobs doesn't depend on how many there are. Only the features' names, and
+    those of sheets without year or yield, reach the driver; such a sheet is an error."""
+    with scratch(grid.sparkSession):
+        grid = stored(grid.select("sheet", "row", "col", "value"), "grid")
+        sizes = grid.groupBy("sheet").agg(F.max("row").alias("last"))
+        heads = stored(header_rows(grid).join(sizes, "sheet"), "heads")
+        body = grid.join(heads.select("sheet", "header_row"), "sheet").where(F.col("row") > F.col("header_row")).where(~blank(F.col("value")))
+        placed = body.join(columns(grid, heads.select("sheet", "header_row")), ["sheet", "col"])
+        merged = placed.groupBy("sheet", "row", "at", "name").agg(F.min_by("value", "col").alias("value"))  # the first known one of a name
+        values = stored(merged.select("sheet", "row", "at", "name", number(F.col("value")).alias("x")), "values", keep=True)
+        role = stored(roles(values, heads).coalesce(1), "roles", keep=True)
+        has = lambda r: F.bool_or(F.col("role").eqNullSafe(F.lit(r))).alias(r)
+        complete = heads.select("sheet").join(role.groupBy("sheet").agg(has("year"), has("yield")), "sheet", "left")
+        bad = complete.where("not coalesce(year, false) or not coalesce(yield, false)").orderBy("sheet").limit(5).collect()
+        for r in bad:
+            raise ValueError(f"sheet {r.sheet}: no {'yield' if r.year else 'year'} column")
+        names = [r.name for r in role.where("role = 'feature'").groupBy("name").agg(F.min(F.struct("sheet", "at")).alias("first")).orderBy("first").collect()]  # names
+    of = F.when(F.col("role") == "feature", F.concat(F.lit("f:"), F.col("name"))).otherwise(F.col("role"))
+    cells = values.join(role.where("role is not null").select("sheet", "at", of.alias("of")), ["sheet", "at"])
+    wide = cells.groupBy("sheet", "row").pivot("of", ["year", "yield", *(f"f:{n}" for n in names)]).agg(F.first("x"))
+    region, crop = sheet_identity(F.col("sheet"))
+    known = wide.where(F.col("year").isNotNull() & F.col("yield").isNotNull())
+    return known.select(region.alias("region"), crop.alias("crop"), F.col("year").cast("int").alias("year"), "yield", *(F.col(f"`f:{n}`").alias(n) for n in names))
 
 
-def build_panel(grid: DataFrame) -> DataFrame:
-    """All sheets, cleaned and stacked: the panel."""
-    sheets = [r.sheet for r in grid.select("sheet").distinct().orderBy("sheet").collect()]  # names
-    return stack([clean_sheet(grid, s) for s in sheets])
+def clean_sheet(grid: DataFrame, sheet: str) -> DataFrame:
+    """region, crop, year, yield and numeric features of one sheet."""
+    return build_panel(grid.where(F.col("sheet") == sheet))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
+import zipfile
+from xml.sax.saxutils import escape
 
 import pytest
 from furrow.functions.scalars import canonical, finite, number
@@ -296,6 +299,79 @@ def test_sheets_become_a_panel(spark, tmp_path):
         sheets.clean_sheet(frame(spark, [("a", 0, 0, "x"), ("a", 1, 0, "5")], "sheet string, row int, col int, value string"), "a")
 
 
+def write_workbook(path, book: dict[str, list[list]]):
+    """A workbook with shared, inline and plain cells; None is no cell."""
+    shared, parts = [], []
+
+    def xml(r: int, c: int, v) -> str:
+        letters, n = "", c + 1
+        while n:
+            n, k = divmod(n - 1, 26)
+            letters = chr(65 + k) + letters
+        at = f'r="{letters}{r + 1}"'
+        if isinstance(v, bool):
+            return f'<c {at} t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, (int, float)):
+            return f"<c {at}><v>{v!r}</v></c>"
+        if v.startswith("="):
+            return f'<c {at} t="e"><f>1/0</f><v>#DIV/0!</v></c>'
+        if len(v) % 2:
+            return f'<c {at} t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+        shared.append(f"<si><r><t>{escape(v[:1])}</t></r><r><t>{escape(v[1:])}</t></r><rPh><t>no</t></rPh></si>")
+        return f'<c {at} t="s"><v>{len(shared) - 1}</v></c>'
+
+    for rows in book.values():
+        body = "".join(f'<row r="{i + 1}">' + "".join(xml(i, j, v) for j, v in enumerate(r) if v is not None) + "</row>" for i, r in enumerate(rows))
+        parts.append(f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(book)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="worksheets/s{i}.xml"/>' for i in range(len(parts))) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">' + "".join(shared) + "</sst>")
+        for i, part in enumerate(parts):
+            z.writestr(f"xl/worksheets/s{i}.xml", part)
+
+
+def test_a_workbook_gives_the_panel_of_its_csv_form(spark, tmp_path):
+    from furrow.sources.workbook import read_workbook
+
+    own = [[None if v == "" else float(v) if re.fullmatch(r"[0-9.]+", v) else v for v in line.split(",")] for line in SHEET.strip().split("\n")]
+    other = [["Year", "Yield", "ozone", *[None] * 25, "SO2"], [2000, 1, 7e-7, *[None] * 25, 5], [2001, 2, True, *[None] * 25, "=1/0"]]
+    write_workbook(tmp_path / "book.xlsx", {"GKP_Rice": own, "VNS_wheat_x": other, "LKO_Maize": [["Year", "Yield"], [2000, 3]]})
+    grid = read_workbook(spark, str(tmp_path / "book.xlsx"))
+    assert grid.rdd.getNumPartitions() == 3
+    assert {(r.row, r.col): r.value for r in grid.where("sheet = 'VNS_wheat_x' and row > 0").collect()} == {(1, 0): "2000", (1, 1): "1", (1, 2): "0.0000007", (1, 28): "5", (2, 0): "2001", (2, 1): "2", (2, 2): "True"}
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv/GKP_Rice.csv").write_text(SHEET)
+    (tmp_path / "csv/VNS_wheat_x.csv").write_text(f"Year,Yield,ozone{',' * 26}SO2\n2000,1,0.0000007{',' * 26}5\n2001,2,True{',' * 26}\n")
+    (tmp_path / "csv/LKO_Maize.csv").write_text("Year,Yield\n2000,3\n")
+    one, two = (sheets.build_panel(g) for g in (grid, sheets.read_grid(spark, str(tmp_path / "csv"))))
+    assert one.columns == two.columns == ["region", "crop", "year", "yield", "aod avg", "precip (mm/day)", "ozone", "so2"]
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.count() == 6
+
+
+def test_jobs_do_not_grow_with_the_sheets(spark):
+    def jobs(n: int) -> int:
+        cells = [(f"R{i}_c", 0, k, v) for i in range(n) for k, v in enumerate(("Year", "Yield", "aod"))] + [(f"R{i}_c", r, k, str(v)) for i in range(n) for r in (1, 2) for k, v in enumerate((2000 + r, 1.5, 0.2))]
+        grid = frame(spark, cells, "sheet string, row int, col int, value string")
+        spark.sparkContext.setJobGroup(f"sheets {n}", "")
+        assert sheets.build_panel(grid).count() == 2 * n
+        done = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sheets {n}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return done
+
+    assert jobs(2) == jobs(30)
+
+
+def test_sheets_without_year_or_yield_are_errors(spark):
+    good = [("a_b", 0, 0, "Year"), ("a_b", 0, 1, "Yield"), ("a_b", 1, 0, "2000"), ("a_b", 1, 1, "1")]
+    for label, other in (("yield", [("c_d", 0, 0, "Year"), ("c_d", 1, 0, "2000")]), ("year", [("c_d", 0, 0, "Yield"), ("c_d", 1, 0, "5")]), ("year", [("c_d", 0, 0, "Year")])):
+        with pytest.raises(ValueError, match=f"sheet c_d: no {label}"):
+            sheets.build_panel(frame(spark, good + other, "sheet string, row int, col int, value string"))
+    unnamed = good[:0] + [("e_f", 0, 0, "Yield"), ("e_f", 0, 1, "x"), *(("e_f", r, c, str(v)) for r in (1, 2, 3) for c, v in enumerate((r, 2000 + r)))]
+    assert [r.year for r in sheets.build_panel(frame(spark, unnamed, "sheet string, row int, col int, value string")).orderBy("year").collect()] == [2001, 2002, 2003]
+
+
 def test_files(spark, tmp_path):
     schema = "a int, b string"
     with pytest.raises(FileNotFoundError):
