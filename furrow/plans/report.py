@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from furrow.plans.views import last_metrics, overview
+from furrow.sources.files import report_inputs
 
 
 def _fmt(x, digits: int = 3) -> str:
@@ -19,8 +20,16 @@ def _lines(df: DataFrame, columns: list[str]) -> list[str]:
     return [" ".join(v.rjust(w) for v, w in zip(line, width)) for line in [columns, *rows]]
 
 
-def summary(panel: DataFrame, metrics: DataFrame, by_year: DataFrame, timing: DataFrame | None = None, written: list[str] = []) -> str:
-    o, rows = overview(panel).first(), {r.model: r.asDict() for r in metrics.collect()}  # a row a model
+def of_files(spark: SparkSession, out: str) -> str:
+    """The report of a finished run, from the files that are there."""
+    found = report_inputs(spark, out)
+    return summary(found["panel"], found["metrics_summary"], found["backtest_by_year"], found["timing_summary"])
+
+
+def summary(panel: DataFrame | None, metrics: DataFrame | None, by_year: DataFrame | None, timing: DataFrame | None = None, written: list[str] = []) -> str:
+    """What a table that is None would show is N/A, or left out."""
+    o = overview(panel).first() if panel is not None else Row(n_rows=0, n_regions=0, n_crops=0, first_year="N/A", last_year="N/A")
+    rows = {r.model: r.asDict() for r in metrics.collect()} if metrics is not None else {}  # a row a model
     get = lambda model, name: rows.get(model, {}).get(name)
     out = ["Panel analytics summary", "", "Dataset:", f"- Rows: {o.n_rows:,}", f"- Regions: {o.n_regions}", f"- Crops: {o.n_crops}", f"- Years: {o.first_year} to {o.last_year}"]
     parts = (
@@ -32,7 +41,8 @@ def summary(panel: DataFrame, metrics: DataFrame, by_year: DataFrame, timing: Da
     for title, model, names in parts:
         values = [(label, get(model, name)) for label, name in names]
         out += ["", f"{title}:", *(f"- {label}: {v if isinstance(v, str) else _fmt(v)}" for label, v in values)]
-    out += ["", "Backtest metrics of the last years:", *_lines(last_metrics(by_year), ["year", "rmse", "mae", "mape", "r2", "n"])]
+    if by_year is not None:
+        out += ["", "Backtest metrics of the last years:", *_lines(last_metrics(by_year), ["year", "rmse", "mae", "mape", "r2", "n"])]
     if timing is not None:
         out += ["", "Seconds by stage:", *_lines(timing, ["stage", "seconds"])]
     if written:

@@ -175,10 +175,10 @@ def carry_forward(spark, sf_dir):
     return carried(with_gaps(panel_view(spark, sf_dir)), ["aod", "pm"])
 
 
-@query(f"""WITH {PANEL}, h AS (SELECT region, crop, list(yield ORDER BY year) AS h FROM panel WHERE year >= 1996 OR crop > 'C' GROUP BY region, crop)
+@query(f"""WITH {PANEL}, h AS (SELECT region, crop, list(yield ORDER BY year) AS h FROM panel GROUP BY region, crop)
 SELECT region, crop, round(coalesce(h[-3], h[1]), 6) AS y3, round(coalesce(h[-2], h[1]), 6) AS y2, round(h[-1], 6) AS y1 FROM h""")
 def last_k_yields(spark, sf_dir):
-    got = last_yields(panel_view(spark, sf_dir).where("year >= 1996 or crop > 'C'"), 3)
+    got = last_yields(panel_view(spark, sf_dir), 3)
     return got.select("region", "crop", *(F.get("last_yields", i).alias(f"y{3 - i}") for i in range(3)))
 
 
@@ -401,9 +401,9 @@ def sample_rows(spark, sf_dir):
     return views.sample_rows(panel_view(spark, sf_dir).select("region", "crop", "year", "yield"), "ASIA", "BUILDING")
 
 
-@query(f"WITH {BACKTEST} SELECT year, {ERRORS} FROM bt GROUP BY year ORDER BY year DESC LIMIT 2")
+@query(f"WITH {BACKTEST} SELECT year, {ERRORS} FROM bt GROUP BY year ORDER BY year DESC LIMIT 5")
 def last_metrics(spark, sf_dir):
-    return views.last_metrics(regression_metrics(forecast.backtest_linear(panel_view(spark, sf_dir)), ["year"]), 2)
+    return views.last_metrics(regression_metrics(forecast.backtest_linear(panel_view(spark, sf_dir)), ["year"]))
 
 
 @query(f"WITH {PANEL}, {LAGS} SELECT year, round(sqrt(avg((yield - lag1) ** 2)), 6) AS rmse, count(*) AS n FROM lagged WHERE lag1 IS NOT NULL GROUP BY year")
@@ -413,10 +413,9 @@ def persistence_by_year(spark, sf_dir):
     return regression_metrics(lagged, ["year"], "yield", "yield_lag1").select("year", "rmse", "n")
 
 
-@query(f"WITH {PANEL} SELECT region, crop, count(*) AS n_known FROM panel WHERE yield > 25.5 AND year BETWEEN 1996 AND 2000 GROUP BY region, crop")
+@query(f"WITH {PANEL} SELECT region, crop, count(*) AS n_known FROM panel WHERE yield IS NOT NULL AND year IS NOT NULL GROUP BY region, crop")
 def known_history(spark, sf_dir):
-    rows = panel_view(spark, sf_dir).where(F.col("year").between(1996, 2000)).withColumn("yield", F.when(F.col("yield") > 25.5, F.col("yield")))
-    return rows.dropna(subset=["yield"]).groupBy("region", "crop").agg(F.count("yield").alias("n_known"))
+    return panel_view(spark, sf_dir).dropna(subset=["year", "yield"]).groupBy("region", "crop").agg(F.count("yield").alias("n_known"))
 
 
 # no SQL form: models
@@ -492,6 +491,22 @@ def sheets_to_panel(spark, sf_dir):
     return build_panel(sheet_grid(spark, sf_dir))
 
 
+@query()
+def kernel_machine(spark, sf_dir):
+    """The support vector regression of the panel: each row's prediction and multiplier, 0 outside the support set."""
+    settings = {"C": 1.0, "epsilon": 0.1, "gamma": "scale"}
+    full = stored(add_lags(panel_view(spark, sf_dir)), "panel")
+    model = search.fit(full, "SVR", "regression", ["aod", "pm", "year", "yield_lag1", "yield_lag2"], settings, use_te=False)
+    r, m = F.col("yield") - F.col("yield_pred"), model.arrays
+    multiplier = float(m["C"]) * F.least(F.greatest((F.abs(r) - float(m["epsilon"])) / float(m["width"]), F.lit(0.0)), F.lit(1.0)) * F.signum(r)
+    return model.predict(full).select("region", "crop", "year", "yield", "yield_pred", multiplier.alias("multiplier"))
+
+
+@query(f"WITH {BACKTEST} SELECT year, series, round(value, 6) AS value FROM (SELECT year, 'yield_true' AS series, yield_true AS value, region, crop FROM bt UNION ALL SELECT year, 'yield_pred', yield_pred, region, crop FROM bt) WHERE region = 'ASIA' AND crop = 'BUILDING'")
+def backtest_lines(spark, sf_dir):
+    return views.backtest_lines(forecast.backtest_linear(panel_view(spark, sf_dir)), "ASIA", "BUILDING")
+
+
 LINEAR = ("aod", "pm", "yield_lag1")
 _moved = lambda f: " + ".join(f"{w} * {'y' if c == f else 'x'}.{c}" for w, c in zip((-10, -5, 1), LINEAR))
 _lost = " UNION ALL ".join(

@@ -24,6 +24,31 @@ def optional_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _inferred(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.csv(path, header=True, inferSchema=True)
+    except AnalysisException:
+        return None
+
+
+#: The tables behind the dashboard, those without which there is none first.
+REQUIRED, OPTIONAL = ("panel", "metrics_summary"), ("forecast", "scenarios", "backtest", "permutation_importance")
+
+
+def dashboard(spark: SparkSession, out: str) -> dict[str, DataFrame | None]:
+    """The six tables of a finished run; an error if one of ``REQUIRED`` isn't there, None for another one."""
+    tables = {name: _inferred(spark, f"{out}/{name}") for name in (*REQUIRED, *OPTIONAL)}
+    for name in REQUIRED:
+        if tables[name] is None:
+            raise FileNotFoundError(f"{out}/{name} is required; run the pipeline first")
+    return tables
+
+
+def report_inputs(spark: SparkSession, out: str) -> dict[str, DataFrame | None]:
+    """The tables that the report shows, None for each that isn't there."""
+    return {name: _inferred(spark, f"{out}/{name}") for name in ("panel", "metrics_summary", "backtest_by_year", "timing_summary")}
+
+
 def text(spark: SparkSession, path: str) -> str:
     """A small text file."""
     try:

@@ -385,7 +385,7 @@ def test_files(spark, tmp_path):
 
 
 def test_the_whole_run(spark, sf_dir, tmp_path):
-    from furrow.config import Settings, settings
+    from furrow.config import Settings
 
     options = Settings(tune_mode="fast", years_ahead=2, backtest_years=1, importance_repeats=1, folds=2, most_candidates=2, regressors=("Ridge", "Boosting"), classifiers=("LinearSVC", "Boosting"))
     small = panel.panel_view(spark, sf_dir)
@@ -395,6 +395,48 @@ def test_the_whole_run(spark, sf_dir, tmp_path):
     assert "Rows: 175" in text and "Years: 1995 to 2001" in text and "total" in text
     assert [r.label for r in views.rmse_comparison(tables["metrics_summary"]).collect()]
     assert report.as_html("a<b").count("&lt;") == 1
-    (tmp_path / "own.yaml").write_text("forecast:\n  years_ahead: 3  # horizon\nlags: 1, 2, 3\n")
-    own = settings(str(tmp_path / "own.yaml"), {"FURROW_SEED": "7"})
-    assert (own.years_ahead, own.lags, own.seed) == (3, (1, 2, 3), 7)
+    again = files.dashboard(spark, str(tmp_path / "out"))
+    assert again["panel"].count() == 175 and again["scenarios"].count() == 150 and None not in again.values()
+    assert report.of_files(spark, str(tmp_path / "out")).split("Seconds")[0] == text.split("Seconds")[0]
+    lines = {r.label: r.f1_macro for r in views.f1_comparison(tables["metrics_summary"]).collect()}
+    assert set(lines) == {"baseline", "best"} and lines["best"] is not None
+    assert views.model_row(tables["metrics_summary"], "Backtest").first().rmse is not None
+    assert views.top_importances(tables["permutation_importance"], 2).count() == 2
+
+
+def test_a_report_without_files(spark, tmp_path):
+    text = report.of_files(spark, str(tmp_path / "nowhere"))
+    assert "Rows: 0" in text and "RMSE: N/A" in text
+    with pytest.raises(FileNotFoundError):
+        files.dashboard(spark, str(tmp_path / "nowhere"))
+
+
+def test_settings_of_a_nested_file(tmp_path):
+    from furrow.config import settings
+
+    (tmp_path / "own.yaml").write_text("""# own
+data_path: "my data, (3) #4.xlsx"  # a name
+random_state: 7
+cv:
+  n_splits: 3
+  min_samples_cv: 10
+forecast:
+  years_ahead: 3  # horizon
+scenario:
+  clean_scale: 0.7
+  aod_cols: ["AOD", "Aod, x"]
+  pm_cols:
+    - PM2.5 (ugm-3)   # unit
+    - 'pm''s'
+lags: [1,
+  2, 3]
+other:
+  deep:
+    name: x
+""")
+    own = settings(str(tmp_path / "own.yaml"), {"FURROW_OUTPUTS_DIR": "there"})
+    assert (own.data_path, own.seed, own.folds, own.min_train_rows, own.min_test_rows, own.years_ahead) == ("my data, (3) #4.xlsx", 7, 3, 10, 5, 3)
+    assert (own.clean_scale, own.polluted_scale, own.aod_columns, own.pm_columns) == (0.7, 1.2, ("AOD", "Aod, x"), ("PM2.5 (ugm-3)", "pm's"))
+    assert own.lags == (1, 2, 3) and own.outputs_dir == "there" and own.extra == {"name": "x"}
+    (tmp_path / "own.json").write_text('{"cv": {"n_splits": 2}, "lags": [1]}')
+    assert settings(str(tmp_path / "own.json"), {}).folds == 2 and settings(str(tmp_path / "none"), {}).folds == 4
