@@ -340,7 +340,7 @@ def test_license_passages_anywhere_in_a_text(spark):
 
 def test_usual_notices_and_whole_licenses_are_known(spark):
     lines = {
-        "All rights reserved.": "All-Rights-Reserved", "Copyright (c) 2019 Some Body": "Copyright", "Copyright © 2021 Some Body": "Copyright",
+        "All rights reserved.": "All-Rights-Reserved", "Copyright (c) 2019 Some Body": "Copyright", "Copyright © 2021 Some Body": "Copyright", "copyright 1904": "Copyright", "Copyright 2099 by nobody": "Copyright",
         "Licensed under the ISC License.": "ISC", "SPDX-License-Identifier: MPL-2.0": "MPL-2.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
         "Licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0", "Licensed under the BSD 3-Clause License.": "BSD-3-Clause",
     }
