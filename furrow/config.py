@@ -31,7 +31,7 @@ class Settings:
     tune_mode: str = "metrics"
     regressors: tuple[str, ...] = ()  # none: those of the mode
     classifiers: tuple[str, ...] = ()
-    most_candidates: int = 0  # of each kind; 0: as many as the mode has
+    most_candidates: int = 8  # of each kind; 0: as many as the mode has
     sample_weight_power: float = 1.0
     use_cache: bool = True
     importance_repeats: int = 10

@@ -141,13 +141,12 @@ def gradients(b: Block, loss: str) -> tuple[np.ndarray, np.ndarray]:
     return g * b.w[:, None], h * b.w[:, None]
 
 
-def histograms(b: Block, loss: str, trees: list[np.ndarray], wanted: list[list[int]], width: int, share: float, salt: int):
-    """(gradient, Hessian, rows) of each wanted node, feature and bin; the last bin is of unknown values."""
+def histograms(b: Block, loss: str, trees: list[np.ndarray], wanted: list[list[int]], columns: np.ndarray, width: int, share: float, salt: int):
+    """(gradient, Hessian, rows) of each wanted node, feature of ``columns`` and bin; the last bin is of unknown values."""
     if share < 1:
         b = b.where(b.chosen(share, salt))
     g, h = gradients(b, loss)
-    n, d = b.x.shape
-    out = []
+    d, out = len(columns), []
     for k, (tree, nodes) in enumerate(zip(trees, wanted)):
         if not nodes:
             continue
@@ -155,7 +154,7 @@ def histograms(b: Block, loss: str, trees: list[np.ndarray], wanted: list[list[i
         slot[nodes] = np.arange(len(nodes))
         place = slot[routed(b.x, tree)]
         some = np.flatnonzero(place >= 0)
-        bins = b.x[some].astype(np.int64)
+        bins = b.x[some[:, None], columns].astype(np.int64)
         at = ((place[some, None] * d + np.arange(d)) * width + np.where(bins < 0, width - 1, bins)).reshape(-1)
         size = len(nodes) * d * width
         sums = [np.bincount(at, np.repeat(v, d), size) for v in (g[some, k], h[some, k])]
@@ -164,23 +163,23 @@ def histograms(b: Block, loss: str, trees: list[np.ndarray], wanted: list[list[i
 
 
 def _score(g: np.ndarray, h: np.ndarray, p: Growth) -> np.ndarray:
-    return np.maximum(np.abs(g) - p.l1, 0) ** 2 / (h + p.l2 + 1e-300)
+    return (np.maximum(np.abs(g) - p.l1, 0) ** 2 if p.l1 else g * g) / (h + (p.l2 + 1e-300))
 
 
-def best_split(hist: np.ndarray, p: Growth, columns: np.ndarray | None = None):
+def best_split(hist: np.ndarray, p: Growth):
     """(gain, feature, border, unknown go left, rows left) of one node's histogram (3, features, bins); gain 0: none."""
     known, unknown = hist[:, :, :-1], hist[:, :, -1]
     total = hist[:, 0].sum(1)
-    prefix = np.cumsum(known, axis=2)  # the last: all known rows against the unknown ones
     best = (0.0, -1, 0, False, 0)
+    if total[2] < 2 * max(p.least_rows, 1) or total[1] < 2 * p.least_hessian:
+        return best
+    prefix = np.cumsum(known, axis=2)  # the last: all known rows against the unknown ones
     base = _score(total[0], total[1], p)
     for to_left in (False, True) if unknown[2].any() else (False,):
         left = prefix + unknown[:, :, None] if to_left else prefix
         right = total[:, None, None] - left
         gain = (_score(left[0], left[1], p) + _score(right[0], right[1], p) - base) / 2 - p.gamma
         fit = (np.minimum(left[2], right[2]) >= max(p.least_rows, 1)) & (np.minimum(left[1], right[1]) >= p.least_hessian)
-        if columns is not None:
-            fit &= columns[:, None]
         gain = np.where(fit, gain, 0)
         at = int(gain.argmax())
         if gain.flat[at] > best[0] + 1e-12:
@@ -198,9 +197,9 @@ class Node:
 
 
 class Grower:
-    """One tree: ``virtual`` holds every node whose sums are known, the tree proper what is picked of them."""
+    """One tree over some columns: ``virtual`` holds every node whose sums are known, the tree proper what is picked of them."""
 
-    def __init__(self, p: Growth, columns: np.ndarray | None):
+    def __init__(self, p: Growth, columns: np.ndarray):
         self.p, self.columns = p, columns
         self.virtual, self.nodes = Tree(), {}
 
@@ -213,7 +212,7 @@ class Grower:
             node = self.nodes[k]
             if node.children is None:
                 gain, f, border, unknown_left, n_left = node.split
-                left = self.virtual.split(k, f, border, unknown_left)
+                left = self.virtual.split(k, int(self.columns[f]), border, unknown_left)
                 node.children = (left, left + 1)
                 total = int(node.hist[2, 0].sum())
                 out.append(left if 2 * n_left <= total else left + 1)
@@ -231,7 +230,7 @@ class Grower:
 
     def _known(self, k: int, hist: np.ndarray, depth: int) -> None:
         deep = self.p.depth is not None and depth >= self.p.depth
-        self.nodes[k] = Node(hist, depth, (0.0, -1, 0, False, 0) if deep else best_split(hist, self.p, self.columns))
+        self.nodes[k] = Node(hist, depth, (0.0, -1, 0, False, 0) if deep else best_split(hist, self.p))
 
     def _picks(self, known_only: bool) -> list[int]:
         """Leaves in the order in which they are split, up to the bound on leaves. Where the children of one
@@ -256,7 +255,7 @@ class Grower:
         out, p, place = Tree(), self.p, {0: 0}
         for k in self._picks(known_only=True):
             _, f, border, unknown_left, _ = self.nodes[k].split
-            left = out.split(place[k], f, border, unknown_left)
+            left = out.split(place[k], int(self.columns[f]), border, unknown_left)
             for child, at in zip(self.nodes[k].children, (left, left + 1)):
                 place[child] = at
         for k, at in place.items():
@@ -282,12 +281,10 @@ def fit(rows: Held | Spread, p: Growth, classes: int = 1) -> dict[str, np.ndarra
     d, trees = len(borders), []
     for t in range(p.rounds):
         rng = np.random.default_rng((p.seed, t))
-        columns = None
-        if p.column_share < 1:
-            columns = np.isin(np.arange(d), rng.permutation(d)[: max(1, round(p.column_share * d))])
+        columns = np.sort(rng.permutation(d)[: max(1, round(p.column_share * d))])
         growers = [Grower(p, columns) for _ in range(classes)]
         while any(wanted := [g.wanted() for g in growers]):
-            (hists,) = bins.sum(histograms, loss, [g.virtual.arrays() for g in growers], wanted, width, p.row_share, p.seed + t)
+            (hists,) = bins.sum(histograms, loss, [g.virtual.arrays() for g in growers], wanted, columns, width, p.row_share, p.seed + t)
             at = 0
             for g, nodes in zip(growers, wanted):
                 g.take(nodes, hists[:, at : at + len(nodes)])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +35,3 @@ def levels(frame: DataFrame, column: str, most: int = 10_000) -> list:
     if len(found) > most:
         raise ValueError(f"{column} has more than {most} values")
     return found
-
-
-def vector_stages(numeric: list[str], categorical: list[str]) -> Pipeline:
-    """Assembler pipeline for models: numeric columns and one-hot categories in ``features``."""
-    index = [StringIndexer(inputCol=c, outputCol=f"{c}__index", handleInvalid="keep") for c in categorical]
-    hot = [OneHotEncoder(inputCols=[f"{c}__index" for c in categorical], outputCols=[f"{c}__hot" for c in categorical])] if categorical else []
-    return Pipeline(stages=[*index, *hot, VectorAssembler(inputCols=[*numeric, *(f"{c}__hot" for c in categorical)], outputCol="features")])
