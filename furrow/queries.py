@@ -5,6 +5,8 @@ Numbers are rounded to six places on both sides: engines sum doubles in differen
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,9 +22,10 @@ from furrow.operators.moments import ridge_path
 from furrow.operators.quantiles import exact_quantiles
 from furrow.operators.trend import carried, trend_features
 from furrow.plans import views
-from furrow.session import stored
+from furrow.session import own_dir, stored
+from furrow.sources import files
 from furrow.sources.panel import panel_view, sheet_identity, stack, table, with_gaps
-from furrow.sources.sheets import build_panel, header_rows, header_scores, merged_headers
+from furrow.sources.sheets import build_panel, canonical_text, header_rows, header_scores, merged_headers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -418,6 +421,73 @@ def known_history(spark, sf_dir):
     return panel_view(spark, sf_dir).dropna(subset=["year", "yield"]).groupBy("region", "crop").agg(F.count("yield").alias("n_known"))
 
 
+# dashboard tables, masks, names and files
+
+
+def _summary(spark, sf_dir):
+    """The metrics summary of the built-in line: baselines, its errors, and the classes of its predictions."""
+    panel = stored(panel_view(spark, sf_dir), "panel")
+    classed = class_metrics(_tertiles(spark, sf_dir)).select(F.col("f1_macro").alias("oof_f1_macro"))
+    errors = regression_metrics(forecast.backtest_linear(panel))
+    return views.metrics_summary({"Baseline": baselines(add_classes(panel)), "BestClassifier": classed, "BestRegressor": errors.select(F.col("rmse").alias("oof_rmse")), "Backtest": errors})
+
+
+@query(f"SELECT 'baseline' AS label, baseline_clf_macro_f1 AS f1_macro FROM ({ORACLES['baseline_metrics']}) UNION ALL SELECT 'best', f1_macro FROM ({ORACLES['classification_metrics']})")
+def f1_comparison(spark, sf_dir):
+    return views.f1_comparison(_summary(spark, sf_dir))
+
+
+@query(f"SELECT 'baseline' AS label, baseline_reg_rmse AS rmse FROM ({ORACLES['baseline_metrics']}) UNION ALL SELECT unnest(['out of fold', 'backtest']), rmse FROM ({ORACLES['backtest_metrics_overall']})")
+def rmse_comparison(spark, sf_dir):
+    return views.rmse_comparison(_summary(spark, sf_dir))
+
+
+@query(f"SELECT 'Backtest' AS model, rmse, r2 FROM ({ORACLES['backtest_metrics_overall']})")
+def model_row(spark, sf_dir):
+    return views.model_row(_summary(spark, sf_dir), "Backtest").select("model", "rmse", "r2")
+
+
+@query(f"WITH {PANEL}, {GAPS}, l AS (SELECT *, lag(yield) OVER (PARTITION BY region, crop ORDER BY year) AS lag1 FROM gaps) SELECT region, crop, year FROM l WHERE coalesce(aod, pm, lag1) IS NOT NULL AND yield IS NOT NULL")
+def train_mask(spark, sf_dir):
+    """Training rows of a backtest: a lag alone will do as a feature."""
+    return add_lags(with_gaps(panel_view(spark, sf_dir)), (1,)).where(columns.train_mask(["aod", "pm", "yield_lag1"])).select("region", "crop", "year")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size, p_size % 5 AS k FROM part), t AS (SELECT CASE k WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN NULL ELSE p_size END AS y, p_size + 1.5::DOUBLE AS p FROM p)
+SELECT count(*) AS n, round(avg(abs(y - p)), 6) AS mae FROM t WHERE isfinite(y)""")
+def finite_rows(spark, sf_dir):
+    """Errors over rows of which some truths are NaN, infinite or null."""
+    k, size = F.col("p_size") % 5, F.col("p_size").cast("double")
+    truth = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).when(k > 2, size)
+    rows = table(spark, sf_dir, "part").select(truth.alias("yield_true"), (size + 1.5).alias("yield_pred"))
+    return regression_metrics(rows).select("n", "mae")
+
+
+@query(f"""WITH {PANEL}, g AS (SELECT * FROM panel WHERE region = 'ASIA' AND crop = 'BUILDING') SELECT region, crop, year, round(yield, 6) AS yield, NULL::DOUBLE AS no2, 'past_only' AS forecast_method FROM g""")
+def safe_projection(spark, sf_dir):
+    """A column that isn't there is null, a literal column is added, a column called otherwise is dropped."""
+    rows = panel_view(spark, sf_dir).where("region = 'ASIA' and crop = 'BUILDING'").withColumn("forecast_method", F.lit("past_only"))
+    return columns.project(rows, ["region", "crop", "year", "yield", "no2", "forecast_method"])
+
+
+@query(r"""WITH n AS (SELECT DISTINCT p_brand || '  ' || p_type AS s FROM part)
+SELECT s, 'pm ' || regexp_replace(lower(trim(s)), '\s+', ' ', 'g') || ' (ugm-3)' AS name FROM n""")
+def canonical_names(spark, sf_dir):
+    """Names in wide letters, with micro signs, tabs and blanks."""
+    s = F.concat("p_brand", F.lit("  "), "p_type")
+    names = table(spark, sf_dir, "part").select(s.alias("s")).distinct()
+    return names.select("s", canonical_text(F.concat(F.lit("ＰＭ\t "), "s", F.lit(" (µgm-3) "))).alias("name"))
+
+
+@query(f"WITH {PANEL} SELECT region, crop, year, round(yield, 6) AS yield FROM panel")
+def files_there_and_back(spark, sf_dir):
+    """The panel as a CSV file with a header, read again; joined by a file that isn't there, which is empty."""
+    at = f"{own_dir(spark)}/csv-{uuid.uuid4().hex}"
+    files.write_csv(panel_view(spark, sf_dir).select("region", "crop", "year", "yield"), f"{at}/panel")
+    schema = "region string, crop string, year int, yield double"
+    return files.required_csv(spark, f"{at}/panel", schema).unionByName(files.optional_csv(spark, f"{at}/none", schema))
+
+
 # no SQL form: models
 
 
@@ -529,6 +599,11 @@ def perm_importance(spark, sf_dir):
     return search.permutation_importance(rows, list(LINEAR), predict)
 
 
+@query(f"SELECT * FROM ({ORACLES['perm_importance']}) ORDER BY importance_mean DESC, feature LIMIT 2")
+def top_importances(spark, sf_dir):
+    return views.top_importances(perm_importance(spark, sf_dir), 2)
+
+
 @query(f"""WITH {PANEL}, t AS (SELECT region, crop, year, CAST(CAST(round(yield * 1000000) AS BIGINT) AS VARCHAR) AS yield, CAST(CASE WHEN year % 2 = 0 OR region < 'B' THEN CAST(round(aod * 1000000) AS BIGINT) END AS VARCHAR) AS aod FROM panel),
 d AS (SELECT md5(concat_ws(',', chr(39) || region || chr(39), chr(39) || crop || chr(39), chr(39) || year || chr(39), chr(39) || yield || chr(39), coalesce(chr(39) || aod || chr(39), 'N'))) AS h FROM t)
 SELECT md5(concat_ws(':', sum(CAST('0x' || h[1:15] AS BIGINT)), bit_xor(CAST('0x' || h[16:30] AS BIGINT)), count(*), 'region,crop,year,yield,aod')) AS signature FROM d""")
