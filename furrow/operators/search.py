@@ -301,8 +301,14 @@ def search(panel: DataFrame, features: list[str], task: str = "regression", kind
         oof = (regression_metrics(mine, [], "yield", "yield_pred") if task == "regression" else class_metrics(mine)).first().asDict()
     candidate, route = tried[best]
     model = fit(panel.where(task_mask(features, task)), candidate.kind, route, names, dict(candidate.params), use_te, smoothing, power, seed)
+    known = panel.where(task_mask(features, task))
+    fitted = model.predict(known)
+    if task == "regression":
+        train = regression_metrics(fitted, [], "yield", "yield_pred").select("rmse", "r2").first().asDict()
+    else:
+        train = class_metrics(to_class(fitted, known) if route != task else fitted).select("f1_macro", "accuracy").first().asDict()
     outcome = [{"candidate": n} | ({"error": errors[i]} if i in errors else {"score": means.get(i)}) for i, n in enumerate(label)]
-    info = {"task": task, "best": str(candidate), "kind": candidate.kind, "params": dict(candidate.params), "via_regression": route != task, "missing_share": share, "compared": compared, "features": names, "derived": derived_names(use_te), "cv": means[best], "oof": oof, "tried": outcome, "signature": signature(panel.where(task_mask(features, task)), [*dict.fromkeys([*names, "region", "crop", "year", "yield"])])}
+    info = {"task": task, "best": str(candidate), "kind": candidate.kind, "params": dict(candidate.params), "via_regression": route != task, "missing_share": share, "compared": compared, "features": names, "derived": derived_names(use_te), "cv": means[best], "oof": oof, "train": train, "tried": outcome, "signature": signature(known, [*dict.fromkeys([*names, "region", "crop", "year", "yield"])])}
     return model, info, table
 
 

@@ -76,10 +76,11 @@ def _run(spark: SparkSession, panel: DataFrame, out: str, options: Settings) ->
     with timed("importance"):
         tables["permutation_importance"] = search.permutation_importance(full.where(F.col("yield").isNotNull()), own, reg.predict, repeats=options.importance_repeats, seed=options.seed)
     spark_row = lambda d: spark.createDataFrame([d])
+    scores = lambda info: {f"{part}_{k}": float(v) for part in ("oof", "train") for k, v in info.get(part, {}).items() if v is not None}
     tables["metrics_summary"] = views.metrics_summary({
         "Baseline": baselines(full),
-        "BestClassifier": spark_row({"best_model_name": clf_info["best"], "cv_f1_macro": clf_info["cv"], **{f"oof_{k}": float(v) for k, v in clf_info["oof"].items() if v is not None}}),
-        "BestRegressor": spark_row({"best_model_name": reg_info["best"], "cv_r2": reg_info["cv"], **{f"oof_{k}": float(v) for k, v in reg_info["oof"].items() if v is not None}}),
+        "BestClassifier": spark_row({"best_model_name": clf_info["best"], "cv_f1_macro": clf_info["cv"], **scores(clf_info)}),
+        "BestRegressor": spark_row({"best_model_name": reg_info["best"], "cv_r2": reg_info["cv"], **scores(reg_info)}),
         "Backtest": regression_metrics(tables["backtest"]),
     })
     tables["panel"] = full

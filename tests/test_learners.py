@@ -303,7 +303,7 @@ def test_search_of_both_tasks(spark, full, monkeypatch):
     options = {"kinds": ["LinearSVC"], "by_regression": ["Boosting"], "mode": "metrics", "most": 1, "n_splits": 2, "tertiles": "refit"}
     model, info, table = search.search(full, names, "classification", **options)
     assert {t["candidate"].split()[0] for t in info["tried"]} == {"LinearSVC", "Reg2Tertile"} and len(info["compared"]) == 3
-    assert table.count() == 4 and 0 <= info["oof"]["f1_macro"] <= 1
+    assert table.count() == 4 and 0 <= info["oof"]["f1_macro"] <= 1 and info["train"]["f1_macro"] > info["oof"]["f1_macro"]
 
 
 def test_a_pipeline_of_stages_is_saved_and_loaded(spark, full, tmp_path):
