@@ -578,6 +578,39 @@ def test_long_urls_in_many_copies_are_mined_quickly(spark, noisy):
         assert (r.confidence, r.support) == (round(fit.count(r.verdict) / len(fit), 9), round(fit.count(r.verdict) / len(rows), 9))
 
 
+def test_two_items_that_tell_only_together_are_found_in_long_urls(spark):
+    """Each useless alone, in urls of 25 and more tokens; and every rule of two items is the counted one."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(480):
+        some = {f"t{i:02}" for i in range(26) if rng.random() < 0.95} | ({"x"} if k % 4 < 2 else set()) | ({"y"} if k % 2 else set())
+        rows.append((sorted(some), "block" if {"x", "y"} <= some or (k % 4 == 2 and rng.random() < 0.2) else "allow"))
+    rules, _ = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string").repartition(3))
+    found = {(tuple(r.tokens), r.verdict): (r.confidence, r.support) for r in rules.collect()}
+    assert found[("x", "y"), "block"] == (1.0, 0.25)
+    for (tokens, verdict), (confidence, support) in found.items():
+        fit = [v for s, v in rows if set(tokens) <= set(s)]
+        assert (confidence, support) == (round(fit.count(verdict) / len(fit), 9), round(fit.count(verdict) / len(rows), 9))
+    single = {t: [v for s, v in rows if t in s] for t in {t for s, _ in rows for t in s}}
+    sure = lambda fit, v: round(fit.count(v) / len(fit), 9) if fit.count(v) >= url_filter.SUPPORT * len(rows) and fit.count(v) / len(fit) >= url_filter.CONFIDENCE - 1e-9 else 0
+    for a, b in itertools.combinations(sorted(single), 2):
+        fit = [v for s, v in rows if a in s and b in s]
+        for v in ("block", "allow"):
+            needed = fit and sure(fit, v) > max(sure(single[a], v), sure(single[b], v))
+            assert bool(needed) == (((a, b), v) in found)
+
+
+def test_many_mixed_tokens_are_mined_quickly(spark):
+    rng = random.Random(2)
+    rows = [([f"t{i:02}" for i in range(18) if rng.random() < 0.5], rng.choice(["block", "allow"])) for _ in range(2000)]
+    begin = time.time()
+    rules, _ = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string").repartition(4))
+    assert rules.count() > 100 and time.time() - begin < 240
+    for r in rules.orderBy("rule_id").limit(30).collect():
+        fit = [v for s, v in rows if set(r.tokens) <= set(s)]
+        assert (r.confidence, r.support) == (round(fit.count(r.verdict) / len(fit), 9), round(fit.count(r.verdict) / len(rows), 9))
+
+
 def test_url_filter_needs_no_python(spark):
     pages = spark.createDataFrame([(i, f"http://a.com/{i % 2}x/y") for i in range(40)], "page_id long, url string")
     plan = url_filter.judge(pages, spark.createDataFrame([(i, i % 2) for i in range(40)], "id long, bad int"))._jdf.queryExecution().toString()
