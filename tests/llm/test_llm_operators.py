@@ -602,7 +602,7 @@ def test_two_items_that_tell_only_together_are_found_in_long_urls(spark):
 
 def test_many_mixed_tokens_are_mined_quickly(spark):
     rng = random.Random(2)
-    rows = [([f"t{i:02}" for i in range(18) if rng.random() < 0.5], rng.choice(["block", "allow"])) for _ in range(2000)]
+    rows = [([f"t{i:02}" for i in range(16) if rng.random() < 0.5], rng.choice(["block", "allow"])) for _ in range(2000)]
     begin = time.time()
     rules, _ = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string").repartition(4))
     assert rules.count() > 100 and time.time() - begin < 240
