@@ -56,6 +56,9 @@ GROUP = 128
 #: Nodes of a list in a block of the join, and pairs that a task looks at.
 BLOCK, PAIRS = 512, 4_000_000
 
+#: Ids that ``keep_one`` broadcasts at most: 64 MB at 16 bytes each.
+GONE = 4_000_000
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -301,6 +304,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: the rows of its smallest id."""
+    """``docs`` with one document of each group: the rows of its smallest id.
+
+    The ids that go are counted: up to ``GONE`` of them are broadcast, so that no text is shuffled; more are joined."""
     gone = near_duplicates(docs, words, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    few = gone.count() <= GONE
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
