@@ -25,6 +25,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -57,25 +58,42 @@ class Words:
         if self.held > REMEMBERED:
             self.known, self.held = {}, 0
         words, known = [self.split(t) for t in texts], self.known
-        new = list({w for ws in words for w in ws if w not in known})
+        new = list(set().union(*words).difference(known))
         known.update(zip(new, self.encode(new)))
         self.held += sum(map(len, new))
         out: list[bytes | None] = []
         for ws in words:
-            parts = list(map(known.__getitem__, ws))
-            out.append(None if None in parts else b"".join(parts))
+            try:
+                out.append(b"".join(map(known.__getitem__, ws)))
+            except TypeError:  # one is None
+                out.append(None)
         return out
 
 
 class ByteLevel:
-    """A byte-level BPE file: the ids of texts and the bytes of ids."""
+    """A byte-level BPE file: the ids of texts and the bytes of ids.
+
+    Where ids follow the order of merges they are ranks, and the rank coder takes the short words."""
 
     def __init__(self, path: str):
-        self.coder = bpe(path)
-        self.raw = self.coder.raw
+        self.coder = c = bpe(path)
+        self.raw = c.raw
+        made = np.flatnonzero(c.born >= 0)
+        self.ranked = bool((np.diff(c.born[made]) > 0).all()) and len(c.merge) == len(made)
+        if self.ranked:
+            import tiktoken
+
+            self.ranks = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks={self.raw[i]: i for i in c.by_bytes.values()}, special_tokens={})
 
     def words(self) -> Words:
-        return Words(tokens.ordinary_pre_tokens, lambda new: self.coder.words(new)[0])
+        return Words(tokens.ordinary_pre_tokens, self._encoded)
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        if not self.ranked:
+            return self.coder.words(words)[0]
+        one, long = self.ranks.encode_ordinary, [w for w in words if len(w) > 100]
+        known = dict(zip(long, self.coder.words(long)[0]))
+        return [known[w] if len(w) > 100 else array("I", one(w)).tobytes() for w in words]
 
 
 class Pieces:
@@ -103,7 +121,7 @@ class Pieces:
         for word, ids in zip(words, self.model.encode([w[1:] for w in words], num_threads=1)):
             ids = [self.lone] if word == " " else ids
             same = b"".join(map(self.raw.__getitem__, ids)) == word.encode()
-            out.append(np.array(ids, dtype="<u4").tobytes() if same else None)
+            out.append(array("I", ids).tobytes() if same else None)
         return out
 
 
