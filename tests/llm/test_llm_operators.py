@@ -600,6 +600,41 @@ def test_two_items_that_tell_only_together_are_found_in_long_urls(spark):
             assert bool(needed) == (((a, b), v) in found)
 
 
+def test_three_items_that_tell_only_together_are_found_in_long_urls(spark):
+    """Block if one or three of a, t12x and z are there: none of them, nor two, tells anything, and no token has a better rank than another."""
+    rng = random.Random(7)
+    rows = []
+    for some in [[f"t{i:02}" for i in range(26) if rng.random() < 0.95] for _ in range(60)]:
+        for more in itertools.product((0, 1), repeat=3):
+            rows.append((sorted(some + list(itertools.compress(("a", "t12x", "z"), more))), "block" if sum(more) % 2 else "allow"))
+    rules, _ = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string").repartition(3))
+    found = {(tuple(r.tokens), r.verdict): (r.confidence, r.support) for r in rules.collect()}
+    assert found[("a", "t12x", "z"), "block"] == (1.0, 0.125)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_verdicts_of_long_urls_are_those_of_all_rules(spark, seed):
+    rng = random.Random(seed)
+    names = "abcdefghijklm"
+    tells = [(rng.sample(names, rng.randint(2, 5)), rng.choice(["block", "allow"])) for _ in range(6)]
+    rows = []
+    for _ in range(700):
+        some = {t for t in names if rng.random() < 0.6}
+        said = [v for t, v in tells if some >= set(t)] or ["block" if rng.random() < 0.4 else "allow"]
+        rows.append((sorted(some), said[0] if rng.random() < 0.95 else rng.choice(["block", "allow"])))
+    assert max(len(t) for t, _ in rows) > url_filter.MOST_ITEMS
+    rules, items = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string").repartition(4))
+    every = brute_rules(rows)
+    for r in rules.collect():
+        fit = [v for s, v in rows if set(r.tokens) <= set(s)]
+        assert (r.confidence, r.support) == (round(fit.count(r.verdict) / len(fit), 9), round(fit.count(r.verdict) / len(rows), 9))
+    pages = [sorted({t for t in names if rng.random() < rng.choice([0.2, 0.5, 0.8])}) for _ in range(1500)]
+    table = spark.createDataFrame(list(enumerate(pages)), "page_id long, tokens array<string>")
+    for r in url_filter.match(table, rules, items).collect():
+        fit = [(c, s, len(t), v) for (t, v), (c, s) in every.items() if set(t) <= set(r.tokens)]
+        assert (r.mined or "allow") == (max(fit)[3] if fit else "allow"), (r.tokens, max(fit))
+
+
 def test_many_mixed_tokens_are_mined_quickly(spark):
     rng = random.Random(2)
     rows = [([f"t{i:02}" for i in range(16) if rng.random() < 0.5], rng.choice(["block", "allow"])) for _ in range(2000)]
