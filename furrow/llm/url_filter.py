@@ -150,7 +150,7 @@ def mine(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(rules.drop("exact"), "url-rules", keep=True), items.select("token", "item")
 
 
-def _level(classes: DataFrame, known: DataFrame | None, verdict: str, rows: int, least: float, top: float) -> tuple[DataFrame, DataFrame]:
+def _level(classes: DataFrame, known: DataFrame | None, verdict: str, rows: int, least: float, top: float, ones: bool) -> tuple[DataFrame, DataFrame]:
     """One step of ``_grown``. ``classes``: prefix, _row, own, n, lasts: the sets of a row with the same items but the
     last. Returns the sets counted (items, all, n, best, live, most, open), and ``classes`` of live sets."""
     each = classes.select("prefix", "own", "n", F.explode("lasts").alias("last"))
@@ -165,7 +165,7 @@ def _level(classes: DataFrame, known: DataFrame | None, verdict: str, rows: int,
         counted = counted.join(met.groupBy("items").agg(F.min("all").alias("_least"), F.max("best").alias("_best"), F.bool_and("live").alias("_live")), "items")
     counted = counted.withColumn("best", F.greatest("_best", F.when(sure >= CONFIDENCE, sure).otherwise(0.0)))
     # live: a larger set may matter, whatever it adds; not so if it lies in one verdict, where a part does, or in what a part decides
-    live = F.col("_live") & (F.col("all") > F.col("own_n")) & (F.col("_least").isNull() | (F.col("all") < F.col("_least"))) & (F.col("best") <= top)
+    live = F.col("_live") & (F.col("all") > F.col("own_n")) & (F.col("_least").isNull() | (F.col("all") < F.col("_least"))) & ((F.col("best") <= top) | F.lit(ones))
     counted = stored(counted.select("prefix", "last", "items", "all", F.col("own_n").alias("n"), "best", live.alias("live")), "url-counted")
     mates = counted.where("live").groupBy("prefix").agg(F.sort_array(F.collect_list("last")).alias("mates"))  # items of one set at most
     classes = classes.join(mates, "prefix").withColumn("lasts", F.array_intersect("lasts", "mates")).where("size(lasts) > 0")
@@ -176,17 +176,18 @@ def _level(classes: DataFrame, known: DataFrame | None, verdict: str, rows: int,
     stay = each.groupBy("prefix", "last").agg(F.sum(stays).alias("_stay"), F.max(after).alias("_after"))
     most = F.round(F.col("n") / (F.col("n") + F.col("_stay")), 9)
     sets = counted.join(stay, ["prefix", "last"], "left").withColumn("most", most)
-    is_open = F.coalesce(F.col("live") & (F.col("_after") > 0) & (F.col("most") >= least) & (F.col("most") > F.col("best")), F.lit(False))
+    is_open = F.coalesce(F.col("live") & (F.col("_after") > 0) & (F.col("most") >= least) & (F.col("most") > F.col("best")) & ((F.col("best") <= top) | (F.lit(ones) & (F.col("most") >= 1))), F.lit(False))
     return sets.select("prefix", "last", "items", "all", "n", "best", "live", "most", is_open.alias("open")), classes.drop("mates")
 
 
-def _grown(classes: DataFrame, verdict: str, rows: int, least: float, top: float) -> list[DataFrame]:
+def _grown(classes: DataFrame, verdict: str, rows: int, least: float, top: float, ones: bool) -> list[DataFrame]:
     """Tables of (items, all, n): the sets that may be rules for ``verdict`` with a confidence of ``least`` and more.
-    A set takes later items, the frequent ones last. A rule that is surer than ``top``, all that speaks against
-    it, decides every url that has it: sets with it are not grown."""
+    A set takes later items, the frequent ones last. What speaks against it has a confidence of at
+    most ``top`` or, with ``ones``, of 1. Sets with a surer part are grown only if they may reach 1 with ``ones``: else what
+    overrules them overrules the part, and what the part overrules they would."""
     found, known = [], None
     while not classes.isEmpty():
-        sets, classes = _level(classes, known, verdict, rows, least, top)
+        sets, classes = _level(classes, known, verdict, rows, least, top, ones)
         known = stored(sets, "url-grown")
         found.append(known.where((F.col("best") >= CONFIDENCE) & (F.round(F.col("n") / F.col("all"), 9) == F.col("best"))).select("items", "all", "n"))
         longer = classes.select("_row", "own", "n", "prefix", "lasts", F.posexplode("lasts").alias("at", "last")).where("at + 1 < size(lasts)")
@@ -213,14 +214,15 @@ def _grown_rules(held: DataFrame, items: DataFrame, rules: DataFrame, rows: int)
     columns = ["tokens", "verdict", "confidence", "support"]
     rules = rules.select(*columns)
     # the most that an "allow" may reach: of an item alone, or with any others
-    reach = _level(start("allow"), None, "allow", rows, CONFIDENCE, 1.0)[0].agg(F.max("most")).first()[0] or 0.0
-    reach = max(reach if reach >= CONFIDENCE else 0.0, edges(rules, "allow")[1] or 0.0)
-    for df in named(_grown(start("block"), "block", rows, CONFIDENCE, reach), "block"):
+    reach = _level(start("allow"), None, "allow", rows, CONFIDENCE, 1.0, False)[0].agg(F.max("most")).first()[0] or 0.0
+    ones = edges(rules, "allow")[1] == 1  # those of items that always come with "allow", at least
+    for df in named(_grown(start("block"), "block", rows, CONFIDENCE, reach if reach >= CONFIDENCE else 0.0, ones), "block"):
         rules = rules.union(df)
     rules = stored(rules.distinct(), "url-blocking")
-    least, top = edges(rules, "block")
+    least, ones = edges(rules, "block")
+    top = edges(rules.where("confidence < 1"), "block")[1] or 0.0
     if least is not None:
-        for df in named(_grown(start("allow"), "allow", rows, least, top), "allow"):
+        for df in named(_grown(start("allow"), "allow", rows, least, top, ones == 1), "allow"):
             rules = rules.union(df)
     return _needed(stored(rules.distinct(), "url-both"), True)
 

@@ -612,6 +612,15 @@ def test_three_items_that_tell_only_together_are_found_in_long_urls(spark):
     assert found[("a", "t12x", "z"), "block"] == (1.0, 0.125)
 
 
+def test_noisy_long_urls_beside_a_sure_item_of_the_other_verdict_end(spark):
+    rng = random.Random(9)
+    sets = [[f"t{i:02}" for i in range(40)]] * 1000 + [[f"t{i:02}" for i in range(40) if rng.random() < 0.9] for _ in range(1000)]
+    rows = [(s, "block" if rng.random() < 0.9 else "allow") for s in sets] + [(["q"], "allow")] * 50
+    rules, _ = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string").repartition(4))
+    found = {(tuple(r.tokens), r.verdict) for r in rules.collect()}
+    assert (("q",), "allow") in found and {((f"t{i:02}",), "block") for i in range(40)} <= found
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_verdicts_of_long_urls_are_those_of_all_rules(spark, seed):
     rng = random.Random(seed)
